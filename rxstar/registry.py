@@ -1,22 +1,64 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, one per operator of the survey."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, one per operator of the survey.
+
+Sales queries read the star loaded from mapping A (dashboard, views, checks)
+or run the load themselves (staging, dimensions, fact).  openFDA queries read
+the pages landed from mapping J.  Every query reads the test tables, or data
+Spark derived from them, in whole.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.exact import as_double
-from .operators.fact import run_etl
+from .operators import quality as C
+from .operators import sinks as P
+from .operators.dimensions import distinct_days, distinct_names, upsert_days, upsert_names, with_surrogate_keys
+from .operators.fact import grain_aggregate, key_lookup, lookup_rejects, run_etl, with_fact_ids
+from .operators.staging import stage_rejects, stage_sales, typed_columns
+from .operators.upsert import bookkeeping, keep_last, upsert_by_key
 from .plans import dashboard as D
+from .plans import views as V
 from .plans.filters import Filters
-from .plans.warehouse import sales_star
+from .plans.star import star_join
+from .plans.warehouse import read_star, sales_star, warehouse_root, write_star
+from .session import shared_dir
+from .sources import openfda as S
 from .sources.fixtures import raw_sales
+from .sources.landing import landed_pages
+from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_projection
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed run times recorded by the bookkeeping (an argument, never the clock).
+FIRST_RUN = "2026-05-31T08:48:56+00:00"
+SECOND_RUN = "2026-06-01T09:00:00+00:00"
+
+# Filter values used by the single-filter queries (values present in mapping A).
+FILTER_CASES = {
+    "filter_city": Filters(city="NATION_3"),
+    "filter_condition": Filters(condition="1-URGENT"),
+    "filter_drug": Filters(drug="small ring"),
+    "filter_type": Filters(type="ECONOMY"),
+    "filter_manufacturer": Filters(manufacturer="Brand#2"),
+    "filter_year": Filters(year=1997),
+    "filter_refunded": Filters(refunded=1),
+}
+COMBINED_PARAMS = {"city": [" NATION_3 "], "year": ["1997"], "refunded": ["0"], "drug": [""], "other": ["x"]}
+EMPTY_FILTER = Filters(city="NO SUCH CITY")
+
+
+def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    return f"{warehouse_root(spark)}/{name}-{tag}"
 
-def fact_output(fact: DataFrame, measure: str = "decimal") -> DataFrame:
+
+def fact_output(fact: DataFrame) -> DataFrame:
     """The fact table as the reference stores it (DOUBLE measures)."""
     return fact.select(
         "id", "dimCity_id", "dimConTh_id", "dimDrug_id", "dimDrugType_id", "dimMan_id", "dimTime_id", "is_refunded",
@@ -25,15 +67,248 @@ def fact_output(fact: DataFrame, measure: str = "decimal") -> DataFrame:
     )
 
 
+def _staged_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("Price", as_double(F.col("Price")))
+
+
+def _star(spark, d):
+    return sales_star(spark, d, "A")
+
+
 def _dash(fn, filters: Filters | None = None) -> Query:
-    return lambda spark, sf_dir: fn(sales_star(spark, sf_dir, "A"), filters)
+    return lambda spark, d: fn(_star(spark, d), filters)
 
 
-def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
-        "kpi_summary": _dash(D.kpi_summary),
-        "monthly_sales": _dash(D.monthly_sales),
-        "top_drugs": _dash(D.top_drugs),
-        "fact_drug": lambda spark, d: fact_output(run_etl(raw_sales(spark, d, "B")).fact),
+# --- openFDA tables -----------------------------------------------------------
+def pages(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return S.read_pages(spark, landed_pages(spark, d)[kind], kind)
+
+
+def ndc_records(spark, d):
+    return S.flatten_ndc(S.records(pages(spark, d, "ndc")))
+
+
+def event_records(spark, d):
+    return S.flatten_events(S.records(pages(spark, d, "event")))
+
+
+def source_ndc_products(spark, d):
+    """Stored NDC table: all landed records, keep-last per product_ndc in insert order."""
+    return keep_last(ndc_records(spark, d), ["product_ndc"], ["seq"]).drop("seq")
+
+
+def source_drug_events(spark, d):
+    """Stored events table: all landed reports, keep-last per safetyreportid in insert order."""
+    return keep_last(event_records(spark, d), ["safetyreportid"], ["seq"]).drop("seq")
+
+
+def source_metadata(spark, d, fetched_at: str = FIRST_RUN, only_open: bool = False) -> DataFrame:
+    """U3 for all three sources of one run."""
+    ndc = bookkeeping("openfda_ndc", ndc_records(spark, d), S.total_available(pages(spark, d, "ndc")), fetched_at)
+    ev = bookkeeping("openfda_event", event_records(spark, d), S.total_available(pages(spark, d, "event")), fetched_at)
+    out = ndc.unionByName(ev)
+    if not only_open:
+        out = bookkeeping("sales_backup", _star(spark, d).fact, None, fetched_at).unionByName(out)
+    return out
+
+
+def _upsert_metadata(spark, d):
+    first = source_metadata(spark, d, FIRST_RUN)
+    second = source_metadata(spark, d, SECOND_RUN, only_open=True)
+    return upsert_by_key(first, second, ["source_key"]).orderBy("source_key")
+
+
+# --- sales helpers --------------------------------------------------------------
+def _landed_raw(spark, d):
+    path = _scratch(spark, d, "import_raw_csv")
+    if not _landed_raw.done.get(path):
+        land_csv(raw_sales(spark, d, "A"), path)
+        _landed_raw.done[path] = True
+    return scan_import_raw(spark, path)
+
+
+_landed_raw.done = {}
+
+
+def _dim_upsert(spark, d):
+    """M8: city dimension first loaded from mapping B, then upserted with mapping A's cities."""
+    existing = sales_star(spark, d, "B").dims["dimCity"]
+    return upsert_names(existing, distinct_names(stage_sales(raw_sales(spark, d, "A")), "City"))
+
+
+def _dim_time_upsert(spark, d):
+    """M9: time dimension of the refunded sales, then upserted with the days of all sales."""
+    staged = stage_sales(raw_sales(spark, d, "A"))
+    existing = with_surrogate_keys(distinct_days(staged.where(F.col("Is_Refunded") == 1)), "timeDay")
+    return upsert_days(existing, distinct_days(staged))
+
+
+def _fact_reload(spark, d):
+    """The fact written twice to the same table (overwrite) reads back as one load."""
+    star = _star(spark, d)
+    path = _scratch(spark, d, "reload")
+    write_star(star, path)
+    write_star(star, path)
+    return fact_output(read_star(spark, path).fact)
+
+
+def _lookup_rejects(spark, d):
+    staged = stage_sales(raw_sales(spark, d, "M"))
+    star = run_etl(raw_sales(spark, d, "M"))
+    return _staged_out(lookup_rejects(staged, star))
+
+
+def _sink_roundtrip(spark, d):
+    path = _scratch(spark, d, "sink_ndc")
+    P.write_table(source_ndc_products(spark, d), path)
+    return spark.read.parquet(path)
+
+
+def _publish(spark, d):
+    base = _scratch(spark, d, "published_ndc")
+    P.publish_version(ndc_records(spark, d).drop("seq"), base)
+    P.publish_version(source_ndc_products(spark, d), base)
+    return P.read_current(spark, base)
+
+
+def _not_null(spark, d):
+    star = _star(spark, d)
+    tables = {
+        "factDrug": (star.fact, ["id", "is_refunded", "cntDrug", "sumDrug", "avgDrug", "minDrug", "maxDrug"]),
+        "dimTime": (star.dims["dimTime"], ["id", "timeDay", "timeWeekDay", "timeWeekNum"]),
     }
+    for dim in ("dimCity", "dimConTh", "dimDrug", "dimDrugType", "dimMan"):
+        tables[dim] = (star.dims[dim], ["id", "dimName"])
+    tables["source_metadata"] = (source_metadata(spark, d), ["source_key", "source_name", "source_url", "records_loaded"])
+    return C.not_null_counts(tables)
+
+
+def _key_lookup(spark, d):
+    star = _star(spark, d)
+    return _staged_out(key_lookup(stage_sales(raw_sales(spark, d, "A")), star))
+
+
+def _star_rows(spark, d):
+    star = _star(spark, d)
+    df = star_join(star, set(["dimCity", "dimConTh", "dimDrug", "dimDrugType", "dimMan", "dimTime"]))
+    return df.select(
+        "id", "city", "condition", "drug", "drug_type", "manufacturer", "timeDay", "timeMonth", "timeYear",
+        "is_refunded", F.col("cntDrug").cast("long").alias("cntDrug"), as_double(F.col("sumDrug")).alias("sumDrug"),
+    )
+
+
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    # 2.1 scans and sources
+    q["scan_import_raw"] = _landed_raw
+    q["scan_star_projection"] = lambda s, d: scan_projection(
+        _star(s, d).dims["dimTime"], ["id", "timeDay", "timeWeekDay", "timeWeekNum", "timeMonth", "timeYear"])
+    q["scan_full_table"] = lambda s, d: scan_full_table(s, _star_path(s, d, "dimMan"))
+    q["ndc_flatten"] = ndc_records
+    q["ndc_flatten_strict"] = lambda s, d: S.flatten_ndc_strict(S.records(pages(s, d, "ndc")))
+    q["event_flatten"] = event_records
+    q["event_flatten_blank"] = lambda s, d: S.flatten_events_blank(S.records(pages(s, d, "event")))
+    q["paged_limit"] = lambda s, d: S.paged_records(pages(s, d, "event"), limit=1000).select(
+        "seq", "skip", F.col("r.safetyreportid").alias("safetyreportid"))
+    q["source_total_available"] = lambda s, d: S.total_available(pages(s, d, "event"))
+    q["event_date_range"] = lambda s, d: S.event_date_range(event_records(s, d))
+    q["load_limit"] = lambda s, d: S.load_limit(ndc_records(s, d), limit=5000, cap=S.NDC_LOAD_CAP).select(
+        "seq", "product_ndc")
+    # 2.2 staging
+    m_typed = lambda s, d: raw_sales(s, d, "M").select("Transaction_ID", *typed_columns(raw_sales(s, d, "M")))
+    q["stage_timestamp"] = lambda s, d: m_typed(s, d).select("Transaction_ID", "Sale_Timestamp")
+    q["stage_trim"] = lambda s, d: m_typed(s, d).select(
+        "Transaction_ID", "Manufacturer", "Drug_Name", "Drug_Type", "Condition_Treated", "City")
+    q["stage_price"] = lambda s, d: m_typed(s, d).select("Transaction_ID", as_double(F.col("Price")).alias("Price"))
+    q["stage_refunded"] = lambda s, d: m_typed(s, d).select("Transaction_ID", "Is_Refunded")
+    q["stage_not_null"] = lambda s, d: m_typed(s, d).where(
+        F.col("Drug_Name").isNotNull() & F.col("Manufacturer").isNotNull() & F.col("City").isNotNull()
+        & F.col("Price").isNotNull()).select("Transaction_ID")
+    q["stage_sales"] = lambda s, d: _staged_out(stage_sales(raw_sales(s, d, "M")))
+    q["stage_rejects"] = lambda s, d: stage_rejects(raw_sales(s, d, "M"))
+    q["text_truncate"] = lambda s, d: read_table(s, d, "documents", ["doc_id", "text"]).select(
+        "doc_id", S.truncate_text(F.col("text")).alias("text"))
+    q["list_to_text"] = lambda s, d: ndc_records(s, d).select("seq", "route")
+    q["first_of_list"] = lambda s, d: event_records(s, d).select("seq", "medicinalproduct", "manufacturer_name")
+    # 2.3 dimensions
+    for name, dim in (("dim_city", "dimCity"), ("dim_condition", "dimConTh"), ("dim_drug", "dimDrug"),
+                      ("dim_drug_type", "dimDrugType"), ("dim_manufacturer", "dimMan"), ("dim_time", "dimTime")):
+        q[name] = (lambda dim: lambda s, d: _star(s, d).dims[dim])(dim)
+    q["dim_surrogate_key"] = lambda s, d: with_surrogate_keys(
+        distinct_names(stage_sales(raw_sales(s, d, "M")), "Drug_Name"), "dimName")
+    q["dim_upsert"] = _dim_upsert
+    q["dim_time_upsert"] = _dim_time_upsert
+    # 2.4 fact
+    q["fact_key_lookup"] = _key_lookup
+    q["fact_drug"] = lambda s, d: fact_output(run_etl(raw_sales(s, d, "B")).fact)
+    q["fact_lookup_rejects"] = _lookup_rejects
+    q["fact_drug_double"] = lambda s, d: fact_output(run_etl(raw_sales(s, d, "B"), measure="double").fact)
+    q["fact_ids"] = lambda s, d: _star(s, d).fact.select(
+        "id", "dimCity_id", "dimConTh_id", "dimDrug_id", "dimDrugType_id", "dimMan_id", "dimTime_id", "is_refunded")
+    q["fact_reload"] = _fact_reload
+    q["etl_end_to_end"] = lambda s, d: fact_output(run_etl(raw_sales(s, d, "A")).fact)
+    # 2.5 star and filters
+    q["star_join"] = _star_rows
+    for name, f in FILTER_CASES.items():
+        q[name] = _dash(D.kpi_summary, f)
+    q["filter_combined"] = lambda s, d: D.monthly_sales(_star(s, d), Filters.from_params(COMBINED_PARAMS))
+    # 2.6 dashboard
+    q["kpi_summary"] = _dash(D.kpi_summary)
+    q["kpi_summary_empty"] = _dash(D.kpi_summary, EMPTY_FILTER)
+    q["monthly_sales"] = _dash(D.monthly_sales)
+    q["ranked_by_transactions"] = lambda s, d: D.ranked(_star(s, d), "manufacturer", order_key="transactions", limit=10)
+    q["top_drugs"] = _dash(D.top_drugs)
+    q["top_manufacturers"] = _dash(D.top_manufacturers)
+    q["top_cities"] = _dash(D.top_cities)
+    q["top_conditions"] = _dash(D.top_conditions)
+    q["top_drug_types"] = _dash(D.top_drug_types)
+    q["drug_type_split"] = _dash(D.drug_type_split)
+    q["refund_split"] = _dash(D.refund_split)
+    q["refund_share"] = lambda s, d: D.refund_share(D.refund_split(_star(s, d)))
+    q["recent_records"] = _dash(D.recent_records)
+    q["top_labelers"] = lambda s, d: D.top_labelers(source_ndc_products(s, d))
+    q["top_labelers_ci"] = lambda s, d: D.top_labelers(source_ndc_products(s, d), case_insensitive=True)
+    q["top_reactions"] = lambda s, d: D.top_reactions(source_drug_events(s, d))
+    q["source_summary"] = lambda s, d: D.source_summary(
+        source_metadata(s, d), source_ndc_products(s, d), source_drug_events(s, d))
+    for name, dim in (("filter_cities", "dimCity"), ("filter_conditions", "dimConTh"), ("filter_drugs", "dimDrug"),
+                      ("filter_types", "dimDrugType"), ("filter_manufacturers", "dimMan")):
+        q[name] = (lambda dim: lambda s, d: D.filter_values(_star(s, d), dim))(dim)
+    q["filter_years"] = lambda s, d: D.filter_years(_star(s, d))
+    # 2.7 views
+    q["view_dashboard_summary"] = lambda s, d: _view(s, d, "v_dashboard_summary")
+    q["view_sales_by_month"] = lambda s, d: _view(s, d, "v_sales_by_month").orderBy("year_number", "month_name")
+    q["view_top_drugs"] = lambda s, d: _view(s, d, "v_top_drugs")
+    q["view_top_manufacturers"] = lambda s, d: _view(s, d, "v_top_manufacturers")
+    q["view_city_sales"] = lambda s, d: _view(s, d, "v_city_sales")
+    q["view_open_source_summary"] = lambda s, d: _view(s, d, "v_open_source_summary")
+    # 2.8 upserts and sinks
+    q["upsert_metadata"] = _upsert_metadata
+    q["keep_last_ndc"] = source_ndc_products
+    q["keep_last_events"] = source_drug_events
+    q["load_bookkeeping"] = lambda s, d: source_metadata(s, d)
+    q["sink_roundtrip"] = _sink_roundtrip
+    q["json_rows_keep_nulls"] = lambda s, d: P.json_rows(source_ndc_products(s, d), keep_nulls=True)
+    q["json_rows_drop_nulls"] = lambda s, d: P.json_rows(source_ndc_products(s, d), keep_nulls=False)
+    q["json_single"] = lambda s, d: P.json_single(D.top_labelers(source_ndc_products(s, d)))
+    q["publish_version"] = _publish
+    # 2.9 checks
+    q["check_unique_dims"] = lambda s, d: C.unique_dims(_star(s, d))
+    q["check_fact_fks"] = lambda s, d: C.fact_foreign_keys(_star(s, d))
+    q["check_source_pks"] = lambda s, d: C.primary_key(ndc_records(s, d), ["product_ndc"], "ndc_records").unionByName(
+        C.primary_key(source_ndc_products(s, d), ["product_ndc"], "source_ndc_products")).unionByName(
+        C.primary_key(source_drug_events(s, d), ["safetyreportid"], "source_drug_events"))
+    q["check_not_null"] = _not_null
+    q["check_fact_grain"] = lambda s, d: C.fact_grain(_star(s, d))
     return q
+
+
+def _star_path(spark, d, table):
+    _star(spark, d)
+    tag = hashlib.sha1(f"{os.path.abspath(d)}|A".encode()).hexdigest()[:12]
+    return f"{warehouse_root(spark)}/star-A-{tag}/{table}"
+
+
+def _view(spark, d, name):
+    V.register_views(spark, _star(spark, d), source_metadata(spark, d))
+    return spark.table(name)
