@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from .materialize import materialize
 
 
 def number_rows(
@@ -29,13 +29,13 @@ def number_rows(
     ``row_number() OVER (PARTITION BY g ORDER BY k)``), but a large group is
     still spread over many tasks.  ``start`` may be a column of ``df`` (a
     per-group starting id).  The keys must be unique within a group for the
-    numbering to be deterministic.  The tagged rows are checkpointed reliably
-    to ``spark.checkpoint.dir``, so a lost executor cannot re-run the range
-    partitioning differently from the counts the offsets were taken from.
+    numbering to be deterministic.  The tagged rows are written once to the
+    shared folder (``spark.checkpoint.dir``) and read back, so a lost executor
+    cannot re-run the range partitioning differently from the counts the
+    offsets were taken from.
     """
     groups = list(group_cols or [])
     keys = groups + list(order_cols)
-    shared_dir(df.sparkSession)
     tagged = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
@@ -44,7 +44,7 @@ def number_rows(
     )
     # Position of the row inside its partition (the low 33 bits of the id).
     tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "numbered")
     # The small per-(partition, group) count table gives each row's offset:
     # rows of its group in earlier partitions, minus rows of earlier groups in
     # its own partition (which come first there, because rows are sorted).

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
+from ..functions.materialize import materialize
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIMENSIONS
 from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
@@ -145,11 +146,12 @@ def with_fact_ids(fact: DataFrame, start: int = 0) -> DataFrame:
 def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decimal") -> Star:
     """Stage -> grain aggregate -> dimensions (upserted) -> fact with ids.
 
-    The grain table is checkpointed: it is read by the dimension builds and by
-    the fact, and the checkpoint cuts the lineage back to the raw scan.
+    The grain table is written once to the shared folder: it is read by the
+    dimension builds and by the fact, and the write cuts the lineage back to
+    the raw scan.
     """
     staged = stage_sales(raw)
-    grain = grain_aggregate(staged, measure).checkpoint(eager=True)
+    grain = materialize(grain_aggregate(staged, measure), "grain")
     old = existing.dims if existing else None
     dims = name_dimensions(grain, old)
     dims[TIME_DIM] = time_dimension(grain, old[TIME_DIM] if old else None)

@@ -129,8 +129,8 @@ _FIXED_SIZE = {"nation": 25, "region": 5}
 
 def build(spark: SparkSession, sf_dir: str, mapping: Mapping) -> DataFrame:
     """Evaluate a mapping with DataFrame joins (dimension-like tables first)."""
-    tables = {t: read_table(spark, sf_dir, t, list(cols)) for t, cols in mapping.reads.items()}
     first, _ = mapping.joins[0]
+    tables = {t: read_table(spark, sf_dir, t, list(cols), spread_out=(t == first)) for t, cols in mapping.reads.items()}
     df = tables[first]
     for t, cond in mapping.joins[1:]:
         right = tables[t]

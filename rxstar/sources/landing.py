@@ -65,7 +65,8 @@ _LANDED: dict[tuple, dict[str, str]] = {}
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     lines = read_table(
-        spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+        spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+        spread_out=True,
     )
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     drugs = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
