@@ -37,7 +37,7 @@ def test_dimension_filter_pushed_to_scan_and_join_inner(star):
     df = D.kpi_summary(star, Filters(city="NATION_3"))
     p = plan(df)
     assert "EqualTo(dimName,NATION_3)" in p
-    assert "LeftOuter" not in p  # the filtered LEFT JOIN became INNER
+    assert "Join type: Inner" in p  # the filtered LEFT JOIN became INNER (dimTime stays outer)
 
 
 def test_year_filter_prunes_fact_partitions(star):
