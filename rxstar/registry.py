@@ -32,6 +32,7 @@ from .sources.fixtures import raw_sales
 from .sources.landing import landed_pages
 from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_projection
 from .sources.tables import read_table
+from .streaming.incremental import current_events, start_event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +198,17 @@ def _star_rows(spark, d):
     )
 
 
+def _stream_events(spark, d):
+    """Streaming re-aim of the event load: drain the landed pages in micro-batches, then read keep-last."""
+    import uuid
+
+    root = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex[:8]}"
+    q = start_event_stream(spark, landed_pages(spark, d)["event"], f"{root}/log", f"{root}/_checkpoint",
+                           max_files_per_trigger=2)
+    q.awaitTermination()
+    return current_events(spark, f"{root}/log")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     # 2.1 scans and sources
@@ -286,6 +298,7 @@ def queries() -> dict[str, Query]:
     q["upsert_metadata"] = _upsert_metadata
     q["keep_last_ndc"] = source_ndc_products
     q["keep_last_events"] = source_drug_events
+    q["stream_events_keep_last"] = _stream_events
     q["load_bookkeeping"] = lambda s, d: source_metadata(s, d)
     q["sink_roundtrip"] = _sink_roundtrip
     q["json_rows_keep_nulls"] = lambda s, d: P.json_rows(source_ndc_products(s, d), keep_nulls=True)

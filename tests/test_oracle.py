@@ -33,8 +33,7 @@ def duck(sf_dir):
 
 def test_every_query_has_an_oracle_or_a_reason():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"fact_drug_double", "stream_events_keep_last"} - (
-        {"stream_events_keep_last"} - set(E.queries()))
+    assert missing == {"fact_drug_double"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
