@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared folder, unique per call."""
+    return f"{shared_dir(spark)}/rxstar-stage/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rxstar-stage/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

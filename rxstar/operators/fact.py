@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
-from ..functions.materialize import materialize
+from ..functions.materialize import materialize, scratch_path
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIMENSIONS
 from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
@@ -64,8 +64,12 @@ def grain_aggregate(staged: DataFrame, measure: str = "decimal") -> DataFrame:
     return grain
 
 
-def name_dimensions(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """M1-M5 + M7/M8 in one pass: distinct names of all five columns, numbered per dimension."""
+def name_dimensions_numbered(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
+    """M1-M5 + M7/M8 in one pass: distinct names of all five columns, numbered per dimension.
+
+    Returns (dim, id, dimName); existing names keep their ids, new names are
+    appended after each dimension's current maximum.
+    """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(dim).alias("dim"), F.col(col).alias("dimName")) for dim, col in NAME_DIMENSIONS.items()])
     )
@@ -83,6 +87,12 @@ def name_dimensions(grain: DataFrame, existing: dict[str, DataFrame] | None = No
         numbered = numbered.select("dim", "id", "dimName").unionByName(old)
     else:
         numbered = number_rows(names, ["dimName"], id_type=T.IntegerType(), group_cols=["dim"])
+    return numbered.select("dim", "id", "dimName")
+
+
+def name_dimensions(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The five name dimensions as separate (id, dimName) frames."""
+    numbered = name_dimensions_numbered(grain, existing)
     return {dim: numbered.where(F.col("dim") == dim).select("id", "dimName") for dim in NAME_DIMENSIONS}
 
 
@@ -143,18 +153,49 @@ def with_fact_ids(fact: DataFrame, start: int = 0) -> DataFrame:
     return number_rows(fact, FACT_GRAIN, id_col="id", start=start, id_type=T.LongType())
 
 
-def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decimal") -> Star:
-    """Stage -> grain aggregate -> dimensions (upserted) -> fact with ids.
+def name_dimension_table(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All five name dimensions as one (dim, id, dimName) frame, numbered per dimension."""
+    return name_dimensions_numbered(grain, existing)
+
+
+def write_dimensions(names: DataFrame, days: DataFrame, path: str) -> None:
+    """Store the dimensions: the five name dimensions in one table partitioned by ``dim``, and dimTime."""
+    names.write.mode("overwrite").partitionBy("dim").parquet(f"{path}/names")
+    days.write.mode("overwrite").parquet(f"{path}/{TIME_DIM}")
+
+
+def write_fact(fact: DataFrame, path: str) -> None:
+    """Store the fact partitioned by ``fact_year`` (D6: overwrite is TRUNCATE + INSERT)."""
+    fact.write.mode("overwrite").partitionBy("fact_year").parquet(f"{path}/factDrug")
+
+
+def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Stored dimensions and their row counts (one small aggregate over the partition column)."""
+    dims = {dim: spark.read.parquet(f"{path}/names/dim={dim}") for dim in NAME_DIMENSIONS}
+    dims[TIME_DIM] = spark.read.parquet(f"{path}/{TIME_DIM}")
+    counts = {r["dim"]: r["n"] for r in spark.read.parquet(f"{path}/names").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {dim: int(counts.get(dim, 0)) for dim in NAME_DIMENSIONS}
+    rows[TIME_DIM] = dims[TIME_DIM].count()
+    return dims, rows
+
+
+def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decimal", out: str | None = None) -> Star:
+    """Stage -> grain aggregate -> dimensions (upserted) -> fact with ids, stored under ``out``.
 
     The grain table is written once to the shared folder: it is read by the
     dimension builds and by the fact, and the write cuts the lineage back to
-    the raw scan.
+    the raw scan.  Dimensions and fact are each written once, to ``out`` (a
+    fresh folder in the shared folder when not given), and read back.
     """
+    spark = raw.sparkSession
+    base = out or scratch_path(spark, "etl")
     staged = stage_sales(raw)
     grain = materialize(grain_aggregate(staged, measure), "grain")
     old = existing.dims if existing else None
-    dims = name_dimensions(grain, old)
-    dims[TIME_DIM] = time_dimension(grain, old[TIME_DIM] if old else None)
-    star_dims = Star(fact=None, dims=dims, dim_rows={k: v.count() for k, v in dims.items()})  # type: ignore[arg-type]
-    fact = with_fact_ids(fact_rows(grain, star_dims))
-    return Star(fact=fact, dims=dims, dim_rows=star_dims.dim_rows)
+    names = name_dimension_table(grain, old)
+    days = time_dimension(grain, old[TIME_DIM] if old else None)
+    write_dimensions(names, days, base)
+    dims, rows = read_dimensions(spark, base)
+    star_dims = Star(fact=None, dims=dims, dim_rows=rows)  # type: ignore[arg-type]
+    write_fact(with_fact_ids(fact_rows(grain, star_dims)), base)
+    return Star(fact=spark.read.parquet(f"{base}/factDrug"), dims=dims, dim_rows=rows)

@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
-from ..operators.fact import DIM_TABLES, Star, run_etl
+from ..operators.fact import Star, read_dimensions, run_etl, write_dimensions, write_fact
+from ..schemas import NAME_DIMENSIONS
 from ..session import shared_dir
 from ..sources.fixtures import raw_sales
 
@@ -26,15 +27,17 @@ def warehouse_root(spark: SparkSession) -> str:
 
 def write_star(star: Star, path: str) -> None:
     """Full reload of every table (overwrite = TRUNCATE + INSERT)."""
-    for name in DIM_TABLES:
-        star.dims[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    star.fact.write.mode("overwrite").partitionBy("fact_year").parquet(f"{path}/factDrug")
+    names = None
+    for name in NAME_DIMENSIONS:
+        part = star.dims[name].select(F.lit(name).alias("dim"), "id", "dimName")
+        names = part if names is None else names.unionByName(part)
+    write_dimensions(names, star.dims["dimTime"], path)
+    write_fact(star.fact, path)
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
-    dims = {name: spark.read.parquet(f"{path}/{name}") for name in DIM_TABLES}
-    fact = spark.read.parquet(f"{path}/factDrug")
-    return Star(fact=fact, dims=dims, dim_rows={name: df.count() for name, df in dims.items()})
+    dims, rows = read_dimensions(spark, path)
+    return Star(fact=spark.read.parquet(f"{path}/factDrug"), dims=dims, dim_rows=rows)
 
 
 def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
@@ -43,6 +46,5 @@ def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
     if key not in _STARS:
         tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{kind}".encode()).hexdigest()[:12]
         path = f"{warehouse_root(spark)}/star-{kind}-{tag}"
-        write_star(run_etl(raw_sales(spark, sf_dir, kind)), path)
-        _STARS[key] = read_star(spark, path)
+        _STARS[key] = run_etl(raw_sales(spark, sf_dir, kind), out=path)
     return _STARS[key]

@@ -319,7 +319,7 @@ def queries() -> dict[str, Query]:
 def _star_path(spark, d, table):
     _star(spark, d)
     tag = hashlib.sha1(f"{os.path.abspath(d)}|A".encode()).hexdigest()[:12]
-    return f"{warehouse_root(spark)}/star-A-{tag}/{table}"
+    return f"{warehouse_root(spark)}/star-A-{tag}/names/dim={table}"
 
 
 def _view(spark, d, name):
