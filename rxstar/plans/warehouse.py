@@ -19,6 +19,7 @@ from ..session import shared_dir
 from ..sources.fixtures import raw_sales
 
 _STARS: dict[tuple, Star] = {}
+_OPEN: dict[tuple, dict] = {}
 
 
 def warehouse_root(spark: SparkSession) -> str:
@@ -48,3 +49,22 @@ def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
         path = f"{warehouse_root(spark)}/star-{kind}-{tag}"
         _STARS[key] = run_etl(raw_sales(spark, sf_dir, kind), out=path)
     return _STARS[key]
+
+
+def open_tables(spark: SparkSession, sf_dir: str, build) -> dict:
+    """The stored openFDA source tables, loaded once per application.
+
+    ``build`` maps a table name to a function returning its DataFrame (the
+    loaders); each result is written once as Parquet and read back, as the
+    reference stores its source tables before the dashboard reads them.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _OPEN:
+        tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+        root = f"{warehouse_root(spark)}/sources-{tag}"
+        tables = {}
+        for name, fn in build.items():
+            fn().write.mode("overwrite").parquet(f"{root}/{name}")
+            tables[name] = spark.read.parquet(f"{root}/{name}")
+        _OPEN[key] = tables
+    return _OPEN[key]

@@ -25,7 +25,7 @@ from .plans import dashboard as D
 from .plans import views as V
 from .plans.filters import Filters
 from .plans.star import star_join
-from .plans.warehouse import read_star, sales_star, warehouse_root, write_star
+from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
 from .session import shared_dir
 from .sources import openfda as S
 from .sources.fixtures import raw_sales
@@ -113,6 +113,15 @@ def source_metadata(spark, d, fetched_at: str = FIRST_RUN, only_open: bool = Fal
     return out
 
 
+def stored(spark, d, name: str) -> DataFrame:
+    """Stored source table (source_ndc_products, source_drug_events, source_metadata)."""
+    return open_tables(spark, d, {
+        "source_ndc_products": lambda: source_ndc_products(spark, d),
+        "source_drug_events": lambda: source_drug_events(spark, d),
+        "source_metadata": lambda: source_metadata(spark, d),
+    })[name]
+
+
 def _upsert_metadata(spark, d):
     first = source_metadata(spark, d, FIRST_RUN)
     second = source_metadata(spark, d, SECOND_RUN, only_open=True)
@@ -278,11 +287,11 @@ def queries() -> dict[str, Query]:
     q["refund_split"] = _dash(D.refund_split)
     q["refund_share"] = lambda s, d: D.refund_share(D.refund_split(_star(s, d)))
     q["recent_records"] = _dash(D.recent_records)
-    q["top_labelers"] = lambda s, d: D.top_labelers(source_ndc_products(s, d))
-    q["top_labelers_ci"] = lambda s, d: D.top_labelers(source_ndc_products(s, d), case_insensitive=True)
-    q["top_reactions"] = lambda s, d: D.top_reactions(source_drug_events(s, d))
+    q["top_labelers"] = lambda s, d: D.top_labelers(stored(s, d, "source_ndc_products"))
+    q["top_labelers_ci"] = lambda s, d: D.top_labelers(stored(s, d, "source_ndc_products"), case_insensitive=True)
+    q["top_reactions"] = lambda s, d: D.top_reactions(stored(s, d, "source_drug_events"))
     q["source_summary"] = lambda s, d: D.source_summary(
-        source_metadata(s, d), source_ndc_products(s, d), source_drug_events(s, d))
+        stored(s, d, "source_metadata"), stored(s, d, "source_ndc_products"), stored(s, d, "source_drug_events"))
     for name, dim in (("filter_cities", "dimCity"), ("filter_conditions", "dimConTh"), ("filter_drugs", "dimDrug"),
                       ("filter_types", "dimDrugType"), ("filter_manufacturers", "dimMan")):
         q[name] = (lambda dim: lambda s, d: D.filter_values(_star(s, d), dim))(dim)
@@ -301,9 +310,9 @@ def queries() -> dict[str, Query]:
     q["stream_events_keep_last"] = _stream_events
     q["load_bookkeeping"] = lambda s, d: source_metadata(s, d)
     q["sink_roundtrip"] = _sink_roundtrip
-    q["json_rows_keep_nulls"] = lambda s, d: P.json_rows(source_ndc_products(s, d), keep_nulls=True)
-    q["json_rows_drop_nulls"] = lambda s, d: P.json_rows(source_ndc_products(s, d), keep_nulls=False)
-    q["json_single"] = lambda s, d: P.json_single(D.top_labelers(source_ndc_products(s, d)))
+    q["json_rows_keep_nulls"] = lambda s, d: P.json_rows(stored(s, d, "source_ndc_products"), keep_nulls=True)
+    q["json_rows_drop_nulls"] = lambda s, d: P.json_rows(stored(s, d, "source_ndc_products"), keep_nulls=False)
+    q["json_single"] = lambda s, d: P.json_single(D.top_labelers(stored(s, d, "source_ndc_products")))
     q["publish_version"] = _publish
     # 2.9 checks
     q["check_unique_dims"] = lambda s, d: C.unique_dims(_star(s, d))
@@ -323,5 +332,5 @@ def _star_path(spark, d, table):
 
 
 def _view(spark, d, name):
-    V.register_views(spark, _star(spark, d), source_metadata(spark, d))
+    V.register_views(spark, _star(spark, d), stored(spark, d, "source_metadata"))
     return spark.table(name)
