@@ -20,7 +20,7 @@ from ..functions.joins import bounded_broadcast
 from ..functions.materialize import materialize, scratch_path
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIMENSIONS
-from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
+from .dimensions import distinct_days, upsert_days, with_surrogate_keys
 from .staging import stage_sales
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())

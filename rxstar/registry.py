@@ -18,7 +18,7 @@ from .functions.exact import as_double
 from .operators import quality as C
 from .operators import sinks as P
 from .operators.dimensions import distinct_days, distinct_names, upsert_days, upsert_names, with_surrogate_keys
-from .operators.fact import grain_aggregate, key_lookup, lookup_rejects, run_etl, with_fact_ids
+from .operators.fact import key_lookup, lookup_rejects, run_etl
 from .operators.staging import stage_rejects, stage_sales, typed_columns
 from .operators.upsert import bookkeeping, keep_last, upsert_by_key
 from .plans import dashboard as D
@@ -26,7 +26,6 @@ from .plans import views as V
 from .plans.filters import Filters
 from .plans.star import star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
-from .session import shared_dir
 from .sources import openfda as S
 from .sources.fixtures import raw_sales
 from .sources.landing import landed_pages
