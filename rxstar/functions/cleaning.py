@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 # Fixed values of the reference's staging rules.
 TIMESTAMP_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-TIMESTAMP_LOOSE_FORMAT = "yyyy-M-d H:m:s"  # same as MySQL '%Y-%m-%d %H:%i:%s', unpadded parts allowed
+# MySQL '%Y-%m-%d %H:%i:%s': every part but the year may be unpadded.
+TIMESTAMP_LOOSE = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$"
 TRUE_FLAGS = ["1", "true", "yes", "y", "t"]
 BLANK_LABEL = "Unknown"
 TEXT_LIMIT = 1000
@@ -15,8 +16,16 @@ LIST_SEPARATOR = ", "
 
 
 def parse_sale_timestamp(c: Column) -> Column:
-    """ISO-looking text is cast, anything else parsed with the loose format; NULL if neither works."""
-    loose = F.try_to_timestamp(c, F.lit(TIMESTAMP_LOOSE_FORMAT)).cast(T.TimestampNTZType())
+    """ISO-looking text is cast, anything else parsed with the loose format; NULL if neither works.
+
+    Both paths produce TIMESTAMP_NTZ directly (wall-clock fields, no session
+    time zone), so a DST gap in the session zone cannot shift a value.
+    """
+    part = lambda i: F.regexp_extract(c, TIMESTAMP_LOOSE, i).try_cast(T.IntegerType())
+    loose = F.when(
+        c.rlike(TIMESTAMP_LOOSE),
+        F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), part(6).cast(T.DecimalType(16, 6))),
+    )
     return F.when(c.rlike(TIMESTAMP_PREFIX), c.try_cast(T.TimestampNTZType())).otherwise(loose)
 
 

@@ -91,3 +91,14 @@ def test_number_rows_groups_and_start(spark):
         pairs.sort()
         base = 10 if g == "a" else 0
         assert [i for _, i in pairs] == list(range(base + 1, base + len(pairs) + 1))
+
+
+def test_timestamp_parse_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # 02:30 on 2024-03-10 does not exist in New York; as a wall-clock value it must survive
+        got = one_col(spark, ["2024-3-10 2:30:0", "2024-03-10 02:30:00"]).select(
+            C.parse_sale_timestamp(F.col("x"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [r[0] for r in got] == [dt.datetime(2024, 3, 10, 2, 30)] * 2
