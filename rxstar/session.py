@@ -48,3 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized from the input, for a cluster run (a suggestion for the job submitter).
+
+    Shuffle partitions start at input / target size (at least 2 x cores) and
+    AQE coalesces small ones and splits skewed ones at run time; file splits
+    stay at the target size so a task's input fits executor memory.
+    """
+    partitions = max(2 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

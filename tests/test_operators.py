@@ -140,3 +140,27 @@ def test_not_null_counts(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b string")
     got = {(r["table_name"], r["column_name"]): r["nulls"] for r in Q.not_null_counts({"t": (df, ["a", "b"])}).collect()}
     assert got == {("t", "a"): 1, ("t", "b"): 2}
+
+
+def test_streaming_event_load(spark, tmp_path):
+    import json
+
+    from rxstar.operators.sinks import read_current
+    from rxstar.streaming.incremental import compact_events, current_events, start_event_stream
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+
+    def page(skip, ids, tag):
+        return {"skip": skip, "meta": {"results": {"total": 4}}, "results": [
+            {"safetyreportid": str(i), "receivedate": "20250101", "serious": "1",
+             "patient": {"patientsex": tag, "drug": None, "reaction": None}} for i in ids]}
+
+    (landing / "p0.json").write_text(json.dumps(page(0, [1, 2], "old")))
+    (landing / "p1.json").write_text(json.dumps(page(2, [2, 3], "new")))  # report 2 is re-issued
+    q = start_event_stream(spark, str(landing), str(tmp_path / "log"), str(tmp_path / "ck"), max_files_per_trigger=1)
+    q.awaitTermination()
+    got = {r["safetyreportid"]: r["patientsex"] for r in current_events(spark, str(tmp_path / "log")).collect()}
+    assert got == {"1": "old", "2": "new", "3": "new"}
+    compact_events(spark, str(tmp_path / "log"), str(tmp_path / "snap"))
+    assert read_current(spark, str(tmp_path / "snap")).count() == 3
