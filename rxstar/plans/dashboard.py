@@ -12,7 +12,7 @@ from ..functions.cleaning import blank_to_label
 from ..functions.exact import as_double, ratio, round2
 from ..operators.fact import Star
 from .filters import Filters
-from .star import filtered
+from .star import filtered, star_join
 
 # Fixed values of the reference's dashboard.
 REFUNDED_LABEL = "Refundowane"
@@ -141,8 +141,19 @@ def refund_share(split: DataFrame) -> DataFrame:
 
 
 def recent_records(star: Star, filters: Filters | None = None, limit: int = RECENT_LIMIT) -> DataFrame:
-    """O1: the latest fact rows with all names, two measures rounded to 2 places."""
-    df = filtered(star, filters, set(LABELS[k][0] for k in LABELS))
+    """O1: the latest fact rows with all names, two measures rounded to 2 places.
+
+    The top ``limit`` rows are chosen on the fact joined only to dimTime (for
+    the order) and to the dimensions the filters need; the other names are
+    then joined to those ``limit`` rows alone.  Ids are unique, so the LEFT
+    JOINs after the limit neither add nor drop rows.
+    """
+    filters = filters or Filters()
+    order = [F.col("timeDay").desc_nulls_last(), F.col("id").desc()]
+    top = filtered(star, filters, {"dimTime"}).orderBy(*order).limit(limit)
+    done = filters.dimensions() | {"dimTime"}
+    rest = Star(fact=top, dims=star.dims, dim_rows=star.dim_rows)
+    df = star_join(rest, set(LABELS[k][0] for k in LABELS) - done)
     out = df.select(
         "id",
         F.col("timeDay").alias("sale_date"),
@@ -156,7 +167,7 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
         as_double(round2(F.col("sumDrug"))).alias("total_sales"),
         as_double(round2(F.col("avgDrug"))).alias("avg_price"),
     )
-    return out.orderBy(F.col("sale_date").desc_nulls_last(), F.col("id").desc()).limit(limit)
+    return out.orderBy(F.col("sale_date").desc_nulls_last(), F.col("id").desc())
 
 
 def top_labels(df: DataFrame, column: str, count_name: str, limit: int = SOURCE_TOP_LIMIT,

@@ -42,8 +42,10 @@ def paged_records(pages: DataFrame, limit: int, page_size: int = EVENT_PAGE_SIZE
     scalar), so no page list passes through the driver.
     """
     sized = pages.withColumn("_n", F.coalesce(F.size("results"), F.lit(0)))
-    first_short = sized.where(F.col("_n") < page_size).select(F.min("skip")).scalar()
-    kept = sized.where(first_short.isNull() | (F.col("skip") <= first_short)).drop("_n")
+    last_read = sized.where(F.col("_n") < page_size).select(
+        F.coalesce(F.min("skip"), F.lit(2**63 - 1).cast("long"))
+    ).scalar()
+    kept = sized.where(F.col("skip") <= last_read).drop("_n")
     return records(kept).where(F.col("seq") < limit)
 
 
@@ -52,10 +54,6 @@ def total_available(pages: DataFrame) -> DataFrame:
     return pages.agg(F.max_by("meta.results.total", "skip").alias("total_available"))
 
 
-def _text(c: Column, strict: bool) -> Column:
-    return truncate_text(c) if strict else c
-
-
 def flatten_ndc(recs: DataFrame) -> DataFrame:
     """NDC record -> 10 columns with the alias fallbacks (``a or b``)."""
     r = lambda n: F.col(f"r.{n}")
