@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession, functions as F
 from ..operators.fact import Star, read_dimensions, run_etl, write_dimensions, write_fact
 from ..schemas import NAME_DIMENSIONS
 from ..session import shared_dir
-from ..sources.fixtures import raw_sales
+from ..sources.fixtures import landed_raw_sales as raw_sales
 
 _STARS: dict[tuple, Star] = {}
 _OPEN: dict[tuple, dict] = {}

@@ -27,7 +27,7 @@ from .plans.filters import Filters
 from .plans.star import star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
 from .sources import openfda as S
-from .sources.fixtures import raw_sales
+from .sources.fixtures import landed_raw_sales as raw_sales
 from .sources.landing import landed_pages
 from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_projection
 from .sources.tables import read_table
