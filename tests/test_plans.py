@@ -55,3 +55,20 @@ def test_scan_reads_only_needed_columns(star):
     p = plan(D.top_drugs(star))
     schemas = [line for line in p.splitlines() if line.startswith("ReadSchema")]
     assert "ReadSchema: struct<dimDrug_id:int,cntDrug:bigint,sumDrug:decimal(20,2)>" in schemas
+
+
+def test_api_routes(star, spark, sf_dir):
+    from rxstar import registry
+    from rxstar.plans.api import Sources, answer
+
+    top = answer("/api/top-drugs", {"year": ["1997"], "city": [" "]}, star).collect()
+    assert len(top) == 10 and top[0]["total_sales"] >= top[-1]["total_sales"]
+    lists = answer("/api/filters", {}, star)
+    assert set(lists) == {"cities", "conditions", "drugs", "types", "manufacturers", "years"}
+    sources = Sources(*(registry.stored(spark, sf_dir, n) for n in ("source_metadata", "source_ndc_products",
+                                                                     "source_drug_events")))
+    assert answer("/api/source-summary", {}, star, sources).count() == 3
+    with pytest.raises(ValueError):
+        answer("/api/summary", {"refunded": ["maybe"]}, star)
+    with pytest.raises(KeyError):
+        answer("/api/nothing", {}, star)
