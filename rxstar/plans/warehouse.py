@@ -1,9 +1,9 @@
 """The stored star: run the ETL once, write Parquet to the shared folder, read it back.
 
 Dashboard queries read the stored tables, as the reference's dashboard reads
-its database: dimensions are small Parquet tables counted once (a metadata
-read) so their broadcast is size-checked, and the fact is partitioned by
-``fact_year`` so a year filter prunes files.
+its database: dimension sizes are counted once at load (one small aggregate)
+so every broadcast of a dimension is size-checked, and the fact is
+partitioned by ``fact_year`` so a year filter prunes files.
 """
 
 from __future__ import annotations
