@@ -27,42 +27,40 @@ def json_single(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
     return first.agg(F.coalesce(F.first("json"), F.lit("{}")).alias("json"))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def _manifest(base: str) -> str:
+    return f"{base}/_manifest"
+
+
+def _latest_version(spark: SparkSession, base: str) -> int:
+    """Newest committed version number (0 when nothing is published yet)."""
+    try:
+        row = spark.read.parquet(_manifest(base)).agg(F.max("version").alias("v")).first()
+    except Exception as exc:  # noqa: BLE001 - no manifest yet
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return 0
+        raise
+    return int(row["v"] or 0)
 
 
 def publish_version(df: DataFrame, base: str) -> str:
-    """P5: write a new version directory next to the old ones; readers pick the newest complete one.
+    """P5: write a new version directory next to the old ones, then record it in a manifest.
 
-    A version is complete when the writer's commit marker ``_SUCCESS`` exists,
-    so a reader never sees a half-written version and a path being read is
-    never overwritten.  Returns the new version's path.
+    The data is committed before its manifest row is appended, so a reader
+    that takes the newest manifest entry never sees a half-written version,
+    and a path being read is never overwritten.  Returns the new version's path.
+    Versions are meant to be published by one writer at a time.
     """
     spark = df.sparkSession
-    versions = _versions(spark, base)
-    nxt = (max(versions) + 1) if versions else 1
-    path = f"{base}/v{nxt:08d}"
+    version = _latest_version(spark, base) + 1
+    path = f"{base}/v{version:08d}"
     df.write.mode("errorifexists").parquet(path)
+    spark.createDataFrame([(version, path)], "version long, path string").write.mode("append").parquet(_manifest(base))
     return path
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    fs, p, jvm = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[1:]))
-    return out
-
-
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """P5 reader: the newest complete version."""
-    versions = _versions(spark, base)
-    if not versions:
+    """P5 reader: the newest published version."""
+    version = _latest_version(spark, base)
+    if not version:
         raise FileNotFoundError(f"no published version under {base}")
-    return spark.read.parquet(f"{base}/v{max(versions):08d}")
+    return spark.read.parquet(f"{base}/v{version:08d}")
