@@ -122,9 +122,16 @@ def stored(spark, d, name: str) -> DataFrame:
 
 
 def _upsert_metadata(spark, d):
-    first = source_metadata(spark, d, FIRST_RUN)
+    """The first run's metadata is published, the second run is merged into it by key,
+    and the merge is published as the next version (no table is updated in place)."""
+    import uuid
+
+    base = f"{_scratch(spark, d, 'metadata_versions')}/{uuid.uuid4().hex[:8]}"
+    P.publish_version(source_metadata(spark, d, FIRST_RUN), base)
+    current = P.read_current(spark, base)
     second = source_metadata(spark, d, SECOND_RUN, only_open=True)
-    return upsert_by_key(first, second, ["source_key"]).orderBy("source_key")
+    P.publish_version(upsert_by_key(current, second, ["source_key"]), base)
+    return P.read_current(spark, base).orderBy("source_key")
 
 
 # --- sales helpers --------------------------------------------------------------
