@@ -274,6 +274,8 @@ def queries() -> dict[str, Query]:
         "id", "dimCity_id", "dimConTh_id", "dimDrug_id", "dimDrugType_id", "dimMan_id", "dimTime_id", "is_refunded")
     q["fact_reload"] = _fact_reload
     q["etl_end_to_end"] = lambda s, d: fact_output(run_etl(raw_sales(s, d, "A")).fact)
+    q["etl_incremental_reload"] = lambda s, d: fact_output(
+        run_etl(raw_sales(s, d, "A"), existing=sales_star(s, d, "B")).fact)
     # 2.5 star and filters
     q["star_join"] = _star_rows
     for name, f in FILTER_CASES.items():
