@@ -25,7 +25,6 @@ from .staging import stage_sales
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())
 TIME_DIM = "dimTime"
-DIM_TABLES = list(NAME_DIMENSIONS) + [TIME_DIM]
 
 
 @dataclass
@@ -90,12 +89,6 @@ def name_dimensions_numbered(grain: DataFrame, existing: dict[str, DataFrame] |
     return numbered.select("dim", "id", "dimName")
 
 
-def name_dimensions(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The five name dimensions as separate (id, dimName) frames."""
-    numbered = name_dimensions_numbered(grain, existing)
-    return {dim: numbered.where(F.col("dim") == dim).select("id", "dimName") for dim in NAME_DIMENSIONS}
-
-
 def time_dimension(grain: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """M6 + M7/M9: one row per distinct sale day."""
     days = distinct_days(grain, "saleDay")

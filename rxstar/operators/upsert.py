@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from ..schemas import SOURCE_METADATA
 
@@ -61,9 +60,3 @@ def bookkeeping(source_key: str, loaded: DataFrame, total: DataFrame | None, fet
 def metadata_seed(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Literal metadata rows (VALUES) with the declared schema."""
     return spark.createDataFrame(rows, SOURCE_METADATA)
-
-
-def empty_metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SOURCE_METADATA).select(
-        *[F.col(f.name).cast(f.dataType if not isinstance(f.dataType, T.StringType) else "string") for f in SOURCE_METADATA]
-    )

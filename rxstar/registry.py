@@ -24,7 +24,7 @@ from .operators.upsert import bookkeeping, keep_last, upsert_by_key
 from .plans import dashboard as D
 from .plans import views as V
 from .plans.filters import Filters
-from .plans.star import star_join
+from .plans.star import ALL_DIMS, star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
 from .sources import openfda as S
 from .sources.fixtures import landed_raw_sales as raw_sales
@@ -206,7 +206,7 @@ def _key_lookup(spark, d):
 
 def _star_rows(spark, d):
     star = _star(spark, d)
-    df = star_join(star, set(["dimCity", "dimConTh", "dimDrug", "dimDrugType", "dimMan", "dimTime"]))
+    df = star_join(star, ALL_DIMS)
     return df.select(
         "id", "city", "condition", "drug", "drug_type", "manufacturer", "timeDay", "timeMonth", "timeYear",
         "is_refunded", F.col("cntDrug").cast("long").alias("cntDrug"), as_double(F.col("sumDrug")).alias("sumDrug"),

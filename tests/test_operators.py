@@ -158,9 +158,37 @@ def test_streaming_event_load(spark, tmp_path):
 
     (landing / "p0.json").write_text(json.dumps(page(0, [1, 2], "old")))
     (landing / "p1.json").write_text(json.dumps(page(2, [2, 3], "new")))  # report 2 is re-issued
+    import os
+    import time
+
+    now = time.time()  # the stream takes files in landing (modification time) order
+    os.utime(landing / "p0.json", (now - 60, now - 60))
+    os.utime(landing / "p1.json", (now - 30, now - 30))
     q = start_event_stream(spark, str(landing), str(tmp_path / "log"), str(tmp_path / "ck"), max_files_per_trigger=1)
     q.awaitTermination()
     got = {r["safetyreportid"]: r["patientsex"] for r in current_events(spark, str(tmp_path / "log")).collect()}
     assert got == {"1": "old", "2": "new", "3": "new"}
     compact_events(spark, str(tmp_path / "log"), str(tmp_path / "snap"))
     assert read_current(spark, str(tmp_path / "snap")).count() == 3
+    from rxstar.streaming.incremental import batches_written
+
+    assert sorted(r["records"] for r in batches_written(spark, str(tmp_path / "log")).collect()) == [2, 2]
+
+
+def test_declared_schemas(raw):
+    from rxstar.schemas import FACT_COLUMNS, NAME_DIM, TEMP_STD, TIME_DIM
+
+    staged = stage_sales(raw)
+    assert [(f.name, f.dataType) for f in staged.schema] == [(f.name, f.dataType) for f in TEMP_STD]
+    star = run_etl(raw)
+    assert [(f.name, f.dataType) for f in star.dims["dimCity"].schema] == [(f.name, f.dataType) for f in NAME_DIM]
+    assert [(f.name, f.dataType) for f in star.dims["dimTime"].schema] == [(f.name, f.dataType) for f in TIME_DIM]
+    assert sorted(star.fact.columns) == sorted(FACT_COLUMNS + ["fact_year"])
+
+
+def test_scale_conf_sizes_partitions():
+    from rxstar.session import scale_conf
+
+    conf = scale_conf(100 * 2**40, total_cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409601 and conf["spark.sql.adaptive.enabled"] == "true"
+    assert int(scale_conf(10, total_cores=8)["spark.sql.shuffle.partitions"]) == 16

@@ -63,6 +63,7 @@ def test_date_range_and_load_limit(spark):
                                "seq long, receivedate string")
     assert [r[1] for r in S.event_date_range(df).collect()] == ["20240101", "20261231"]
     assert [r[0] for r in S.load_limit(df, limit=500, cap=2).collect()] == [0, 1]
+    assert S.load_limit(df, limit=3, cap=S.EVENT_LOAD_CAP).count() == 3  # events: min(limit, 100)
 
 
 def test_page_schema_is_explicit():
