@@ -8,7 +8,7 @@ from ..schemas import SOURCE_METADATA
 
 # The sources the loaders record.
 SOURCES = {
-    "sales_backup": ("Sales warehouse backup", "file:sales_backup.bak"),
+    "sqlserver_backup": ("SQL Server backup S (1).bak", "S (1).bak"),
     "openfda_ndc": ("FDA National Drug Code Directory", "https://api.fda.gov/drug/ndc.json"),
     "openfda_event": ("openFDA Drug Adverse Event Reports", "https://api.fda.gov/drug/event.json"),
 }

@@ -108,7 +108,7 @@ def source_metadata(spark, d, fetched_at: str = FIRST_RUN, only_open: bool = Fal
     ev = bookkeeping("openfda_event", event_records(spark, d), S.total_available(pages(spark, d, "event")), fetched_at)
     out = ndc.unionByName(ev)
     if not only_open:
-        out = bookkeeping("sales_backup", _star(spark, d).fact, None, fetched_at).unionByName(out)
+        out = bookkeeping("sqlserver_backup", _star(spark, d).fact, None, fetched_at).unionByName(out)
     return out
 
 
