@@ -72,3 +72,26 @@ def test_api_routes(star, spark, sf_dir):
         answer("/api/summary", {"refunded": ["maybe"]}, star)
     with pytest.raises(KeyError):
         answer("/api/nothing", {}, star)
+
+
+def test_dashboard_sql_through_catalog(star, spark):
+    from rxstar.plans.catalog import register_star
+
+    register_star(spark, star)
+    sql = """
+        SELECT dr.dimName AS label,
+               CAST(COALESCE(SUM(f.sumDrug), 0) AS DOUBLE) AS total_sales,
+               COALESCE(SUM(f.cntDrug), 0) AS transactions
+        FROM factDrug f
+        LEFT JOIN dimDrug dr ON dr.id = f.dimDrug_id
+        LEFT JOIN dimTime tt ON tt.id = f.dimTime_id
+        WHERE tt.timeYear = 1997
+        GROUP BY dr.dimName
+        ORDER BY total_sales DESC, label
+        LIMIT 10
+    """
+    got = [(r["label"], r["total_sales"], r["transactions"]) for r in spark.sql(sql).collect()]
+    want = [(r["label"], r["total_sales"], r["transactions"])
+            for r in D.top_drugs(star, Filters(year=1997)).collect()]
+    assert got == want and len(got) == 10
+    assert "TakeOrderedAndProject" in plan(spark.sql(sql))
