@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ..operators.fact import Star, read_dimensions, run_etl, write_dimensions, write_fact
 from ..schemas import NAME_DIMENSIONS
+from ..functions.once import once
 from ..session import shared_dir
 from ..sources.fixtures import landed_raw_sales as raw_sales
 
@@ -44,11 +45,12 @@ def read_star(spark: SparkSession, path: str) -> Star:
 def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
     """The star loaded from mapping ``kind`` of ``sf_dir``; built once per application."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
-    if key not in _STARS:
+
+    def build() -> Star:
         tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{kind}".encode()).hexdigest()[:12]
-        path = f"{warehouse_root(spark)}/star-{kind}-{tag}"
-        _STARS[key] = run_etl(raw_sales(spark, sf_dir, kind), out=path)
-    return _STARS[key]
+        return run_etl(raw_sales(spark, sf_dir, kind), out=f"{warehouse_root(spark)}/star-{kind}-{tag}")
+
+    return once(_STARS, key, build)
 
 
 def open_tables(spark: SparkSession, sf_dir: str, build) -> dict:
@@ -59,12 +61,14 @@ def open_tables(spark: SparkSession, sf_dir: str, build) -> dict:
     reference stores its source tables before the dashboard reads them.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _OPEN:
+
+    def load() -> dict:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
         root = f"{warehouse_root(spark)}/sources-{tag}"
         tables = {}
         for name, fn in build.items():
             fn().write.mode("overwrite").parquet(f"{root}/{name}")
             tables[name] = spark.read.parquet(f"{root}/{name}")
-        _OPEN[key] = tables
-    return _OPEN[key]
+        return tables
+
+    return once(_OPEN, key, load)

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.exact import as_double
+from .functions.once import once
 from .operators import quality as C
 from .operators import sinks as P
 from .operators.dimensions import distinct_days, distinct_names, upsert_days, upsert_names, with_surrogate_keys
@@ -135,15 +136,18 @@ def _upsert_metadata(spark, d):
 
 
 # --- sales helpers --------------------------------------------------------------
+_LANDED_CSV: dict[str, str] = {}
+
+
 def _landed_raw(spark, d):
+    """Mapping A landed once as CSV text files, then scanned with the fixed text schema."""
     path = _scratch(spark, d, "import_raw_csv")
-    if not _landed_raw.done.get(path):
-        land_csv(raw_sales(spark, d, "A"), path)
-        _landed_raw.done[path] = True
-    return scan_import_raw(spark, path)
 
+    def land() -> str:
+        land_csv(raw_sales(spark, d, "A"), path)
+        return path
 
-_landed_raw.done = {}
+    return scan_import_raw(spark, once(_LANDED_CSV, path, land))
 
 
 def _dim_upsert(spark, d):

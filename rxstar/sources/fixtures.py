@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.joins import bounded_broadcast
 from ..schemas import IMPORT_RAW
+from ..functions.once import once
 from ..session import shared_dir
 from .tables import read_table
 
@@ -161,9 +162,11 @@ def landed_raw_sales(spark: SparkSession, sf_dir: str, kind: str = "A") -> DataF
     on every call.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
-    if key not in _LANDED_RAW:
+
+    def land() -> str:
         tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{kind}".encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/rxstar-landing/{spark.sparkContext.applicationId}/import_raw-{kind}-{tag}"
         raw_sales(spark, sf_dir, kind).write.mode("overwrite").parquet(path)
-        _LANDED_RAW[key] = path
-    return spark.read.schema(IMPORT_RAW).parquet(_LANDED_RAW[key])
+        return path
+
+    return spark.read.schema(IMPORT_RAW).parquet(once(_LANDED_RAW, key, land))

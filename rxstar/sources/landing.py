@@ -23,6 +23,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import EVENT_PAGE, NDC_PAGE
+from ..functions.once import once
 from ..session import shared_dir
 from .tables import read_table
 
@@ -123,14 +124,16 @@ def _pages(reports: DataFrame, total) -> DataFrame:
 def landed_pages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Land both page sets once per application; returns {'ndc': path, 'event': path}."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _LANDED:
+
+    def land() -> dict[str, str]:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
         root = f"{shared_dir(spark)}/rxstar-landing/{spark.sparkContext.applicationId}/{tag}"
         paths = {"ndc": f"{root}/ndc", "event": f"{root}/event"}
         ndc_pages(spark, sf_dir).write.mode("overwrite").json(paths["ndc"])
         event_pages(spark, sf_dir).write.mode("overwrite").json(paths["event"])
-        _LANDED[key] = paths
-    return _LANDED[key]
+        return paths
+
+    return once(_LANDED, key, land)
 
 
 def page_schema(kind: str):
