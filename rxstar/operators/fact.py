@@ -20,7 +20,7 @@ from ..functions.joins import bounded_broadcast
 from ..functions.materialize import materialize, scratch_path
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIMENSIONS
-from .dimensions import distinct_days, upsert_days, with_surrogate_keys
+from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
 from .staging import stage_sales
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())
@@ -63,34 +63,48 @@ def grain_aggregate(staged: DataFrame, measure: str = "decimal") -> DataFrame:
     return grain
 
 
-def name_dimensions_numbered(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
-    """M1-M5 + M7/M8 in one pass: distinct names of all five columns, numbered per dimension.
+DAY_TEXT = "yyyy-MM-dd"  # ISO day text sorts like the date (years 0000-9999)
 
-    Returns (dim, id, dimName); existing names keep their ids, new names are
-    appended after each dimension's current maximum.
+
+def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
+    """M1-M9 in one distributed pass: (dim, id, dimName) for all six dimensions.
+
+    The five name dimensions take the distinct non-null names; dimTime takes
+    the distinct sale days as ISO text, so numbering by text is numbering by
+    day.  Existing members keep their ids; new ones are appended after each
+    dimension's current maximum (insert-if-absent, and for days the
+    insert-or-update of the reference, whose other attributes are functions
+    of the day and are derived again from it).
     """
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(dim).alias("dim"), F.col(col).alias("dimName")) for dim, col in NAME_DIMENSIONS.items()])
-    )
-    names = grain.select(pairs.alias("p")).select("p.dim", "p.dimName").where(F.col("dimName").isNotNull()).distinct()
-    if existing:
-        old = None
-        for dim, df in existing.items():
-            if dim in NAME_DIMENSIONS:
-                part = df.select(F.lit(dim).alias("dim"), "id", "dimName")
-                old = part if old is None else old.unionByName(part)
-        names = names.join(old.select("dim", "dimName"), ["dim", "dimName"], "left_anti")
-        starts = old.groupBy("dim").agg(F.max("id").alias("_start"))
-        names = names.join(F.broadcast(starts), "dim", "left").fillna({"_start": 0})
-        numbered = number_rows(names, ["dimName"], start=F.col("_start"), id_type=T.IntegerType(), group_cols=["dim"])
-        numbered = numbered.select("dim", "id", "dimName").unionByName(old)
-    else:
-        numbered = number_rows(names, ["dimName"], id_type=T.IntegerType(), group_cols=["dim"])
-    return numbered.select("dim", "id", "dimName")
+    members = [F.struct(F.lit(dim).alias("dim"), F.col(col).alias("dimName")) for dim, col in NAME_DIMENSIONS.items()]
+    members.append(F.struct(F.lit(TIME_DIM).alias("dim"), F.date_format("saleDay", DAY_TEXT).alias("dimName")))
+    found = grain.select(F.explode(F.array(*members)).alias("m")).select("m.dim", "m.dimName")
+    found = found.where(F.col("dimName").isNotNull()).distinct()
+    if not existing:
+        numbered = number_rows(found, ["dimName"], id_type=T.IntegerType(), group_cols=["dim"])
+        return numbered.select("dim", "id", "dimName")
+    old = None
+    for dim, df in existing.items():
+        name = F.date_format("timeDay", DAY_TEXT) if dim == TIME_DIM else F.col("dimName")
+        part = df.select(F.lit(dim).alias("dim"), "id", name.alias("dimName"))
+        old = part if old is None else old.unionByName(part)
+    new = found.join(old.select("dim", "dimName"), ["dim", "dimName"], "left_anti")
+    starts = old.groupBy("dim").agg(F.max("id").alias("_start"))  # one row per dimension
+    new = new.join(F.broadcast(starts), "dim", "left").fillna({"_start": 0})
+    numbered = number_rows(new, ["dimName"], start=F.col("_start"), id_type=T.IntegerType(), group_cols=["dim"])
+    return numbered.select("dim", "id", "dimName").unionByName(old)
+
+
+def split_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The five name dimensions as (dim, id, dimName), and dimTime with its day attributes."""
+    names = members.where(F.col("dim") != TIME_DIM)
+    day = F.to_date(F.col("dimName"), DAY_TEXT)
+    days = members.where(F.col("dim") == TIME_DIM).select("id", *time_attributes(day))
+    return names, days
 
 
 def time_dimension(grain: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """M6 + M7/M9: one row per distinct sale day."""
+    """M6 + M7/M9 on its own: one row per distinct sale day."""
     days = distinct_days(grain, "saleDay")
     return upsert_days(existing, days) if existing is not None else with_surrogate_keys(days, "timeDay")
 
@@ -146,11 +160,6 @@ def with_fact_ids(fact: DataFrame, start: int = 0) -> DataFrame:
     return number_rows(fact, FACT_GRAIN, id_col="id", start=start, id_type=T.LongType())
 
 
-def name_dimension_table(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
-    """All five name dimensions as one (dim, id, dimName) frame, numbered per dimension."""
-    return name_dimensions_numbered(grain, existing)
-
-
 def write_dimensions(names: DataFrame, days: DataFrame, path: str) -> None:
     """Store the dimensions: the five name dimensions in one table partitioned by ``dim``, and dimTime."""
     names.write.mode("overwrite").partitionBy("dim").parquet(f"{path}/names")
@@ -184,9 +193,7 @@ def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decima
     base = out or scratch_path(spark, "etl")
     staged = stage_sales(raw)
     grain = materialize(grain_aggregate(staged, measure), "grain")
-    old = existing.dims if existing else None
-    names = name_dimension_table(grain, old)
-    days = time_dimension(grain, old[TIME_DIM] if old else None)
+    names, days = split_members(dimension_members(grain, existing.dims if existing else None))
     write_dimensions(names, days, base)
     dims, rows = read_dimensions(spark, base)
     star_dims = Star(fact=None, dims=dims, dim_rows=rows)  # type: ignore[arg-type]
