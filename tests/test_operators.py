@@ -211,3 +211,21 @@ def test_invariants_on_messy_fixture(spark, sf_dir):
     assert fact["s"] == staged_sum - rejected_sum  # exact: DECIMAL throughout
     for check in (Q.unique_dims(star), Q.fact_foreign_keys(star), Q.fact_grain(star)):
         assert check.count() == 0
+
+
+def test_batch_jobs(spark, sf_dir, tmp_path):
+    from rxstar import jobs
+    from rxstar.sources.fixtures import landed_raw_sales
+    from rxstar.sources.landing import landed_pages
+
+    raw_path = str(tmp_path / "import_raw")
+    landed_raw_sales(spark, sf_dir, "A").write.parquet(raw_path)
+    out = jobs.main(["etl", "--raw", raw_path, "--out", str(tmp_path / "star")], spark=spark)
+    assert out["fact_rows"] > 0 and out["dimCity"] == 25
+    again = jobs.main(["etl", "--raw", raw_path, "--out", str(tmp_path / "star2"), "--existing", str(tmp_path / "star")],
+                      spark=spark)
+    assert again == out  # same input into the same dimensions: nothing new
+    pages = landed_pages(spark, sf_dir)
+    res = jobs.main(["openfda", "--ndc", pages["ndc"], "--events", pages["event"], "--out", str(tmp_path / "src"),
+                     "--fetched-at", "2026-06-01T09:00:00+00:00"], spark=spark)
+    assert res["source_metadata"] == 2 and res["source_drug_events"] > 0
