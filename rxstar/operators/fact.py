@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,8 @@ from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
 from ..functions.materialize import materialize, scratch_path
 from ..functions.numbering import number_rows
-from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIMENSIONS
+from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
+from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
 from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
 from .staging import stage_sales
 
@@ -171,11 +173,27 @@ def write_fact(fact: DataFrame, path: str) -> None:
     fact.write.mode("overwrite").partitionBy("fact_year").parquet(f"{path}/factDrug")
 
 
+def read_stored(spark, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; an empty one (a partitioned write of no rows leaves no files) reads as no rows."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if "UNABLE_TO_INFER_SCHEMA" in str(exc) or "PATH_NOT_FOUND" in str(exc):
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """Stored dimensions and their row counts (one small aggregate over the partition column)."""
-    dims = {dim: spark.read.parquet(f"{path}/names/dim={dim}") for dim in NAME_DIMENSIONS}
-    dims[TIME_DIM] = spark.read.parquet(f"{path}/{TIME_DIM}")
-    counts = {r["dim"]: r["n"] for r in spark.read.parquet(f"{path}/names").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Stored dimensions and their row counts (one small aggregate over the partition column).
+
+    Each name dimension is the ``names`` table filtered on its partition
+    column (the filter prunes to one folder); a dimension without members has
+    no folder and reads as empty.
+    """
+    names = read_stored(spark, f"{path}/names", T.StructType([*NAME_DIM.fields, T.StructField("dim", T.StringType())]))
+    dims = {dim: names.where(F.col("dim") == dim).select("id", "dimName") for dim in NAME_DIMENSIONS}
+    dims[TIME_DIM] = read_stored(spark, f"{path}/{TIME_DIM}", TIME_DIM_SCHEMA)
+    counts = {r["dim"]: r["n"] for r in names.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = {dim: int(counts.get(dim, 0)) for dim in NAME_DIMENSIONS}
     rows[TIME_DIM] = dims[TIME_DIM].count()
     return dims, rows
@@ -197,5 +215,7 @@ def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decima
     write_dimensions(names, days, base)
     dims, rows = read_dimensions(spark, base)
     star_dims = Star(fact=None, dims=dims, dim_rows=rows)  # type: ignore[arg-type]
-    write_fact(with_fact_ids(fact_rows(grain, star_dims)), base)
-    return Star(fact=spark.read.parquet(f"{base}/factDrug"), dims=dims, dim_rows=rows)
+    fact = with_fact_ids(fact_rows(grain, star_dims))
+    write_fact(fact, base)
+    stored = T.StructType([f for f in fact.schema.fields if f.name != "fact_year"] + [fact.schema["fact_year"]])
+    return Star(fact=read_stored(spark, f"{base}/factDrug", stored), dims=dims, dim_rows=rows)

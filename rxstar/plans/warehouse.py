@@ -13,8 +13,8 @@ import os
 
 from pyspark.sql import SparkSession, functions as F
 
-from ..operators.fact import Star, read_dimensions, run_etl, write_dimensions, write_fact
-from ..schemas import NAME_DIMENSIONS
+from ..operators.fact import Star, read_dimensions, read_stored, run_etl, write_dimensions, write_fact
+from ..schemas import FACT_STORED, NAME_DIMENSIONS
 from ..functions.once import once
 from ..session import shared_dir
 from ..sources.fixtures import landed_raw_sales as raw_sales
@@ -39,7 +39,7 @@ def write_star(star: Star, path: str) -> None:
 
 def read_star(spark: SparkSession, path: str) -> Star:
     dims, rows = read_dimensions(spark, path)
-    return Star(fact=spark.read.parquet(f"{path}/factDrug"), dims=dims, dim_rows=rows)
+    return Star(fact=read_stored(spark, f"{path}/factDrug", FACT_STORED), dims=dims, dim_rows=rows)
 
 
 def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:

@@ -71,6 +71,21 @@ FACT_KEYS = {
 }
 
 FACT_GRAIN = list(FACT_KEYS) + ["is_refunded"]
+
+# Stored fact (exact measures) as it reads back: partition column last.
+FACT_STORED = T.StructType(
+    [T.StructField(k, T.IntegerType(), True) for k in FACT_KEYS]
+    + [
+        T.StructField("is_refunded", T.IntegerType(), True),
+        T.StructField("cntDrug", T.LongType(), True),
+        T.StructField("sumDrug", T.DecimalType(20, 2), True),
+        T.StructField("minDrug", T.DecimalType(10, 2), True),
+        T.StructField("maxDrug", T.DecimalType(10, 2), True),
+        T.StructField("avgDrug", T.DecimalType(38, 6), True),
+        T.StructField("id", T.LongType(), True),
+        T.StructField("fact_year", T.IntegerType(), True),
+    ]
+)
 FACT_MEASURES = ["cntDrug", "sumDrug", "avgDrug", "minDrug", "maxDrug"]
 FACT_COLUMNS = ["id"] + FACT_GRAIN + FACT_MEASURES
 

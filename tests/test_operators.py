@@ -229,3 +229,12 @@ def test_batch_jobs(spark, sf_dir, tmp_path):
     res = jobs.main(["openfda", "--ndc", pages["ndc"], "--events", pages["event"], "--out", str(tmp_path / "src"),
                      "--fetched-at", "2026-06-01T09:00:00+00:00"], spark=spark)
     assert res["source_metadata"] == 2 and res["source_drug_events"] > 0
+
+
+def test_etl_on_empty_input(spark):
+    empty = spark.createDataFrame([], IMPORT_RAW)
+    star = run_etl(empty)
+    assert star.fact.count() == 0 and all(n == 0 for n in star.dim_rows.values())
+    r = D.kpi_summary(star).collect()[0]
+    assert (r["fact_groups"], r["transactions"], r["total_sales"], r["date_from"]) == (0, 0, 0.0, None)
+    assert D.top_drugs(star).count() == 0 and D.recent_records(star).count() == 0
