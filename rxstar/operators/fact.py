@@ -22,7 +22,7 @@ from ..functions.materialize import materialize, scratch_path
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
 from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
-from .dimensions import distinct_days, time_attributes, upsert_days, with_surrogate_keys
+from .dimensions import time_attributes
 from .staging import stage_sales
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())
@@ -105,12 +105,6 @@ def split_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, days
 
 
-def time_dimension(grain: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """M6 + M7/M9 on its own: one row per distinct sale day."""
-    days = distinct_days(grain, "saleDay")
-    return upsert_days(existing, days) if existing is not None else with_surrogate_keys(days, "timeDay")
-
-
 def lookup_ids(grain: DataFrame, star_dims: Star) -> DataFrame:
     """D1 on the grain table: names and day replaced by surrogate ids (inner joins)."""
     df = grain
