@@ -36,10 +36,14 @@ class Star:
     fact: DataFrame
     dims: dict[str, DataFrame]
     dim_rows: dict[str, int | None] = field(default_factory=dict)
+    dim_bytes: dict[str, int | None] = field(default_factory=dict)
 
     def dim(self, name: str, broadcast: bool = True) -> DataFrame:
+        """A dimension, marked for broadcast when its measured rows and bytes are within bounds."""
         df = self.dims[name]
-        return bounded_broadcast(df, self.dim_rows.get(name)) if broadcast else df
+        if not broadcast:
+            return df
+        return bounded_broadcast(df, self.dim_rows.get(name), self.dim_bytes.get(name))
 
 
 def grain_aggregate(staged: DataFrame, measure: str = "decimal") -> DataFrame:
@@ -177,8 +181,8 @@ def read_stored(spark, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
-def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """Stored dimensions and their row counts (one small aggregate over the partition column).
+def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, int]]:
+    """Stored dimensions, their row counts and name bytes (one small aggregate per table).
 
     Each name dimension is the ``names`` table filtered on its partition
     column (the filter prunes to one folder); a dimension without members has
@@ -187,10 +191,15 @@ def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, i
     names = read_stored(spark, f"{path}/names", T.StructType([*NAME_DIM.fields, T.StructField("dim", T.StringType())]))
     dims = {dim: names.where(F.col("dim") == dim).select("id", "dimName") for dim in NAME_DIMENSIONS}
     dims[TIME_DIM] = read_stored(spark, f"{path}/{TIME_DIM}", TIME_DIM_SCHEMA)
-    counts = {r["dim"]: r["n"] for r in names.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = {dim: int(counts.get(dim, 0)) for dim in NAME_DIMENSIONS}
-    rows[TIME_DIM] = dims[TIME_DIM].count()
-    return dims, rows
+    sizes = names.groupBy("dim").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("dimName")), F.lit(0)).alias("b")
+    )
+    measured = {r["dim"]: (int(r["n"]), int(r["b"])) for r in sizes.collect()}  # one row per dimension
+    rows = {dim: measured.get(dim, (0, 0))[0] for dim in NAME_DIMENSIONS}
+    text = {dim: measured.get(dim, (0, 0))[1] for dim in NAME_DIMENSIONS}
+    t = dims[TIME_DIM].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("timeMonth")), F.lit(0)).alias("b")).first()
+    rows[TIME_DIM], text[TIME_DIM] = int(t["n"]), int(t["b"])
+    return dims, rows, text
 
 
 def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decimal", out: str | None = None) -> Star:
@@ -207,9 +216,9 @@ def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decima
     grain = materialize(grain_aggregate(staged, measure), "grain")
     names, days = split_members(dimension_members(grain, existing.dims if existing else None))
     write_dimensions(names, days, base)
-    dims, rows = read_dimensions(spark, base)
-    star_dims = Star(fact=None, dims=dims, dim_rows=rows)  # type: ignore[arg-type]
+    dims, rows, text = read_dimensions(spark, base)
+    star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text)  # type: ignore[arg-type]
     fact = with_fact_ids(fact_rows(grain, star_dims))
     write_fact(fact, base)
     stored = T.StructType([f for f in fact.schema.fields if f.name != "fact_year"] + [fact.schema["fact_year"]])
-    return Star(fact=read_stored(spark, f"{base}/factDrug", stored), dims=dims, dim_rows=rows)
+    return Star(fact=read_stored(spark, f"{base}/factDrug", stored), dims=dims, dim_rows=rows, dim_bytes=text)

@@ -152,7 +152,7 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
     order = [F.col("timeDay").desc_nulls_last(), F.col("id").desc()]
     top = filtered(star, filters, {"dimTime"}).orderBy(*order).limit(limit)
     done = filters.dimensions() | {"dimTime"}
-    rest = Star(fact=top, dims=star.dims, dim_rows=star.dim_rows)
+    rest = Star(fact=top, dims=star.dims, dim_rows=star.dim_rows, dim_bytes=star.dim_bytes)
     df = star_join(rest, set(LABELS[k][0] for k in LABELS) - done)
     out = df.select(
         "id",

@@ -38,8 +38,8 @@ def write_star(star: Star, path: str) -> None:
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
-    dims, rows = read_dimensions(spark, path)
-    return Star(fact=read_stored(spark, f"{path}/factDrug", FACT_STORED), dims=dims, dim_rows=rows)
+    dims, rows, text = read_dimensions(spark, path)
+    return Star(fact=read_stored(spark, f"{path}/factDrug", FACT_STORED), dims=dims, dim_rows=rows, dim_bytes=text)
 
 
 def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:

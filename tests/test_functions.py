@@ -102,3 +102,14 @@ def test_timestamp_parse_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [r[0] for r in got] == [dt.datetime(2024, 3, 10, 2, 30)] * 2
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from rxstar.functions.joins import bounded_broadcast
+
+    df = spark.range(3)
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(bounded_broadcast(df, rows=3, text_bytes=30))
+    assert not hinted(bounded_broadcast(df, rows=3, text_bytes=1 << 30))  # a gigabyte of names is not broadcast
+    assert not hinted(bounded_broadcast(df, rows=5_000_000, text_bytes=0))
+    assert not hinted(bounded_broadcast(df, rows=None))
