@@ -113,3 +113,13 @@ def test_bounded_broadcast_checks_rows_and_bytes(spark):
     assert not hinted(bounded_broadcast(df, rows=3, text_bytes=1 << 30))  # a gigabyte of names is not broadcast
     assert not hinted(bounded_broadcast(df, rows=5_000_000, text_bytes=0))
     assert not hinted(bounded_broadcast(df, rows=None))
+
+
+def test_spread_only_small_scans(spark):
+    from rxstar.sources.tables import spread
+
+    want = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 100, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == want
+    many = spark.range(0, 100, numPartitions=want * 2)
+    assert spread(many) is many  # already spread: no extra shuffle
