@@ -93,3 +93,24 @@ def test_top_labelers_match_golden(spark):
     ci = top_labelers(ndc, case_insensitive=True).collect()
     assert ci[0]["products"] == 40
     assert ci[9]["products"] == 8 and ci[9]["label"].lower().startswith("sun pharmaceutical industries")
+
+
+def test_source_checks_and_summary_on_reference_rows(spark):
+    from rxstar.operators.quality import primary_key
+    from rxstar.plans.dashboard import source_summary
+    from rxstar.plans.views import open_source_summary
+    from rxstar.schemas import SOURCE_METADATA
+
+    ndc = spark.createDataFrame(_rows("source_ndc_products"), ", ".join(f"{c} string" for c in NDC_COLUMNS))
+    events = spark.createDataFrame(_rows("source_drug_events"), ", ".join(
+        f"{c} {'int' if c == 'serious' else 'string'}" for c in EVENT_COLUMNS))
+    meta = spark.createDataFrame(_rows("source_metadata"), SOURCE_METADATA)
+    # SURVEY §5: no duplicate keys in any of the three tables
+    assert primary_key(ndc, ["product_ndc"], "ndc").count() == 0
+    assert primary_key(events, ["safetyreportid"], "events").count() == 0
+    assert primary_key(meta, ["source_key"], "meta").count() == 0
+    summary = {r["source_key"]: r for r in source_summary(meta, ndc, events).collect()}
+    assert set(summary) == {"sqlserver_backup", "openfda_ndc", "openfda_event"}
+    assert {(r["ndc_count"], r["event_count"]) for r in summary.values()} == {(1000, 1000)}
+    assert summary["openfda_event"]["total_available"] == 2936534 and summary["sqlserver_backup"]["records_loaded"] == 999
+    assert "source_url" not in open_source_summary(meta).columns
