@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from rxstar import registry
+from rxstar.oracle_queries import oracle_queries
 from rxstar.sources.tables import TABLES, table_path
 
 
@@ -32,7 +34,7 @@ def duck(sf_dir):
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(registry.queries()) - set(oracle_queries())
     assert missing == {"fact_drug_double"}
 
 
@@ -40,7 +42,7 @@ def test_every_query_has_an_oracle_or_a_reason():
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_queries()))
 def test_query_matches_oracle(spark, sf_dir, duck, name):
     df = E.queries()[name](spark, sf_dir)
     srows = [tuple(r) for r in df.collect()]
