@@ -117,10 +117,10 @@ def fit(rows: list[tuple[bytes, int, float]], seed: int = 3) -> Machine:
     rng = np.random.default_rng(seed)
     size = HASHED + N_STRUCTURE
     m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)), stats.mean(0), np.maximum(stats.std(0), 1e-6))
-    if not 0 < share < 1:
+    if not 0 < share < 1 or not rows:  # nothing to tell apart: the share itself
         m.v[:] = 0
-        m.bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
-        return m if rows else Machine(0.0, m.w, m.v, m.mean, m.scale)
+        m.bias = 0.0 if not rows else 40.0 if share else -40.0
+        return m
     m.bias = float(np.log(share / (1 - share)))
     data = [m.join(*r) for r in raw]
     weight = weight / weight.mean()
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, rows) -> Machine:
     """Fit a machine on the sample's one task; only the model (fixed size) reaches the driver."""
     ship(docs.sparkSession)
     sample = training_sample(docs, labels, label, rows)
-    return pickle.loads(sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()
+    return pickle.loads(row[0]) if row else fit([])
 
 
 def _score_task(shared) -> Callable:

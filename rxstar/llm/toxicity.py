@@ -195,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, rows) -> Model:
     """Fit on the sample's one task; only the model (under 100 kB) reaches the driver."""
     ship(docs.sparkSession)
     sample = training_sample(docs, labels, label, rows)
-    return pickle.loads(sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()
+    return pickle.loads(row[0]) if row else fit([])
 
 
 def _score_task(shared) -> Callable:
