@@ -6,9 +6,11 @@ The merge ranks are compiled into a finite-state transducer that is determinised
   ``Merges.fit`` decides this by replaying the merges along the seam; a token sequence is the
   encoding of its bytes if all neighbours fit, and for every prefix of the input exactly one
   token ends it.
-- A state of the deterministic machine is the set of readings still possible: the tokens not yet
-  certain, and a node of the token trie for the bytes of an unfinished token.  Tokens that all
-  readings share are emitted, so output lags by no more than the longest token.
+- A state of the deterministic machine is the set of readings still possible: the last whole
+  token, and a node of the token trie for the bytes of the token begun after it.  A move tells
+  the next state and the one token that ends at the byte.  All readings begin within the longest
+  token, so what they have in common before is certain: it is emitted at the end of a piece, or
+  after ``LOOKAHEAD`` bytes in a long one.
 - States and moves are made when first needed and kept up to a bound, then forgotten and made
   anew.  A bounded memo of whole pieces stands before the machine.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -36,9 +39,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fixed_rows, read, ship, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MAX_STATES = 60_000
-MAX_PIECES = 250_000
+MAX_STATES = 150_000
+MAX_PIECES = 300_000
 MAX_FITS = 1_000_000
+LOOKAHEAD = 4096
 _NEVER = 1 << 62
 
 
@@ -123,7 +127,7 @@ class Transducer:
     def __init__(self, merges: Merges, max_states: int = MAX_STATES) -> None:
         self.merges, self.max_states = merges, max_states
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token, self.inner = [-1], [False]
+        self.token, self.inner, self.depth = [-1], [False], [0]
         for data, rank in merges.ranks.items():
             at = 0
             for byte in data:
@@ -133,58 +137,73 @@ class Transducer:
                     nxt = self.child[at << 8 | byte] = len(self.token)
                     self.token.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[at] + 1)
                 at = nxt
             self.token[at] = rank
+        self.width = {r: len(t) for t, r in merges.ranks.items()}
         self.forget()
 
     def forget(self) -> None:
-        start = (((-1,), 0),)
-        self.number = {start: 0}
-        self.states, self.moves, self.ends = [start], [{}], [()]
-
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the move of a state on a byte: the next state and the tokens that are certain."""
-        merges, readings, done = self.merges, [], None
-        for sure, node in self.states[state]:
+        start = ((-1, 0),)
+        self.number: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [start]
+        self.moves: dict[int, tuple[int, int]] = {}
+
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """Make the move of a state on a byte: the next state, and the token that ends here.
+
+        A state's readings are (last whole token, node of the token begun after it), the earliest
+        begin first; just one of them is completed by a token that fits.
+        """
+        merges, readings, done = self.merges, [], -1
+        for last, node in self.states[state]:
             node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
             token = self.token[node]
-            if token >= 0 and done is None and (merges.made(token) if sure[-1] < 0 else merges.made(token) and merges.fit(sure[-1], token)):
-                done = (*sure, token)
+            if token >= 0 and done < 0 and merges.made(token) and (last < 0 or merges.fit(last, token)):
+                done = token
             if self.inner[node]:
-                readings.append((sure, node))
+                readings.append((last, node))
         readings.append((done, 0))
-        # all readings begin with the last certain token; what follows alike is certain too
-        keep = 0
-        while all(len(s) > keep + 1 for s, _ in readings) and len({s[keep + 1] for s, _ in readings}) == 1:
-            keep += 1
-        emit = done[1 : keep + 1]
-        first = done[keep] if any(len(s) == keep + 1 for s, _ in readings) else -2  # -2: nothing depends on it
-        new = tuple(((first, *s[keep + 1 :]), node) for s, node in readings)
+        new = tuple(readings)
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.states)
             self.states.append(new)
-            self.moves.append({})
-            self.ends.append(new[-1][0][1:])
-        self.moves[state][byte] = to, emit
-        return to, emit
+        self.moves[state << 8 | byte] = to, done
+        return to, done
+
+    def chain(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, from the token that ends at each byte."""
+        out = []
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= self.width[ends[at - 1]]
+        return out[::-1]
 
     def run(self, data: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self.forget()
         out: list[int] = []
+        ends: list[int] = []
         moves, state = self.moves, 0
         for byte in data:
-            step = moves[state].get(byte)
+            step = moves.get(state << 8 | byte)
             if step is None:
                 step = self.move(state, byte)
             state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.ends[state]
-        return out
+            ends.append(step[1])
+            if len(ends) == LOOKAHEAD:
+                # what all open readings have in common is certain and leaves the machine
+                open_at = [len(ends) - self.depth[node] for _, node in self.states[state]]
+                chains = [self.chain(ends, at) for at in open_at]
+                same = 0
+                while all(len(c) > same for c in chains) and len({c[same] for c in chains}) == 1:
+                    same += 1
+                out += chains[0][:same]
+                del ends[: sum(self.width[t] for t in chains[0][:same])]
+        return out + self.chain(ends, len(ends))
 
 
 class Encoder:
@@ -202,7 +221,7 @@ class Encoder:
         data = piece.encode("utf-8", "replace")
         whole = self.ranks.get(data)
         ids = [whole] if whole is not None else self.machine.run(data)
-        packed = np.array(ids, np.int32).tobytes()
+        packed = array("i", ids).tobytes()
         if len(self.memo) >= MAX_PIECES:
             self.memo.clear()
         if len(data) <= 64:
