@@ -166,7 +166,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         .groupBy("hash", "term")
         .agg(F.max("level").alias("level"))
     )
-    return base.drop("text").join(_term_spans(texts, of_text), "hash", "left").select(
+    # rows without personal data join nothing: a key of their own keeps them from one task
+    keyed = base.drop("text").withColumn("hash", F.coalesce("hash", F.xxhash64("doc_id").cast("string")))
+    return keyed.join(_term_spans(texts, of_text), "hash", "left").select(
         "doc_id", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,level:int>>")).alias("terms")
     )
 
