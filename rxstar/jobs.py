@@ -24,17 +24,32 @@ if __package__ in (None, ""):  # run as a script by spark-submit
     from rxstar.plans.warehouse import read_star
     from rxstar.schemas import IMPORT_RAW
     from rxstar.sources import openfda as S
+    from rxstar.sources.raw import scan_import_raw
 else:
     from .operators.fact import run_etl
     from .operators.upsert import bookkeeping, keep_last
     from .plans.warehouse import read_star
     from .schemas import IMPORT_RAW
     from .sources import openfda as S
+    from .sources.raw import scan_import_raw
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """The full name of a folder, with its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def etl(spark: SparkSession, raw_path: str, out: str, existing: str | None = None, fmt: str = "parquet") -> dict:
-    """Landed ``import_raw`` -> star under ``out``; dimension ids of ``existing`` are kept."""
-    raw = spark.read.schema(IMPORT_RAW).format(fmt).load(raw_path)
+    """Landed ``import_raw`` -> star under ``out``; dimension ids of ``existing`` are kept.
+
+    ``out`` must not be the star that is read: overwriting it would lose the ids while they are
+    needed.
+    """
+    if existing and _folder(spark, existing) == _folder(spark, out):
+        raise ValueError(f"{out} is the existing star; write the new one to another folder")
+    raw = scan_import_raw(spark, raw_path) if fmt == "csv" else spark.read.schema(IMPORT_RAW).format(fmt).load(raw_path)
     star = run_etl(raw, existing=read_star(spark, existing) if existing else None, out=out)
     return {"fact_rows": star.fact.count(), **star.dim_rows}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import IMPORT_RAW
 
-# CSV settings that keep text exactly: no trimming, NULL distinct from ''.
+# CSV settings that keep text exactly: no trimming, NULL (\\N) distinct from '' (written quoted).
 CSV_OPTIONS = {
     "header": "true",
     "nullValue": "\\N",
@@ -19,7 +19,9 @@ CSV_OPTIONS = {
 
 def land_csv(df: DataFrame, path: str) -> None:
     """Write a landing table as CSV text files."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    # without emptyValue '' is written as "", which the scan tells from a missing value
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "emptyValue"}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def scan_import_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_date_range_and_load_limit(spark):
 def test_page_schema_is_explicit():
     assert page_schema("event")["results"].dataType.elementType["patient"] is not None
     assert F is not None
+
+
+def test_csv_keeps_empty_text_apart_from_null(spark, tmp_path):
+    from rxstar.schemas import IMPORT_RAW
+    from rxstar.sources.raw import land_csv, scan_import_raw
+
+    names = [f.name for f in IMPORT_RAW.fields]
+    rows = [tuple(v for _ in names) for v in ("", None, "X", ' a "b", c ', "\\")]
+    land_csv(spark.createDataFrame(rows, IMPORT_RAW), str(tmp_path / "raw"))
+    back = [tuple(r) for r in scan_import_raw(spark, str(tmp_path / "raw")).collect()]
+    assert sorted(back, key=repr) == sorted(rows, key=repr)
+
+
+def test_reload_onto_the_star_that_is_read_is_refused(spark, tmp_path):
+    import pytest
+
+    from rxstar import jobs
+
+    with pytest.raises(ValueError):
+        jobs.etl(spark, "unused", str(tmp_path / "star"), existing=f"file:{tmp_path}/star/")
