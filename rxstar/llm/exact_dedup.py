@@ -15,7 +15,7 @@ current one (they cannot come again).  No task holds more than the budget and on
 
 Null text counts as empty.  ``owner`` is the smallest or largest identifier; null identifiers
 lose against any other.  Repeated rows (same identifier and text) count one by one, and one of
-them is kept.  An empty table gives an empty result; extra columns are passed on untouched.
+them is kept (those dropped with it show its other columns).  An empty table gives an empty result; extra columns are passed on untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, ship
+from ..functions.joins import bounded_broadcast
+from .common import read, ship, store
 from .trie import Trie
 
 #: Bits of the content hash that names a trie, beside the length.
@@ -139,7 +140,7 @@ def text_owners(docs: DataFrame, keep: str = "largest", budget: int = BUDGET, ha
     partial = rows.mapInArrow(_partial(keep == "largest", budget), _PARTIAL)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = partial.repartition(n, "_len", "_hash").sortWithinPartitions("_len", "_hash", "_text")
-    return dealt.mapInArrow(_final(keep == "largest", budget), _GROUP)
+    return store(dealt.mapInArrow(_final(keep == "largest", budget), _GROUP), "owners")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -151,7 +152,11 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     extra = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(*extra, F.octet_length(text).cast("long").alias("_len"), F.sha2(text, 256).alias("_sha"))
-    joined = keyed.join(text_owners(docs, keep), ["_len", "_sha"], "left")
+    owners = text_owners(docs, keep)
+    n, width, most = owners.agg(F.count(F.lit(1)), F.sum(F.length("_sha")), F.max("_of_owner")).first()
+    # only texts of several rows are here; within a checked bound they are broadcast, so that the
+    # texts of documents are not shuffled again
+    joined = keyed.join(bounded_broadcast(owners, n, width or 0), ["_len", "_sha"], "left")
     whole = joined.select(
         *extra,
         F.when(F.col("_rows").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("_owner")).alias("keep_id"),
@@ -160,11 +165,12 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
         F.col("_sha").alias("text_sha256"),
         F.coalesce("_of_owner", F.lit(1)).alias("_of_owner"),
     )
-    # Repeated rows of an owner: one of them stays.  They are few or none, and the partial
-    # aggregate of dropDuplicates keeps a row for each task before its shuffle.
+    if (most or 1) <= 1:  # no owner's row is repeated
+        return whole.drop("_of_owner")
+    # Repeated rows of an owner: one of them stays (the dropped ones are given as its repeats).
+    # The partial aggregate of dropDuplicates keeps a row for each task before its shuffle.
     repeated = F.col("kept") & (F.col("_of_owner") > 1)
     owners = whole.filter(repeated)
-    # what stays is one row; each of the others is its repeat: _of_owner - 1 rows that are dropped
     first = owners.dropDuplicates(["doc_id", "text_sha256"])
     others = first.withColumn("kept", F.lit(False)).withColumn(
         "_again", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_of_owner")))
