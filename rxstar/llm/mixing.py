@@ -140,16 +140,16 @@ def schedule(sources: DataFrame, block: int, chunk: int = 1 << 15) -> DataFrame:
     return ranked.withColumn("block", F.col("block") - 1)
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, laps, slots) for ``docs`` with doc_id, text and source.
 
-    rows: every column of ``docs`` as the struct _row, with _id, _size, source_size and target.
+    rows: the columns ``carry`` (all) of ``docs`` as the struct _row, with _id, _size, source_size and target.
     laps: _id, _lap, taken: the words that the mix takes of a row in each lap, where any.
     slots: the schedule.
     """
     ship(docs.sparkSession)
     sized = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*(docs.columns if carry is None else carry)).alias("_row"),
         F.col("doc_id").cast("long").alias("_doc"),
         F.col("source").isNull().alias("_no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
@@ -179,7 +179,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFr
 
 def taken(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken."""
-    rows, laps, _ = mix(docs.select("doc_id", "text", "source"))
+    rows, laps, _ = mix(docs, carry=["doc_id"])
     sums = laps.groupBy("_id").agg(F.sum("taken").alias("taken"))
     return rows.join(sums, "_id", "left").select(
         F.col("_doc").alias("doc_id"),
