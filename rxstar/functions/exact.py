@@ -1,7 +1,7 @@
-"""Exact decimal arithmetic for measures.
+"""Arithmetic of measures.
 
-Prices are DECIMAL(10,2); sums stay decimal so they are exact.  Ratios are the
-exact quotient rounded half-up to six places, and leave the engine as DOUBLE.
+Prices are DECIMAL(10,2) and their sums stay decimal, so they are exact.  A ratio is one IEEE
+division of two exact values and keeps all digits of a DOUBLE.
 """
 
 from __future__ import annotations
@@ -9,25 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-RATIO_SCALE = 6
-
-
-def ratio(num: Column, den: Column, num_scale: int = 2, zero: float | int = 0) -> Column:
-    """num / den as DECIMAL(38,6) half-up; ``zero`` when den is 0 or NULL.
-
-    DECIMAL(38,s) / DECIMAL(38,0) lands on scale 6 under Spark's precision-loss
-    rule, so there is a single rounding step from the exact quotient.
-    """
-    q = num.cast(T.DecimalType(38, num_scale)) / den.cast(T.DecimalType(38, 0))
-    return F.when(F.coalesce(den, F.lit(0)) == 0, F.lit(zero).cast(T.DecimalType(38, RATIO_SCALE))).otherwise(
-        F.round(q, RATIO_SCALE).cast(T.DecimalType(38, RATIO_SCALE))
-    )
-
 
 def as_double(c: Column) -> Column:
     return c.cast(T.DoubleType())
 
 
+def ratio(num: Column, den: Column, zero: float | None = 0.0) -> Column:
+    """num / den as DOUBLE; ``zero`` when den is 0 or NULL."""
+    none = F.coalesce(den, F.lit(0)) == 0
+    return F.when(none, F.lit(zero).cast(T.DoubleType())).otherwise(as_double(num) / as_double(den))
+
+
 def round2(c: Column) -> Column:
     """ROUND(x, 2) on a decimal value, half-up."""
     return F.round(c, 2)
+
+
+def round2_double(c: Column) -> Column:
+    """ROUND(x, 2) of a DOUBLE, half-up on its decimal digits (ten places)."""
+    return F.round(c.cast(T.DecimalType(38, 10)), 2)

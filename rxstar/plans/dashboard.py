@@ -1,7 +1,7 @@
 """Dashboard aggregates, rankings and detail.
 
-Measures are exact: sums stay DECIMAL, ratios are exact quotients rounded
-half-up to six places, and values leave as DOUBLE only in the final select.
+Sums stay DECIMAL and exact, ratios are one division of two exact sums, and values leave as
+DOUBLE only in the final select.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import blank_to_label
-from ..functions.exact import as_double, ratio, round2
+from ..functions.exact import as_double, ratio, round2, round2_double
 from ..operators.fact import Star
 from .filters import Filters
 from .star import filtered, star_join
@@ -60,7 +60,7 @@ def kpi_summary(star: Star, filters: Filters | None = None) -> DataFrame:
     out = df.agg(
         F.count(F.lit(1)).alias("fact_groups"),
         *_sales_measures()[:3],
-        ratio(refunded * F.lit(100), F.sum("cntDrug"), num_scale=0).alias("refund_rate"),
+        ratio(refunded * F.lit(100), F.sum("cntDrug")).alias("refund_rate"),
         F.countDistinct("dimDrug_id").alias("drug_count"),
         F.countDistinct("dimMan_id").alias("manufacturer_count"),
         F.countDistinct("dimCity_id").alias("city_count"),
@@ -136,7 +136,7 @@ def refund_share(split: DataFrame) -> DataFrame:
     """Refunded / all transactions x 100 over a refund split; 0 when there are none."""
     refunded = F.sum(F.when(F.col("label") == REFUNDED_LABEL, F.col("transactions")).otherwise(F.lit(0)))
     total = F.sum(F.when(F.col("label").isin(REFUNDED_LABEL, NOT_REFUNDED_LABEL), F.col("transactions")).otherwise(F.lit(0)))
-    out = split.agg(ratio(refunded * F.lit(100), total, num_scale=0).alias("refund_share"))
+    out = split.agg(ratio(refunded * F.lit(100), total).alias("refund_share"))
     return _doubles(out, ["refund_share"])
 
 
@@ -165,7 +165,7 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
         "is_refunded",
         "cntDrug",
         as_double(round2(F.col("sumDrug"))).alias("total_sales"),
-        as_double(round2(F.col("avgDrug"))).alias("avg_price"),
+        as_double(round2_double(F.col("avgDrug"))).alias("avg_price"),
     )
     return out.orderBy(F.col("sale_date").desc_nulls_last(), F.col("id").desc())
 

@@ -1,56 +1,59 @@
-"""Dashboard filters (Q2-Q9): request parameters -> one Column predicate."""
+"""Dashboard filters (Q2-Q9): request parameters -> one Column predicate.
+
+Each field of ``Filters`` carries its own specification: the column of the joined star frame it
+is compared with, the dimension that column comes from, and the type its text is read as.
+"""
 
 from __future__ import annotations
 
 import functools
 import operator
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterator
+from dataclasses import Field, dataclass, field, fields
+from typing import Any
 
 from pyspark.sql import Column, functions as F
 
-# Parameter -> (dimension table, column of the joined star frame).
-FILTER_COLUMNS = {
-    "city": ("dimCity", "city"),
-    "condition": ("dimConTh", "condition"),
-    "drug": ("dimDrug", "drug"),
-    "type": ("dimDrugType", "drug_type"),
-    "manufacturer": ("dimMan", "manufacturer"),
-    "year": ("dimTime", "timeYear"),
-    "refunded": (None, "is_refunded"),
-}
-INT_PARAMS = {"year", "refunded"}
+
+def _equals(column: str, dimension: str | None, read: Callable[[str], Any] = str) -> Any:
+    return field(default=None, metadata={"column": column, "dimension": dimension, "read": read})
 
 
 @dataclass(frozen=True)
 class Filters:
-    city: str | None = None
-    condition: str | None = None
-    drug: str | None = None
-    type: str | None = None
-    manufacturer: str | None = None
-    year: int | None = None
-    refunded: int | None = None
+    """Equality filters, all optional; the field names are the request's parameter names."""
+
+    city: str | None = _equals("city", "dimCity")
+    condition: str | None = _equals("condition", "dimConTh")
+    drug: str | None = _equals("drug", "dimDrug")
+    type: str | None = _equals("drug_type", "dimDrugType")
+    manufacturer: str | None = _equals("manufacturer", "dimMan")
+    year: int | None = _equals("timeYear", "dimTime", int)
+    refunded: int | None = _equals("is_refunded", None, int)
 
     @classmethod
     def from_params(cls, params: dict[str, list[str]] | None) -> "Filters":
-        """Q9: first value of each parameter, trimmed; blank means absent; year and refunded must be integers."""
-        values = {}
-        for key in FILTER_COLUMNS:
-            raw = (params or {}).get(key, [""])
-            value = (raw[0] if raw else "").strip()
-            if not value:
-                continue
-            values[key] = int(value) if key in INT_PARAMS else value  # int() raises ValueError, as the reference does
-        return cls(**values)
+        """Q9: the first text given for a field, without outer blanks; nothing left means no filter.
+
+        Unknown parameters are passed over.  A year or refund flag that is no integer is a ValueError.
+        """
+        texts = {f: next(iter((params or {}).get(f.name) or []), "").strip() for f in fields(cls)}
+        return cls(**{f.name: f.metadata["read"](text) for f, text in texts.items() if text})
+
+    def _set(self) -> Iterator[tuple[Field, Any]]:
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if value is not None:
+                yield f, value
 
     def active(self) -> dict[str, object]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        return {f.name: value for f, value in self._set()}
 
     def dimensions(self) -> set[str]:
         """Dimension tables the active filters need joined."""
-        return {FILTER_COLUMNS[k][0] for k in self.active() if FILTER_COLUMNS[k][0]}
+        return {f.metadata["dimension"] for f, _ in self._set()} - {None}
 
     def predicate(self) -> Column:
         """AND of the active equality predicates; TRUE when there are none."""
-        preds = [F.col(FILTER_COLUMNS[k][1]) == F.lit(v) for k, v in self.active().items()]
-        return functools.reduce(operator.and_, preds, F.lit(True))
+        tests = (F.col(f.metadata["column"]) == F.lit(value) for f, value in self._set())
+        return functools.reduce(operator.and_, tests, F.lit(True))

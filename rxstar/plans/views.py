@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.exact import RATIO_SCALE, as_double, ratio, round2
+from ..functions.exact import as_double, ratio, round2, round2_double
 from ..operators.fact import Star
 from .star import star_join
 
@@ -18,11 +18,13 @@ VIEW_TOP_LIMIT = 10
 def dashboard_summary(star: Star) -> DataFrame:
     """V1: fact rows, sold count, rounded sales, rounded unweighted AVG(avgDrug), distinct drugs/manufacturers."""
     f = star.fact
+    # summed as decimals: the same in any order of the rows
+    averages = F.sum(F.col("avgDrug").cast("decimal(38,18)"))
     out = f.agg(
         F.count(F.lit(1)).alias("fact_rows"),
         F.sum("cntDrug").cast("long").alias("sold_count"),
         round2(F.sum("sumDrug")).alias("sales_value"),
-        round2(ratio(F.sum("avgDrug"), F.count("avgDrug"), num_scale=RATIO_SCALE, zero=None)).alias("average_price"),
+        round2_double(ratio(averages, F.count("avgDrug"), zero=None)).alias("average_price"),
         F.countDistinct("dimDrug_id").alias("drug_count"),
         F.countDistinct("dimMan_id").alias("manufacturer_count"),
     )

@@ -81,7 +81,7 @@ FACT_STORED = T.StructType(
         T.StructField("sumDrug", T.DecimalType(20, 2), True),
         T.StructField("minDrug", T.DecimalType(10, 2), True),
         T.StructField("maxDrug", T.DecimalType(10, 2), True),
-        T.StructField("avgDrug", T.DecimalType(38, 6), True),
+        T.StructField("avgDrug", T.DoubleType(), True),
         T.StructField("id", T.LongType(), True),
         T.StructField("fact_year", T.IntegerType(), True),
     ]

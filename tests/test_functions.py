@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rxstar.functions import cleaning as C
-from rxstar.functions.exact import ratio
+from rxstar.functions.exact import ratio, round2_double
 from rxstar.functions.numbering import number_rows
 
 
@@ -63,14 +63,19 @@ def test_blank_to_label_and_first_present(spark):
     assert firsts == ["b", "b", "a", None]
 
 
-def test_ratio_exact_half_up(spark):
+def test_ratio_keeps_all_digits(spark):
     df = spark.createDataFrame(
-        [(Decimal("2.01"), 2), (Decimal("0.01"), 32), (Decimal("10.00"), 3), (Decimal("1.00"), 0), (None, None)],
+        [(Decimal("2.01"), 2), (Decimal("0.01"), 32), (Decimal("4.00"), 3), (Decimal("1.00"), 0), (None, None)],
         "n decimal(20,2), d long",
     )
     got = [r[0] for r in df.select(ratio(F.col("n"), F.col("d"))).collect()]
-    assert got == [Decimal("1.005000"), Decimal("0.000313"), Decimal("3.333333"), Decimal("0.000000"),
-                   Decimal("0.000000")]
+    assert got == [1.005, 0.0003125, 1.3333333333333333, 0.0, 0.0]
+
+
+def test_round2_double_rounds_decimal_digits(spark):
+    df = spark.createDataFrame([(1.005,), (5.005,), (2.344999,), (None,)], "x double")
+    got = [r[0] for r in df.select(round2_double(F.col("x"))).collect()]
+    assert got == [Decimal("1.01"), Decimal("5.01"), Decimal("2.34"), None]
 
 
 def test_number_rows_matches_row_number(spark):
