@@ -8,15 +8,40 @@ statistics, and is much cheaper than a serialized RDD checkpoint.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch folders made", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder, unique per call."""
-    return f"{shared_dir(spark)}/rxstar-stage/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/rxstar-stage/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch folders named within, once what is read from them is stored elsewhere."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

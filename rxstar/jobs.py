@@ -1,7 +1,7 @@
 """Batch jobs for spark-submit: load the star and the openFDA source tables from landed inputs.
 
     spark-submit --conf spark.checkpoint.dir=hdfs:///tmp/ck rxstar/jobs.py etl \\
-        --raw hdfs:///landing/import_raw --out hdfs:///warehouse/star [--existing hdfs:///warehouse/star_prev]
+        --raw hdfs:///landing/import_raw --out hdfs:///warehouse/star [--existing hdfs:///warehouse/star]
     spark-submit rxstar/jobs.py openfda --ndc hdfs:///landing/ndc --events hdfs:///landing/event \\
         --out hdfs:///warehouse/sources --fetched-at 2026-06-01T09:00:00+00:00
 
@@ -34,21 +34,11 @@ else:
     from .sources.raw import scan_import_raw
 
 
-def _folder(spark: SparkSession, path: str) -> str:
-    """The full name of a folder, with its file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
 def etl(spark: SparkSession, raw_path: str, out: str, existing: str | None = None, fmt: str = "parquet") -> dict:
     """Landed ``import_raw`` -> star under ``out``; dimension ids of ``existing`` are kept.
 
-    ``out`` must not be the star that is read: overwriting it would lose the ids while they are
-    needed.
+    ``existing`` may be ``out`` itself: the load writes a new version beside the one it reads.
     """
-    if existing and _folder(spark, existing) == _folder(spark, out):
-        raise ValueError(f"{out} is the existing star; write the new one to another folder")
     raw = scan_import_raw(spark, raw_path) if fmt == "csv" else spark.read.schema(IMPORT_RAW).format(fmt).load(raw_path)
     star = run_etl(raw, existing=read_star(spark, existing) if existing else None, out=out)
     return {"fact_rows": star.fact.count(), **star.dim_rows}

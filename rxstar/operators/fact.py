@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 
 from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
-from ..functions.materialize import materialize, scratch_path
+from ..functions.materialize import materialize, scratch_path, scratch_scope
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
 from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
 from .dimensions import time_attributes
+from .sinks import commit_version, latest_version, version_path
 from .staging import stage_sales
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())
@@ -37,6 +38,7 @@ class Star:
     dims: dict[str, DataFrame]
     dim_rows: dict[str, int | None] = field(default_factory=dict)
     dim_bytes: dict[str, int | None] = field(default_factory=dict)
+    path: str | None = None  # the folder of the version that is read
 
     def dim(self, name: str, broadcast: bool = True) -> DataFrame:
         """A dimension, marked for broadcast when its measured rows and bytes are within bounds."""
@@ -167,7 +169,13 @@ def write_dimensions(names: DataFrame, days: DataFrame, path: str) -> None:
 
 
 def write_fact(fact: DataFrame, path: str) -> None:
-    """Store the fact partitioned by ``fact_year`` (D6: overwrite is TRUNCATE + INSERT)."""
+    """Store the fact partitioned by ``fact_year``.
+
+    Rows are dealt by year, then id, so a task writes few years and a year has about as many files
+    as its size needs.  Ids follow the grain, which begins with the city: files and row groups
+    hold narrow ranges of it.
+    """
+    fact = fact.repartitionByRange("fact_year", "id").sortWithinPartitions("fact_year", "id")
     fact.write.mode("overwrite").partitionBy("fact_year").parquet(f"{path}/factDrug")
 
 
@@ -176,7 +184,7 @@ def read_stored(spark, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
-        if "UNABLE_TO_INFER_SCHEMA" in str(exc) or "PATH_NOT_FOUND" in str(exc):
+        if exc.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
             return spark.createDataFrame([], schema)
         raise
 
@@ -207,18 +215,25 @@ def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decima
 
     The grain table is written once to the shared folder: it is read by the
     dimension builds and by the fact, and the write cuts the lineage back to
-    the raw scan.  Dimensions and fact are each written once, to ``out`` (a
-    fresh folder in the shared folder when not given), and read back.
+    the raw scan.  Dimensions and fact are each written once, as a new version
+    under ``out`` (a fresh folder in the shared folder when not given), and
+    read back.  The version becomes the current one only when it is whole, and
+    no earlier version is touched, so ``existing`` may be the star at ``out``
+    itself (D6).  Earlier versions stay until somebody removes them; scratch
+    tables are removed at the end.
     """
     spark = raw.sparkSession
     base = out or scratch_path(spark, "etl")
-    staged = stage_sales(raw)
-    grain = materialize(grain_aggregate(staged, measure), "grain")
-    names, days = split_members(dimension_members(grain, existing.dims if existing else None))
-    write_dimensions(names, days, base)
-    dims, rows, text = read_dimensions(spark, base)
-    star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text)  # type: ignore[arg-type]
-    fact = with_fact_ids(fact_rows(grain, star_dims))
-    write_fact(fact, base)
-    stored = T.StructType([f for f in fact.schema.fields if f.name != "fact_year"] + [fact.schema["fact_year"]])
-    return Star(fact=read_stored(spark, f"{base}/factDrug", stored), dims=dims, dim_rows=rows, dim_bytes=text)
+    version = latest_version(spark, base) + 1
+    root = version_path(base, version)
+    with scratch_scope(spark):
+        grain = materialize(grain_aggregate(stage_sales(raw), measure), "grain")
+        names, days = split_members(dimension_members(grain, existing.dims if existing else None))
+        write_dimensions(names, days, root)
+        dims, rows, text = read_dimensions(spark, root)
+        star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text)  # type: ignore[arg-type]
+        fact = with_fact_ids(fact_rows(grain, star_dims))
+        write_fact(fact, root)
+        stored = T.StructType([f for f in fact.schema.fields if f.name != "fact_year"] + [fact.schema["fact_year"]])
+    commit_version(spark, base, version)
+    return Star(read_stored(spark, f"{root}/factDrug", stored), dims, rows, text, root)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_MANIFEST = "version long, path string"
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Batched table write (the writer batches; no row loop)."""
@@ -31,15 +34,25 @@ def _manifest(base: str) -> str:
     return f"{base}/_manifest"
 
 
-def _latest_version(spark: SparkSession, base: str) -> int:
+def latest_version(spark: SparkSession, base: str) -> int:
     """Newest committed version number (0 when nothing is published yet)."""
     try:
-        row = spark.read.parquet(_manifest(base)).agg(F.max("version").alias("v")).first()
-    except Exception as exc:  # noqa: BLE001 - no manifest yet
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+        row = spark.read.schema(_MANIFEST).parquet(_manifest(base)).agg(F.max("version")).first()
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":  # no manifest yet
             return 0
         raise
-    return int(row["v"] or 0)
+    return int(row[0] or 0)
+
+
+def version_path(base: str, version: int) -> str:
+    return f"{base}/v{version:08d}"
+
+
+def commit_version(spark: SparkSession, base: str, version: int) -> None:
+    """Make a wholly written version the one that readers take."""
+    row = [(version, version_path(base, version))]
+    spark.createDataFrame(row, _MANIFEST).write.mode("append").parquet(_manifest(base))
 
 
 def publish_version(df: DataFrame, base: str) -> str:
@@ -48,19 +61,20 @@ def publish_version(df: DataFrame, base: str) -> str:
     The data is committed before its manifest row is appended, so a reader
     that takes the newest manifest entry never sees a half-written version,
     and a path being read is never overwritten.  Returns the new version's path.
-    Versions are meant to be published by one writer at a time.
+    Versions are meant to be published by one writer at a time; what a writer that
+    failed before its manifest row has left is written over.
     """
     spark = df.sparkSession
-    version = _latest_version(spark, base) + 1
-    path = f"{base}/v{version:08d}"
-    df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version, path)], "version long, path string").write.mode("append").parquet(_manifest(base))
+    version = latest_version(spark, base) + 1
+    path = version_path(base, version)
+    df.write.mode("overwrite").parquet(path)
+    commit_version(spark, base, version)
     return path
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
     """P5 reader: the newest published version."""
-    version = _latest_version(spark, base)
+    version = latest_version(spark, base)
     if not version:
         raise FileNotFoundError(f"no published version under {base}")
-    return spark.read.parquet(f"{base}/v{version:08d}")
+    return spark.read.parquet(version_path(base, version))

@@ -53,6 +53,10 @@ class Filters:
         """Dimension tables the active filters need joined."""
         return {f.metadata["dimension"] for f, _ in self._set()} - {None}
 
+    def members(self) -> dict[str, str]:
+        """Name dimension -> the member asked for."""
+        return {f.metadata["dimension"]: value for f, value in self._set() if f.metadata["dimension"] not in (None, "dimTime")}
+
     def predicate(self) -> Column:
         """AND of the active equality predicates; TRUE when there are none."""
         tests = (F.col(f.metadata["column"]) == F.lit(value) for f, value in self._set())

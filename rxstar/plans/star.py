@@ -7,6 +7,8 @@ changes the row count because dimension ids are unique (check C1).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.fact import Star
@@ -39,9 +41,14 @@ def filtered(star: Star, filters: Filters | None, needed: set[str] = frozenset()
 
     A year filter is also applied to the fact's ``fact_year`` partition column
     (the year of the fact's day, written at load), so the fact scan prunes
-    partitions; the dimension predicate keeps the reference's semantics.
+    partitions; the dimension predicate keeps the reference's semantics.  A
+    name is resolved to its id first (a dimension holds a name once), so the
+    fact scan skips the row groups without that id.
     """
     filters = filters or Filters()
+    for dim, name in filters.members().items():
+        ident = star.dims[dim].where(F.col("dimName") == F.lit(name)).agg(F.max("id")).scalar()
+        star = replace(star, fact=star.fact.where(F.col(DIM_COLUMNS[dim][0]) == ident))
     df = star_join(star, set(needed) | filters.dimensions())
     if filters.year is not None and "fact_year" in star.fact.columns:
         df = df.where(F.col("fact_year") == F.lit(filters.year))

@@ -14,6 +14,7 @@ import os
 from pyspark.sql import SparkSession, functions as F
 
 from ..operators.fact import Star, read_dimensions, read_stored, run_etl, write_dimensions, write_fact
+from ..operators.sinks import commit_version, latest_version, version_path
 from ..schemas import FACT_STORED, NAME_DIMENSIONS
 from ..functions.once import once
 from ..session import shared_dir
@@ -28,18 +29,25 @@ def warehouse_root(spark: SparkSession) -> str:
 
 
 def write_star(star: Star, path: str) -> None:
-    """Full reload of every table (overwrite = TRUNCATE + INSERT)."""
+    """Full reload of every table, as a new version that becomes current when it is whole."""
+    spark = star.fact.sparkSession
+    version = latest_version(spark, path) + 1
+    root = version_path(path, version)
     names = None
     for name in NAME_DIMENSIONS:
         part = star.dims[name].select(F.lit(name).alias("dim"), "id", "dimName")
         names = part if names is None else names.unionByName(part)
-    write_dimensions(names, star.dims["dimTime"], path)
-    write_fact(star.fact, path)
+    write_dimensions(names, star.dims["dimTime"], root)
+    write_fact(star.fact, root)
+    commit_version(spark, path, version)
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
-    dims, rows, text = read_dimensions(spark, path)
-    return Star(fact=read_stored(spark, f"{path}/factDrug", FACT_STORED), dims=dims, dim_rows=rows, dim_bytes=text)
+    """The current version of the star under ``path``; one version's own folder can be given too."""
+    version = latest_version(spark, path)
+    root = version_path(path, version) if version else path
+    dims, rows, text = read_dimensions(spark, root)
+    return Star(read_stored(spark, f"{root}/factDrug", FACT_STORED), dims, rows, text, root)
 
 
 def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:

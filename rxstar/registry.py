@@ -27,6 +27,7 @@ from .plans import views as V
 from .plans.filters import Filters
 from .plans.star import ALL_DIMS, star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
+from .schemas import NAME_DIMENSIONS
 from .sources import openfda as S
 from .sources.fixtures import landed_raw_sales as raw_sales
 from .sources.landing import landed_pages
@@ -242,6 +243,11 @@ def queries() -> dict[str, Query]:
     q["scan_star_projection"] = lambda s, d: scan_projection(
         _star(s, d).dims["dimTime"], ["id", "timeDay", "timeWeekDay", "timeWeekNum", "timeMonth", "timeYear"])
     q["scan_full_table"] = lambda s, d: scan_full_table(s, _star_path(s, d, "dimMan"))
+    for dim in NAME_DIMENSIONS:
+        q[f"scan_{dim}"] = (lambda dim: lambda s, d: scan_projection(_star(s, d).dims[dim], ["id", "dimName"]))(dim)
+    q["scan_factDrug"] = lambda s, d: scan_projection(fact_output(_star(s, d).fact), [
+        "id", "dimCity_id", "dimConTh_id", "dimDrug_id", "dimDrugType_id", "dimMan_id", "dimTime_id", "is_refunded",
+        "cntDrug", "sumDrug", "avgDrug", "minDrug", "maxDrug"])
     q["ndc_flatten"] = ndc_records
     q["ndc_flatten_strict"] = lambda s, d: S.flatten_ndc_strict(S.records(pages(s, d, "ndc")))
     q["event_flatten"] = event_records
@@ -252,6 +258,8 @@ def queries() -> dict[str, Query]:
     q["event_date_range"] = lambda s, d: S.event_date_range(event_records(s, d))
     q["load_limit"] = lambda s, d: S.load_limit(ndc_records(s, d), limit=5000, cap=S.NDC_LOAD_CAP).select(
         "seq", "product_ndc")
+    q["load_limit_events"] = lambda s, d: S.load_limit(event_records(s, d), limit=500, cap=S.EVENT_LOAD_CAP).select(
+        "seq", "safetyreportid")
     # 2.2 staging
     m_typed = lambda s, d: raw_sales(s, d, "M").select("Transaction_ID", *typed_columns(raw_sales(s, d, "M")))
     q["stage_timestamp"] = lambda s, d: m_typed(s, d).select("Transaction_ID", "Sale_Timestamp")
@@ -338,16 +346,15 @@ def queries() -> dict[str, Query]:
     q["check_fact_fks"] = lambda s, d: C.fact_foreign_keys(_star(s, d))
     q["check_source_pks"] = lambda s, d: C.primary_key(ndc_records(s, d), ["product_ndc"], "ndc_records").unionByName(
         C.primary_key(source_ndc_products(s, d), ["product_ndc"], "source_ndc_products")).unionByName(
-        C.primary_key(source_drug_events(s, d), ["safetyreportid"], "source_drug_events"))
+        C.primary_key(source_drug_events(s, d), ["safetyreportid"], "source_drug_events")).unionByName(
+        C.primary_key(source_metadata(s, d), ["source_key"], "source_metadata"))
     q["check_not_null"] = _not_null
     q["check_fact_grain"] = lambda s, d: C.fact_grain(_star(s, d))
     return q
 
 
 def _star_path(spark, d, table):
-    _star(spark, d)
-    tag = hashlib.sha1(f"{os.path.abspath(d)}|A".encode()).hexdigest()[:12]
-    return f"{warehouse_root(spark)}/star-A-{tag}/names/dim={table}"
+    return f"{_star(spark, d).path}/names/dim={table}"
 
 
 def _view(spark, d, name):

@@ -238,3 +238,46 @@ def test_etl_on_empty_input(spark):
     r = D.kpi_summary(star).collect()[0]
     assert (r["fact_groups"], r["transactions"], r["total_sales"], r["date_from"]) == (0, 0, 0.0, None)
     assert D.top_drugs(star).count() == 0 and D.recent_records(star).count() == 0
+
+
+def _etl_rows(spark, path, cities):
+    rows = [(str(i), "2024-05-06 10:00:00", "M", f"D{c}", "10.00", "T", "0", "C", c) for i, c in enumerate(cities)]
+    spark.createDataFrame(rows, IMPORT_RAW).write.mode("overwrite").parquet(path)
+    return path
+
+
+def test_reload_into_its_own_folder_is_a_new_version(spark, tmp_path, monkeypatch):
+    """Ids stay over a reload in place; a load that fails half way leaves the old star to be read."""
+    import pytest
+
+    from rxstar import jobs
+    from rxstar.operators import fact as load
+    from rxstar.plans.warehouse import read_star
+
+    def cities():
+        return {r["dimName"]: r["id"] for r in read_star(spark, star).dims["dimCity"].collect()}
+
+    star = str(tmp_path / "star")
+    jobs.etl(spark, _etl_rows(spark, str(tmp_path / "one"), ["Oslo", "Turku"]), star)
+    assert cities() == {"Oslo": 1, "Turku": 2}
+    more = _etl_rows(spark, str(tmp_path / "two"), ["Aalborg", "Turku", "Oslo"])
+    with monkeypatch.context() as m:
+        m.setattr(load, "write_fact", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.etl(spark, more, star, existing=star)
+    assert cities() == {"Oslo": 1, "Turku": 2} and read_star(spark, star).fact.count() == 2
+    jobs.etl(spark, more, star, existing=star)
+    assert cities() == {"Oslo": 1, "Turku": 2, "Aalborg": 3} and read_star(spark, star).fact.count() == 3
+    assert read_star(spark, f"{star}/v00000001").fact.count() == 2
+
+
+def test_load_removes_its_scratch_tables(spark, tmp_path):
+    import os
+
+    from rxstar.functions.materialize import scratch_path
+
+    raw = spark.read.parquet(_etl_rows(spark, str(tmp_path / "raw"), ["Oslo", "Turku"]))
+    folder = os.path.dirname(scratch_path(spark, "x")).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    run_etl(raw, out=str(tmp_path / "star"))
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before

@@ -40,6 +40,13 @@ def test_dimension_filter_pushed_to_scan_and_join_inner(star):
     assert "Join type: Inner" in p  # the filtered LEFT JOIN became INNER (dimTime stays outer)
 
 
+def test_name_filter_reaches_the_fact_scan_as_an_id(star):
+    optimized = D.kpi_summary(star, Filters(city="NATION_3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(dimCity_id" in optimized and "scalar-subquery" in optimized
+    unknown = D.kpi_summary(star, Filters(city="no such city")).first()
+    assert unknown["fact_groups"] == 0
+
+
 def test_year_filter_prunes_fact_partitions(star):
     df = D.monthly_sales(star, Filters(year=1997))
     p = plan(df)

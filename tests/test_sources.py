@@ -80,12 +80,3 @@ def test_csv_keeps_empty_text_apart_from_null(spark, tmp_path):
     land_csv(spark.createDataFrame(rows, IMPORT_RAW), str(tmp_path / "raw"))
     back = [tuple(r) for r in scan_import_raw(spark, str(tmp_path / "raw")).collect()]
     assert sorted(back, key=repr) == sorted(rows, key=repr)
-
-
-def test_reload_onto_the_star_that_is_read_is_refused(spark, tmp_path):
-    import pytest
-
-    from rxstar import jobs
-
-    with pytest.raises(ValueError):
-        jobs.etl(spark, "unused", str(tmp_path / "star"), existing=f"file:{tmp_path}/star/")
