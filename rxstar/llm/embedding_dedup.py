@@ -12,6 +12,8 @@ verifies each, and distributed connected components group the links.
 - A pair is counted in the first table that brings it together (each row carries its bits of
   all tables), so link counts are exact without listing pairs.  A unit emits for each row its
   count of links and one forest edge: output is linear in its rows.
+- Vectors are shuffled in the type they are stored in (4 bytes a component for floats); every
+  product is taken in double precision.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor
 do vectors of different lengths.  Rows without vec_id cannot name a component: they link with
@@ -25,7 +27,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .blocks import forest, units
 from .common import fixed_rows, read, runs, ship, store
@@ -53,7 +55,7 @@ def signs(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray
     return (side * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
-def _hash(bits: int, tables: int, seed: int) -> Callable:
+def _hash(bits: int, tables: int, seed: int, stored: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fixed_rows(batches, 2048):
             reps, weights = (batch.column(c).to_numpy() for c in ("rep", "weight"))
@@ -64,7 +66,7 @@ def _hash(bits: int, tables: int, seed: int) -> Callable:
                 at = np.flatnonzero(dims == dim)
                 x = flat[offsets[at][:, None] + np.arange(dim)].astype(np.float64)
                 keys = signs(x, bits, tables, seed)
-                own, vec = [k.tobytes() for k in keys], [v.tobytes() for v in x]
+                own, vec = [k.tobytes() for k in keys], [v.tobytes() for v in x.astype(stored)]
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -86,7 +88,7 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (a @ b.T) / (na[:, None] * nb[None, :]) >= threshold
 
 
-def _links(threshold: float, slice_rows: int = 100_000) -> Callable:
+def _links(threshold: float, stored: str, slice_rows: int = 100_000) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, _UNIT):
             ids, weights, tab, i, j, side = (
@@ -94,7 +96,7 @@ def _links(threshold: float, slice_rows: int = 100_000) -> Callable:
             )
             if len(ids) < 2:
                 continue
-            x = np.stack([np.frombuffer(v, np.float64) for v in table.column("vec").to_pylist()])
+            x = np.stack([np.frombuffer(v, stored) for v in table.column("vec").to_pylist()]).astype(np.float64)
             own = np.stack([np.frombuffer(s, np.int32) for s in table.column("signs").to_pylist()])[:, : tab[0]]
             if i[0] == j[0]:
                 a, b = np.nonzero(np.triu(linked(x, x, threshold), 1))
@@ -136,19 +138,21 @@ def embedding_dedup(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     ship(vectors.sparkSession)
+    kind = vectors.schema["embedding"].dataType
+    stored, kind = ("float32", "float") if getattr(kind, "elementType", None) == T.FloatType() else ("float64", "double")
     # + 0.0 makes the two zeros one
-    vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+    vec = F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     rows = rows.withColumn("ok", F.coalesce(usable(F.col("vec")), F.lit(False)) & F.col("vec_id").isNotNull())
     good = rows.filter("ok").select("vec_id", "vec")
     classes = store(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
     bits, tables = plan_tables(classes.count(), threshold, recall)
     hashed = classes.mapInArrow(
-        _hash(bits, tables, seed),
+        _hash(bits, tables, seed, stored),
         "rep long, weight long, dim int, tab int, key int, signs binary, vec binary",
     )
     dealt = units(hashed, ["dim", "tab", "key"], "rep", cap)
-    found = store(dealt.mapInArrow(_links(threshold), "u long, v long, links long"), "vector-links")
+    found = store(dealt.mapInArrow(_links(threshold, stored), "u long, v long, links long"), "vector-links")
     reached = components(found.select("u", "v"))
     counts = found.groupBy("u").agg(F.sum("links").alias("links"))
     whole = (
