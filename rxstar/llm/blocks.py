@@ -11,18 +11,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.joins import bounded_broadcast
+from .common import store
+
 
 def units(rows: DataFrame, bucket: list[str], ident: str, cap: int) -> DataFrame:
     """``rows`` with _i, _j (the chunks of the unit) and _side, dealt and sorted by unit.
 
+    The list of large buckets is broadcast within a checked bound, so that rows are shuffled once.
     Where _i = _j every two rows are to be compared; else rows of side 0 with rows of side 1.
     """
     big = rows.groupBy(*bucket).count().filter(F.col("count") > cap)
-    big = big.withColumn("_chunks", F.ceil(F.col("count") / cap).cast("int")).drop("count")
+    big = store(big.withColumn("_chunks", F.ceil(F.col("count") / cap).cast("int")).drop("count"), "large-buckets")
     n = F.coalesce("_chunks", F.lit(1))
     own = F.pmod(F.xxhash64(F.col(ident)), F.col("_chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
-    cut = rows.join(big, bucket, "left").withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
+    cut = rows.join(bounded_broadcast(big, big.count()), bucket, "left").withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
     cut = cut.select(
         *rows.columns,
         F.least("_own", "_other").alias("_i"),
