@@ -9,13 +9,18 @@ information with it,
 
 estimated from the co-occurrence in all texts.  A term whose PMI reaches ``GENERALISE`` of the
 entity's information content is generalised where it stands in a text with that entity, one
-that reaches ``REMOVE`` of it is removed.  Joint counts need ``SUPPORT`` different texts: a term
-that was seen with an entity once or twice is no evidence, and copies are no further evidence.
+that reaches ``REMOVE`` of it is removed.  Most entities are rare, so each one is judged by
+itself and as one of its pool (an email's domain, an ip's network, a card's issuer, a phone
+number's country and area): a term that discloses the pool is treated where the pool's members
+stand.  There is no least count.  Instead the co-occurrence must be more than chance: by the
+Chernoff bound, at most ``FALSE_TERMS`` of all different terms may be expected to stand as often
+with an entity (or pool) if they were dealt at random.  Copies are no further evidence.
 
 - Offsets come from the lengths of the matches and of the gaps between them.
-- Only texts with personal data are paired with terms, and only entities and terms of enough
-  such texts, so pairs are few; counts of terms cover all texts, restricted to the terms that
-  are needed (broadcast within a checked bound, else joined after map-side counting).
+- Only texts with personal data are paired with terms.  Entities, pools and terms that stand in
+  too few texts to pass the bound with any partner are not paired, which changes no result.
+  Counts of terms cover all texts (broadcast within a checked bound, else joined after map-side
+  counting).
 - What depends on a text is computed once for equal texts.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Repeated rows are
@@ -24,6 +29,9 @@ treated alike; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.joins import bounded_broadcast
@@ -42,7 +50,8 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
 SHORTEST = 3
-SUPPORT = 3
+#: Terms that may be expected to pass with one entity or pool by chance.
+FALSE_TERMS = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -109,32 +118,56 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= SHORTEST)
 
 
+def _pool(kind: str, value: Column) -> Column:
+    """What an entity shares with its like: domain, network (two bytes), issuer (six digits), all but seven digits."""
+    if kind == "email":
+        return F.concat(F.lit("domain:"), F.lower(F.substring_index(value, "@", -1)))
+    if kind == "ip":
+        return F.concat(F.lit("network:"), F.regexp_replace(F.substring_index(value, ".", 2), r"(?<![0-9])0+(?=[0-9])", ""))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    if kind == "card":
+        return F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))
+    return F.concat(F.lit("area:"), F.substring(digits, F.lit(1), F.length(digits) - 7))
+
+
+def _divergence(k: Column, n: Column, p: Column) -> Column:
+    """-log of the Chernoff bound for at least ``k`` hits of ``n`` at probability ``p`` (0 if no more than expected)."""
+    rate = k / n
+    misses = F.when(k < n, (n - k) * F.log((1 - rate) / (1 - p))).otherwise(F.lit(0.0))
+    return F.when(rate > p, k * F.log(rate / p) + misses).otherwise(F.lit(0.0))
+
+
 def disclosing(texts: DataFrame, total: int, all_terms: DataFrame) -> DataFrame:
-    """(entity, term, level): level 2 to remove, 1 to generalise.
+    """(entity, term, level): level 2 to remove, 1 to generalise; an entity or a pool.
 
-    ``texts``: different texts with personal data: hash, masked, entities.  ``all_terms``: column
-    terms, the different terms of every text.
+    ``texts``: different texts with personal data: hash, masked, entities (pools among them).
+    ``all_terms``: column terms, the different terms of every text.
     """
+    counts = all_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = store(counts, "terms")
+    rows, width = counts.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
+    least = log(max(rows, 1) / FALSE_TERMS)
+    n = F.lit(float(max(total, 1)))
+
+    def can_pass(count: str) -> Column:  # the most that the bound gives: always together, never apart
+        return F.col(count) * F.log(n / F.col(count)) >= least
+
     entities = texts.select("hash", F.explode("entities").alias("entity"))
-    often = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    entities = entities.join(often, "entity")
+    judged = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(can_pass("n_entity"))
+    entities = entities.join(judged, "entity")
     held = texts.join(entities.select("hash").distinct(), "hash", "left_semi")
     terms = held.select("hash", F.explode(F.array_distinct(_terms(F.col("masked")))).alias("term"))
-    common = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SUPPORT).select("term")
-    terms = terms.join(common, "term")
-    pairs = entities.join(terms, "hash").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"))
-    pairs = store(pairs.filter(F.col("n_both") >= SUPPORT), "pairs")
-    needed = store(pairs.select("term").distinct(), "terms")
-    rows, width = needed.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
-    if not rows:
-        return pairs.select("entity", "term", F.lit(1).alias("level"))
-    seen = all_terms.select(F.explode("terms").alias("term")).join(bounded_broadcast(needed, rows, width), "term", "left_semi")
-    n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(total))
+    terms = terms.join(bounded_broadcast(counts.filter(can_pass("n_term")), rows, width), "term")
+    pairs = entities.join(terms, "hash").groupBy("entity", "term")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    chance = F.greatest(
+        _divergence(F.col("n_both"), F.col("n_entity"), F.col("n_term") / n),
+        _divergence(F.col("n_both"), F.col("n_term"), F.col("n_entity") / n),
+    )
     pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.log2(n / F.col("n_entity"))
     level = F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1)
-    return pairs.join(n_term, "term").select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
+    return pairs.filter(chance >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -153,13 +186,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
     base = store(base, "pii")
     texts = base.filter("hash IS NOT NULL").select("hash", "text", *KINDS).dropDuplicates(["hash"])
-    entities = F.array_distinct(F.concat(*[_entities(k) for k in KINDS]))
+    entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
     masked = F.col("text")
     for kind in KINDS:
         masked = F.regexp_replace(masked, PATTERNS[kind], " ")
     texts = store(texts.select("hash", "text", masked.alias("masked"), entities.alias("entities"), *KINDS), "pii-texts")
     all_terms = rows.select(F.array_distinct(_terms(F.col("text"))).alias("terms"))
-    flagged = disclosing(texts, rows.count(), all_terms)
+    flagged = store(disclosing(texts, rows.count(), all_terms), "flagged")
+    flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
     of_text = (
         texts.select("hash", F.explode("entities").alias("entity"))
         .join(flagged, "entity")
@@ -173,8 +207,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(F.col(kind), lambda s: _entity(kind, s["value"]))
+def _entities(kind: str, of: Callable) -> Column:
+    return F.transform(F.col(kind), lambda s: of(kind, s["value"]))
 
 
 def _term_spans(texts: DataFrame, of_text: DataFrame) -> DataFrame:

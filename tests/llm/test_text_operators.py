@@ -76,6 +76,21 @@ def test_pii_terms_that_disclose_an_entity(spark):
     assert clean[0] == "common words number 0 [term]! write [email] now" and clean[201] == text[201]
 
 
+def flagged_words(spark, docs):
+    """doc_id: the flagged terms, as they stand in the text."""
+    found = pii.find_pii(spark.createDataFrame(docs, DOC)).collect()
+    return {r["doc_id"]: [dict(docs)[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]] for r in found}
+
+
+def test_pii_rare_entities_are_judged(spark):
+    """One address in two texts, and eight addresses of one domain in a text each."""
+    docs = [(i, f"common words quokka two@two.org here {'ab'[i]}") for i in range(2)]
+    docs += [(10 + i, f"common words wombat w{i}@burrow.org here") for i in range(8)]
+    docs += [(100 + i, f"common words here {i}") for i in range(400)]
+    got = flagged_words(spark, docs)
+    assert {i: w for i, w in got.items() if w} == {0: ["quokka"], 1: ["quokka"]} | {10 + i: ["wombat"] for i in range(8)}
+
+
 def test_pii_uses_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.c")], DOC)
     plan = pii.find_pii(df)._jdf.queryExecution().executedPlan().toString()
