@@ -21,7 +21,8 @@ with an entity (or pool) if they were dealt at random.  Copies are no further ev
   too few texts to pass the bound with any partner are not paired, which changes no result.
   Counts of terms cover all texts (broadcast within a checked bound, else joined after map-side
   counting).
-- What depends on a text is computed once for equal texts.
+- N, n(term), n(entity) and n(term, entity) come from one table that holds every different text
+  once (its terms and entities), so copies change nothing.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Repeated rows are
 treated alike; an empty table gives an empty result; extra columns are ignored.
@@ -137,13 +138,13 @@ def _divergence(k: Column, n: Column, p: Column) -> Column:
     return F.when(rate > p, k * F.log(rate / p) + misses).otherwise(F.lit(0.0))
 
 
-def disclosing(texts: DataFrame, total: int, all_terms: DataFrame) -> DataFrame:
+def disclosing(texts: DataFrame) -> DataFrame:
     """(entity, term, level): level 2 to remove, 1 to generalise; an entity or a pool.
 
-    ``texts``: different texts with personal data: hash, masked, entities (pools among them).
-    ``all_terms``: column terms, the different terms of every text.
+    ``texts``: every different text once: terms (different ones) and entities (pools among them).
     """
-    counts = all_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = texts.count()
+    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counts = store(counts, "terms")
     rows, width = counts.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
     least = log(max(rows, 1) / FALSE_TERMS)
@@ -156,7 +157,7 @@ def disclosing(texts: DataFrame, total: int, all_terms: DataFrame) -> DataFrame:
     judged = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(can_pass("n_entity"))
     entities = entities.join(judged, "entity")
     held = texts.join(entities.select("hash").distinct(), "hash", "left_semi")
-    terms = held.select("hash", F.explode(F.array_distinct(_terms(F.col("masked")))).alias("term"))
+    terms = held.select("hash", F.explode("terms").alias("term"))
     terms = terms.join(bounded_broadcast(counts.filter(can_pass("n_term")), rows, width), "term")
     pairs = entities.join(terms, "hash").groupBy("entity", "term")
     pairs = pairs.agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
@@ -178,24 +179,22 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.select("doc_id", "text", *[_spans(k).alias(k) for k in KINDS])
     some = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
+    digest = F.sha2(F.col("text").cast("binary"), 256)
     # the texts are kept only where they hold personal data
-    base = found.select(
-        "doc_id", *KINDS,
-        F.when(some, F.sha2(F.col("text").cast("binary"), 256)).alias("hash"),
-        F.when(some, F.col("text")).alias("text"),
-    )
+    base = found.select("doc_id", *KINDS, F.when(some, digest).alias("hash"), F.when(some, F.col("text")).alias("text"))
     base = store(base, "pii")
     texts = base.filter("hash IS NOT NULL").select("hash", "text", *KINDS).dropDuplicates(["hash"])
-    entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
     masked = F.col("text")
     for kind in KINDS:
         masked = F.regexp_replace(masked, PATTERNS[kind], " ")
-    texts = store(texts.select("hash", "text", masked.alias("masked"), entities.alias("entities"), *KINDS), "pii-texts")
-    all_terms = rows.select(F.array_distinct(_terms(F.col("text"))).alias("terms"))
-    flagged = store(disclosing(texts, rows.count(), all_terms), "flagged")
+    entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
+    # all counts come from this one table, so copies of a text change none of them
+    different = found.select(digest.alias("hash"), F.array_distinct(_terms(masked)).alias("terms"), entities.alias("entities"))
+    different = store(different.dropDuplicates(["hash"]), "pii-texts")
+    flagged = store(disclosing(different), "flagged")
     flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
     of_text = (
-        texts.select("hash", F.explode("entities").alias("entity"))
+        different.select("hash", F.explode("entities").alias("entity"))
         .join(flagged, "entity")
         .groupBy("hash", "term")
         .agg(F.max("level").alias("level"))

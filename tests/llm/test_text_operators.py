@@ -91,6 +91,17 @@ def test_pii_rare_entities_are_judged(spark):
     assert {i: w for i, w in got.items() if w} == {0: ["quokka"], 1: ["quokka"]} | {10 + i: ["wombat"] for i in range(8)}
 
 
+def test_pii_copies_leave_the_flags_unchanged(spark):
+    docs = [(i, f"common words quokka kim@two.org here {'abc'[i]}") for i in range(3)]
+    docs += [(100 + i, f"common words here {i}") for i in range(200)]
+    copies = [(1000 + i, docs[0][1]) for i in range(600)]
+    once, often = flagged_words(spark, docs), flagged_words(spark, docs + copies)
+    assert once[0] == ["quokka"] and {i: often[i] for i in once} == once
+    assert all(often[i] == once[0] for i, _ in copies)
+    texts = spark.createDataFrame(docs + copies, DOC)
+    assert {r["clean"] for r in pii.sanitise(texts).collect() if "quokka" in dict(docs + copies)[r["doc_id"]]} == {f"common words  [email] here {c}" for c in "abc"}
+
+
 def test_pii_uses_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.c")], DOC)
     plan = pii.find_pii(df)._jdf.queryExecution().executedPlan().toString()
