@@ -2,8 +2,8 @@
 
 Formats (email, ip, card, phone) are leftmost non-overlapping matches, checked afterwards.  What
 a match names is a protected entity.  Its information content is -log2 of the share of texts
-that hold it; a term (a run of letters and digits) discloses it by its pointwise mutual
-information with it,
+that hold it; a term (a run of letters and digits outside the accepted matches) discloses it by
+its pointwise mutual information with it,
 
     PMI(term, entity) = log2(N n(term, entity) / (n(term) n(entity))),
 
@@ -171,6 +171,22 @@ def disclosing(texts: DataFrame) -> DataFrame:
     return pairs.filter(chance >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
 
 
+def _masked() -> Column:
+    """The text with its accepted spans blanked, at the same length."""
+    spans = F.sort_array(F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]))
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["end"] - s["start"])))
+            .otherwise(F.concat(acc["out"], F.repeat(F.lit(" "), s["end"] - acc["at"])))
+            .alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    )
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, one array of spans for each kind, and terms: array of start, end, level.
 
@@ -184,12 +200,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = found.select("doc_id", *KINDS, F.when(some, digest).alias("hash"), F.when(some, F.col("text")).alias("text"))
     base = store(base, "pii")
     texts = base.filter("hash IS NOT NULL").select("hash", "text", *KINDS).dropDuplicates(["hash"])
-    masked = F.col("text")
-    for kind in KINDS:
-        masked = F.regexp_replace(masked, PATTERNS[kind], " ")
     entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
     # all counts come from this one table, so copies of a text change none of them
-    different = found.select(digest.alias("hash"), F.array_distinct(_terms(masked)).alias("terms"), entities.alias("entities"))
+    different = found.select(digest.alias("hash"), F.array_distinct(_terms(F.when(some, _masked()).otherwise(F.col("text")))).alias("terms"), entities.alias("entities"))
     different = store(different.dropDuplicates(["hash"]), "pii-texts")
     flagged = store(disclosing(different), "flagged")
     flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
@@ -211,22 +224,21 @@ def _entities(kind: str, of: Callable) -> Column:
 
 
 def _term_spans(texts: DataFrame, of_text: DataFrame) -> DataFrame:
-    """hash, terms: where the flagged terms of a text stand outside its other spans."""
+    """hash, terms: where the flagged terms stand in the masked text (its offsets are the text's)."""
     held = texts.join(of_text.select("hash").distinct(), "hash", "left_semi")
     # gaps and terms alternate; a running sum of their lengths gives the places
+    held = held.select("hash", _masked().alias("text"))
     parts = held.select(
         "hash",
-        F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]).alias("taken"),
         F.posexplode(
             F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)).alias("word"))
         ).alias("n", "part"),
-    ).select("hash", "taken", "n", F.length("part.gap").alias("gap"), F.col("part.word").alias("word"))
+    ).select("hash", "n", F.length("part.gap").alias("gap"), F.col("part.word").alias("word"))
     before = Window.partitionBy("hash").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(before).cast("int")
     placed = parts.withColumn("end", end).filter("word IS NOT NULL")
-    placed = placed.select("hash", "taken", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+    placed = placed.select("hash", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
     hit = placed.join(of_text, ["hash", "term"])
-    hit = hit.filter(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
     return hit.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "level"))).alias("terms"))
 
 

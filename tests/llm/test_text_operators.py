@@ -102,6 +102,16 @@ def test_pii_copies_leave_the_flags_unchanged(spark):
     assert {r["clean"] for r in pii.sanitise(texts).collect() if "quokka" in dict(docs + copies)[r["doc_id"]]} == {f"common words  [email] here {c}" for c in "abc"}
 
 
+def test_pii_identifiers_with_digits_are_terms(spark):
+    """Digits that no check accepts are text; what an accepted match covers is not."""
+    docs = [(i, f"common words 48213 user48213 AB12345 kim@two.org pays 4111 1111 1111 1111 {'abc'[i]}") for i in range(3)]
+    docs += [(100 + i, f"common words user user{i} pays {i}") for i in range(400)]
+    got = flagged_words(spark, docs)
+    assert got[0] == got[1] == got[2] == ["48213", "user48213", "AB12345"] and not any(got[i] for i in got if i >= 100)
+    texts = spark.createDataFrame([("é 🙂 a@b.c x +1 (555) 123-4567 300.1.1.1", [(4, 9)], [], [], [(12, 29)])], "text string, " + ", ".join(f"{k} array<struct<start:int,end:int>>" for k in ("email", "ip", "card", "phone")))
+    assert texts.select(pii._masked()).first()[0] == "é 🙂 " + " " * 5 + " x " + " " * 17 + " 300.1.1.1"
+
+
 def test_pii_uses_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.c")], DOC)
     plan = pii.find_pii(df)._jdf.queryExecution().executedPlan().toString()
