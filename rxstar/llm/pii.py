@@ -21,8 +21,7 @@ with an entity (or pool) if they were dealt at random.  Copies are no further ev
   too few texts to pass the bound with any partner are not paired, which changes no result.
   Counts of terms cover all texts (broadcast within a checked bound, else joined after map-side
   counting).
-- N, n(term), n(entity) and n(term, entity) come from one table that holds every different text
-  once (its terms and entities), so copies change nothing.
+- N, n(term), n(entity) and n(term, entity) are counts of different texts, so copies change nothing.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Repeated rows are
 treated alike; an empty table gives an empty result; extra columns are ignored.
@@ -138,15 +137,15 @@ def _divergence(k: Column, n: Column, p: Column) -> Column:
     return F.when(rate > p, k * F.log(rate / p) + misses).otherwise(F.lit(0.0))
 
 
-def disclosing(texts: DataFrame) -> DataFrame:
+def disclosing(texts: DataFrame, different: DataFrame, total: int) -> DataFrame:
     """(entity, term, level): level 2 to remove, 1 to generalise; an entity or a pool.
 
-    ``texts``: every different text once: terms (different ones) and entities (pools among them).
+    ``different``: the terms (different ones) of each of the ``total`` different texts.
+    ``texts``: those with personal data: hash, terms and entities (pools among them).
     """
-    total = texts.count()
-    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = different.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counts = store(counts, "terms")
-    rows, width = counts.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
+    rows = counts.count()
     least = log(max(rows, 1) / FALSE_TERMS)
     n = F.lit(float(max(total, 1)))
 
@@ -158,7 +157,9 @@ def disclosing(texts: DataFrame) -> DataFrame:
     entities = entities.join(judged, "entity")
     held = texts.join(entities.select("hash").distinct(), "hash", "left_semi")
     terms = held.select("hash", F.explode("terms").alias("term"))
-    terms = terms.join(bounded_broadcast(counts.filter(can_pass("n_term")), rows, width), "term")
+    partners = counts.filter(can_pass("n_term"))
+    partners = bounded_broadcast(partners, *partners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first())
+    terms = terms.join(partners, "term")
     pairs = entities.join(terms, "hash").groupBy("entity", "term")
     pairs = pairs.agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     chance = F.greatest(
@@ -187,6 +188,15 @@ def _masked() -> Column:
     )
 
 
+def _different(rows: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
+    """Every different text of ``rows`` (hash, text) once, and their number.  Only copied texts are shuffled."""
+    copies = store(base.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    groups, members = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    copied = bounded_broadcast(copies.select("hash"), groups, 64 * groups)
+    single = rows.join(copied, "hash", "left_anti")
+    return single.unionByName(rows.join(copied, "hash", "left_semi").dropDuplicates(["hash"])), base.count() - members + groups
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, one array of spans for each kind, and terms: array of start, end, level.
 
@@ -197,23 +207,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
     some = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
     digest = F.sha2(F.col("text").cast("binary"), 256)
     # the texts are kept only where they hold personal data
-    base = found.select("doc_id", *KINDS, F.when(some, digest).alias("hash"), F.when(some, F.col("text")).alias("text"))
-    base = store(base, "pii")
-    texts = base.filter("hash IS NOT NULL").select("hash", "text", *KINDS).dropDuplicates(["hash"])
+    base = store(found.select("doc_id", *KINDS, digest.alias("hash"), F.when(some, F.col("text")).alias("text")), "pii")
+    terms = F.array_distinct(_terms(F.when(some, _masked()).otherwise(F.col("text"))))
     entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
-    # all counts come from this one table, so copies of a text change none of them
-    different = found.select(digest.alias("hash"), F.array_distinct(_terms(F.when(some, _masked()).otherwise(F.col("text")))).alias("terms"), entities.alias("entities"))
-    different = store(different.dropDuplicates(["hash"]), "pii-texts")
-    flagged = store(disclosing(different), "flagged")
+    texts = base.filter("text IS NOT NULL").dropDuplicates(["hash"])
+    texts = store(texts.select("hash", "text", *KINDS, terms.alias("terms"), entities.alias("entities")), "pii-texts")
+    different, total = _different(rows.select(digest.alias("hash"), "text"), base)
+    different = different.select("text", *[_spans(k).alias(k) for k in KINDS]).select(terms.alias("terms"))
+    flagged = store(disclosing(texts, different, total), "flagged")
     flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
     of_text = (
-        different.select("hash", F.explode("entities").alias("entity"))
+        texts.select("hash", F.explode("entities").alias("entity"))
         .join(flagged, "entity")
         .groupBy("hash", "term")
         .agg(F.max("level").alias("level"))
     )
     # rows without personal data join nothing: a key of their own keeps them from one task
-    keyed = base.drop("text").withColumn("hash", F.coalesce("hash", F.xxhash64("doc_id").cast("string")))
+    own = F.xxhash64("doc_id").cast("string")
+    keyed = base.withColumn("hash", F.when(F.col("text").isNotNull(), F.col("hash")).otherwise(own)).drop("text")
     return keyed.join(_term_spans(texts, of_text), "hash", "left").select(
         "doc_id", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,level:int>>")).alias("terms")
     )
