@@ -2,8 +2,8 @@
 
 Formats (assign, access, hex) are leftmost non-overlapping matches; those that fail their check
 are dropped.  Besides them, candidate strings are runs of token characters.  A window slides
-over each one, and its entropy over the candidate's character class is kept up to date from
-counts, one character in and one out.  Windows over the class's threshold merge into a span.  An
+over each one, and its entropy is kept up to date from counts, one character in and one out.
+Windows over the threshold of their own (narrowest) character class merge into a span.  An
 allow-list suppresses candidates that are known to be harmless (prose, placeholders, counting
 runs, identifiers in a standard layout).  The formats' own spans are never suppressed, and an
 entropy span that lies within one of them adds nothing and is left out.
@@ -34,16 +34,17 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % WINDOW)
-#: Character classes from narrow to wide, with the bits a character that a window must exceed.
+#: Character classes from narrow to wide, with the bits a character that a window of theirs must exceed.
 CLASSES = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0),
     ("lower or upper", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), 3.9),
 )
+NUMBER = re.compile(r"[0-9_/+-]+")
 #: The allow-list.
 ALLOWED = (
     re.compile(r"[A-Za-z/_-]+"),  # prose, paths and names: no digit at all
-    re.compile(r"[0-9_/+-]+"),  # numbers
+    NUMBER,
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"(?i).*(example|placeholder|changeme|dummy|sample|redacted|your[_-]).*"),
     re.compile(r"(?i).*(0123456789|abcdefghij|qwertyuiop).*"),  # counting runs
@@ -73,17 +74,21 @@ def window_entropies(text: str, width: int = WINDOW) -> list[float]:
     return out
 
 
+def least_bits(window: str) -> float:
+    """The threshold of the narrowest class that holds all of a window."""
+    return next(bits for _, chars, bits in CLASSES if chars.fullmatch(window))
+
+
 def entropy_spans(text: str, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged windows over the threshold of the narrowest class, in candidates not allowed."""
+    """Merged windows over their own class's threshold, in candidates not allowed."""
     spans: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         found = m.group()
         if any(a.fullmatch(found) for a in ALLOWED):
             continue
-        least = next(bits for _, chars, bits in CLASSES if chars.fullmatch(found))
         open_at = end = -1
         for i, bits in enumerate(window_entropies(found, width)):
-            if bits <= least:
+            if bits <= CLASSES[0][2] or NUMBER.fullmatch(found, i, i + width) or bits <= least_bits(found[i : i + width]):
                 continue
             if open_at >= 0 and i > end:
                 spans.append((m.start() + open_at, m.start() + end))

@@ -153,6 +153,15 @@ def test_entropy_spans_and_allow_list():
     assert secrets.secrets(f"token={key}") == [("assign", 0, 6 + len(key))]  # the entropy span lies within
 
 
+def test_threshold_is_of_the_window():
+    key = "9F86D081884C7D659A2FEAA0C55AD015"
+    for before in ("", "/", "-", "Path/"):
+        (a, b), = secrets.entropy_spans(f"{before}{key}")
+        assert a >= len(before) - 1 and b == len(before) + len(key)
+    assert secrets.entropy_spans("-9f86d081884c7d659a2fea")
+    assert secrets.entropy_spans("Order-12345678901234567890123") == []
+
+
 def test_secret_scan_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "password=abc123"), (3, "password=abc123"), (None, "AKIA" + "Z" * 16), (4, "🙂 " + "ab12" * 30_000)]
     df = spark.createDataFrame([(*d, "x") for d in docs], DOC + ", found string")
