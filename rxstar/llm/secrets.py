@@ -4,8 +4,9 @@ Formats (assign, access, hex) are leftmost non-overlapping matches; those that f
 are dropped.  Besides them, candidate strings are runs of token characters.  A window slides
 over each one, and its entropy is kept up to date from counts, one character in and one out.
 Windows over the threshold of their own (narrowest) character class merge into a span.  An
-allow-list suppresses candidates that are known to be harmless (prose, placeholders, counting
-runs, identifiers in a standard layout).  The formats' own spans are never suppressed, and an
+allow-list cuts out of a candidate what is known to be harmless (words of placeholders up to the
+next separator, counting runs, identifiers in a standard layout) and never more; windows of
+numbers are left out, windows without a digit have a higher threshold.  The formats' own spans are never suppressed, and an
 entropy span that lies within one of them adds nothing and is left out.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Repeated rows are
@@ -40,14 +41,16 @@ CLASSES = (
     ("lower or upper", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), 3.9),
 )
+#: The allow-list: windows that are never judged, windows without a digit (prose, paths and names;
+#: judged by a higher threshold), and parts that are cut out of a candidate.
 NUMBER = re.compile(r"[0-9_/+-]+")
-#: The allow-list.
-ALLOWED = (
-    re.compile(r"[A-Za-z/_-]+"),  # prose, paths and names: no digit at all
-    NUMBER,
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"(?i).*(example|placeholder|changeme|dummy|sample|redacted|your[_-]).*"),
-    re.compile(r"(?i).*(0123456789|abcdefghij|qwertyuiop).*"),  # counting runs
+DIGITLESS, DIGITLESS_BITS = re.compile(r"[^0-9]+"), 4.0
+HARMLESS = re.compile(
+    r"(?<![A-Za-z0-9])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![A-Za-z0-9])"  # UUIDs
+    r"|(?<![A-Za-z0-9])your[_-]"
+    r"|(?<![A-Za-z0-9])(?=[A-Za-z0-9]*?(?:example|placeholder|changeme|dummy|sample|redacted))[A-Za-z0-9]+"  # up to the next separator
+    r"|0123456789|abcdefghij|qwertyuiop",  # counting runs
+    re.I,
 )
 
 
@@ -76,26 +79,35 @@ def window_entropies(text: str, width: int = WINDOW) -> list[float]:
 
 def least_bits(window: str) -> float:
     """The threshold of the narrowest class that holds all of a window."""
+    if DIGITLESS.fullmatch(window):
+        return DIGITLESS_BITS
     return next(bits for _, chars, bits in CLASSES if chars.fullmatch(window))
 
 
+def pieces(found: str) -> Iterator[tuple[int, str]]:
+    """(offset, string): what the allow-list leaves of a candidate."""
+    at = 0
+    for m in HARMLESS.finditer(found):
+        yield at, found[at : m.start()]
+        at = m.end()
+    yield at, found[at:]
+
+
 def entropy_spans(text: str, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged windows over their own class's threshold, in candidates not allowed."""
+    """Merged windows over their own class's threshold, in what the allow-list leaves of the candidates."""
     spans: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
-        found = m.group()
-        if any(a.fullmatch(found) for a in ALLOWED):
-            continue
-        open_at = end = -1
-        for i, bits in enumerate(window_entropies(found, width)):
-            if bits <= CLASSES[0][2] or NUMBER.fullmatch(found, i, i + width) or bits <= least_bits(found[i : i + width]):
-                continue
-            if open_at >= 0 and i > end:
-                spans.append((m.start() + open_at, m.start() + end))
-                open_at = -1
-            open_at, end = (i if open_at < 0 else open_at), i + width
-        if open_at >= 0:
-            spans.append((m.start() + open_at, m.start() + end))
+        for offset, piece in pieces(m.group()):
+            begin, open_at, end = m.start() + offset, -1, -1
+            for i, bits in enumerate(window_entropies(piece, width)):
+                if bits <= CLASSES[0][2] or NUMBER.fullmatch(piece, i, i + width) or bits <= least_bits(piece[i : i + width]):
+                    continue
+                if open_at >= 0 and i > end:
+                    spans.append((begin + open_at, begin + end))
+                    open_at = -1
+                open_at, end = (i if open_at < 0 else open_at), i + width
+            if open_at >= 0:
+                spans.append((begin + open_at, begin + end))
     return spans
 
 

@@ -153,6 +153,16 @@ def test_entropy_spans_and_allow_list():
     assert secrets.secrets(f"token={key}") == [("assign", 0, 6 + len(key))]  # the entropy span lies within
 
 
+def test_allow_list_cuts_only_what_is_harmless():
+    key = "qX7vB2mK9pL4tZ8wR3nY6cJ1hF5gD0sA"
+    for before in ("/sample/", "your_app_", "0123456789/", "123e4567-e89b-12d3-a456-426614174000/"):
+        (a, b), = secrets.entropy_spans(f"{before}{key}")
+        assert a <= len(before) and b == len(before) + len(key)
+    assert secrets.entropy_spans("qXvBzmKapLWtZfwRenYucJohFigDMsAk")  # no digit
+    for harmless in ("/usr/share/documents/Examples/ReadMe", "getElementsByTagNameAndClassName", "your_api_key_goes_in_here", "a" * 100_000 + "/sample", "dummy" * 10_000):
+        assert secrets.entropy_spans(harmless) == []
+
+
 def test_threshold_is_of_the_window():
     key = "9F86D081884C7D659A2FEAA0C55AD015"
     for before in ("", "/", "-", "Path/"):
