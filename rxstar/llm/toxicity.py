@@ -12,8 +12,11 @@ length without, less that with the toxic dictionary.  The largest distances and
 windows over fixed distances are the input of a logistic calibration, fitted on the sample with
 weights that restore the classes' shares.
 
-The sample is bounded (``labelled.MAX_OF_CLASS`` rows of each class, at most ``MOST_BYTES`` from
-any text) and is trained on in one task.  Scoring covers all windows of all texts.  Null text
+The sample is bounded (``labelled.MAX_OF_CLASS`` rows of each class) and its texts are used whole.
+Beginnings are counted and features computed in tasks of their own; single tasks get the counts
+of the toxic texts' beginnings, the features, and the ordinary texts' windows (zstandard's trainer
+needs them at once: in memory, all that the sample's ordinary rows hold).  Scoring covers all
+windows of all texts.  Null text
 counts as empty; a text without words is one empty window.  Repeated rows score alike.  Without
 labels of both classes the score is the share of label 1 (0.5 without any).  An empty table gives
 an empty result; extra columns are passed over.
@@ -33,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, fixed_rows, read, ship, texts
+from .common import crc_mod, fixed_rows, read, ship, store, texts
 from .labelled import training_sample
 
 WIDTH = 10
@@ -42,7 +45,6 @@ SIGNIFICANCE = 2.0
 RATIO = 5.0
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
 LEVEL = 3
-MOST_BYTES = 64 << 10
 CUTOFF = 0.3
 N_FEATURES = 8
 
@@ -66,15 +68,19 @@ def _log_likelihood(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * (of(a, n1, a / n1) + of(b, n0, b / n0) - of(a, n1, p) - of(b, n0, p)) if 0 < p < 1 else 0.0
 
 
-def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, float]:
-    """The beginnings that toxic documents (lists of words) have significantly more often."""
-    n1, n0 = len(toxic), len(ordinary)
-    seen = [Counter(), Counter()]
-    for count, docs in zip(seen, (toxic, ordinary)):
-        for words in docs:
-            count.update({g for w in set(words) for g in beginnings(w)})
-    least = SIGNIFICANCE * log(max(len(seen[0]) + len(seen[1]), 2))
-    often = {g: _log_likelihood(a, seen[1][g], n1, n0) for g, a in seen[0].items() if a / n1 > RATIO * seen[1][g] / n0}
+def beginnings_of(text: bytes) -> set[bytes]:
+    """The different beginnings of a text's words."""
+    return {g for w in set(text.lower().split()) for g in beginnings(w)}
+
+
+def telling(seen: Iterable[tuple[bytes, int, int]], n1: int, n0: int, kinds: int) -> dict[bytes, float]:
+    """The beginnings that toxic documents have significantly more often.
+
+    ``seen``: beginning, toxic and ordinary documents that hold it; ``n1`` and ``n0``: all such
+    documents; ``kinds``: the beginnings of toxic and those of ordinary documents.
+    """
+    least = SIGNIFICANCE * log(max(kinds, 2))
+    often = {g: _log_likelihood(a, b, n1, n0) for g, a, b in seen if a / n1 > RATIO * b / n0}
     return {g: x for g, x in often.items() if x > least}
 
 
@@ -148,6 +154,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0,
     return w
 
 
+def _constant(weights: dict[int, float]) -> Model:
+    """The share of label 1, from the weight of each label."""
+    zero = np.zeros(N_FEATURES)
+    share = weights.get(1, 0.0) / sum(weights.values()) if weights else 0.5
+    return Model(b"", b"", np.zeros(N_FEATURES + 1), zero, zero + 1, share)
+
+
+def _samples(texts: Iterable[bytes], width: int) -> list[bytes]:
+    return sorted((w for t in texts for w in windows(t, width)), key=lambda w: (zlib.crc32(w), w))
+
+
+def _calibration(rows: list[tuple[list[float], int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights from (features, label, weight)."""
+    rows = sorted(rows)
+    x = np.array([r[0] for r in rows])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    return mean, scale, _logistic((x - mean) / scale, np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]))
+
+
+def for_words(text: bytes) -> bool:
+    """Whether a training text gives the dictionaries (two thirds) or the calibration."""
+    return zlib.crc32(text) % 3 < 2
+
+
 def fit(rows: list[tuple[bytes, int, float]]) -> Model:
     """Train on (text, label, weight); the result depends on the rows, not their order.
 
@@ -155,48 +185,99 @@ def fit(rows: list[tuple[bytes, int, float]]) -> Model:
     dictionaries and the rest the calibration, so that it is honest; then the toxic dictionary
     is made anew from all rows.
     """
-    rows = sorted({r[0][:MOST_BYTES]: r for r in sorted(rows, reverse=True)}.items(), key=lambda r: (zlib.crc32(r[0]), r[0]))
-    rows = [(text, r[1], r[2]) for text, r in rows]
-    zero = np.zeros(N_FEATURES)
-    total = sum(r[2] for r in rows)
+    rows = sorted({r[0]: r for r in sorted(rows, reverse=True)}.values())
     if len({r[1] for r in rows}) < 2:
-        return Model(b"", b"", np.zeros(N_FEATURES + 1), zero, zero + 1, sum(r[1] * r[2] for r in rows) / total if rows else 0.5)
-    for_words = [r for i, r in enumerate(rows) if i % 3 < 2]
-    if len({r[1] for r in for_words}) < 2:
-        for_words = rows
+        return _constant({y: sum(r[2] for r in rows if r[1] == y) for y in {r[1] for r in rows}})
+
+    def part(first: bool) -> list[tuple[bytes, int, float]]:
+        some = [r for r in rows if for_words(r[0]) == first]
+        return some if len({r[1] for r in some}) == 2 else rows
 
     def toxic_of(some: list[tuple[bytes, int, float]]) -> bytes:
-        words = [[r[0].lower().split() for r in some if r[1] == y] for y in (0, 1)]
-        kept = telling(words[1], words[0])
-        return toxic_dictionary(kept, TOXIC_BYTES) if kept else dictionary([w for r in some if r[1] for w in windows(r[0])], TOXIC_BYTES)
-
-    plain = [w for r in for_words if not r[1] for w in windows(r[0], 24)]
-    plain.sort(key=zlib.crc32)
-    model = Model(dictionary(plain[:40_000], ORDINARY_BYTES), toxic_of(for_words), np.zeros(N_FEATURES + 1), zero, zero + 1)
-    rest = [r for i, r in enumerate(rows) if i % 3 == 2]
-    if len({r[1] for r in rest}) < 2:
-        rest = rows
-    x = np.array([model.features(r[0]) for r in rest])
-    model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    model.weights = _logistic((x - model.mean) / model.scale, np.array([r[1] for r in rest], float), np.array([r[2] for r in rest]))
+        seen = [Counter(), Counter()]
+        for r in some:
+            seen[r[1]].update(beginnings_of(r[0]))
+        n1 = sum(r[1] for r in some)
+        kept = telling([(g, a, seen[0][g]) for g, a in seen[1].items()], n1, len(some) - n1, len(seen[0]) + len(seen[1]))
+        return toxic_dictionary(kept, TOXIC_BYTES) if kept else dictionary(_samples((r[0] for r in some if r[1]), WIDTH), TOXIC_BYTES)
+
+    zero = np.zeros(N_FEATURES)
+    plain = _samples((r[0] for r in part(True) if not r[1]), 24)
+    model = Model(dictionary(plain, ORDINARY_BYTES), toxic_of(part(True)), np.zeros(N_FEATURES + 1), zero, zero + 1)
+    model.mean, model.scale, model.weights = _calibration([(model.features(t).tolist(), y, w) for t, y, w in part(False)])
     model.toxic, model._tools = toxic_of(rows), None
     return model
 
 
-def _fit_task() -> Callable:
+def _one(df: DataFrame, make: Callable) -> object:
+    """``make(columns)`` of all rows of a bounded table, in one task; only its result reaches the driver."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(rows))], pa.binary())], names=["made"])
+
+    row = df.repartition(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(row[0]) if row else make([])
+
+
+def _beginnings_task() -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                found = list(beginnings_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], names=["gram", "y"])
+
+    return run
+
+
+def _toxic_of(some: DataFrame, n1: int, n0: int) -> bytes:
+    seen = some.select("text", "y").mapInArrow(_beginnings_task(), "gram binary, y int")
+    seen = store(seen.groupBy("gram").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "beginnings")
+    kinds = seen.agg(F.coalesce(F.sum((F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int")), F.lit(0))).first()[0]
+
+    def make(rows: list[tuple]) -> bytes | None:
+        kept = telling(rows, n1, n0, kinds)
+        return toxic_dictionary(kept, TOXIC_BYTES) if kept else None
+
+    made = _one(seen.filter(F.col("a") / n1 > RATIO * F.col("b") / n0), make)
+    return made if made is not None else _one(some.filter("y = 1").select("text"), lambda rows: dictionary(_samples((r[0] for r in rows), WIDTH), TOXIC_BYTES))
+
+
+def _features_task(shared) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.features(t).tolist() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), *batch.columns[1:]], names=["features", "y", "weight"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, rows) -> Model:
-    """Fit on the sample's one task; only the model (under 100 kB) reaches the driver."""
+    """``fit`` over the sample's whole texts in Spark tasks; only the model (under 100 kB) reaches the driver."""
     ship(docs.sparkSession)
-    sample = training_sample(docs, labels, label, rows)
-    row = sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()
-    return pickle.loads(row[0]) if row else fit([])
+    sample = training_sample(docs, labels, label, rows).groupBy(F.sha2("text", 256).alias("hash"))
+    sample = sample.agg(F.min(F.struct("y", "weight", "text")).alias("r")).select("r.text", "r.y", "r.weight")
+    sample = store(sample.withColumn("words", F.crc32("text") % 3 < 2), "toxicity-sample")
+    sums = sample.groupBy("words", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).collect()
+    if len({r["y"] for r in sums}) < 2:
+        return _constant({y: sum(r["weight"] for r in sums if r["y"] == y) for y in {r["y"] for r in sums}})
+
+    def number(some: list) -> tuple[int, int]:
+        return tuple(sum(r["n"] for r in some if r["y"] == y) for y in (1, 0))
+
+    def part(first: bool) -> tuple[DataFrame, tuple[int, int]]:
+        n = number([r for r in sums if r["words"] == first])
+        return (sample.filter(F.col("words") == first), n) if all(n) else (sample, number(sums))
+
+    zero = np.zeros(N_FEATURES)
+    some, n = part(True)
+    plain = _one(some.filter("y = 0").select("text"), lambda found: dictionary(_samples((r[0] for r in found), 24), ORDINARY_BYTES))
+    model = Model(plain, _toxic_of(some, *n), np.zeros(N_FEATURES + 1), zero, zero + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    features = part(False)[0].select("text", "y", "weight").mapInArrow(_features_task(shared), "features array<double>, y int, weight double")
+    model.mean, model.scale, model.weights = _one(features, _calibration)
+    model.toxic, model._tools = _toxic_of(sample, *number(sums)), None
+    return model
 
 
 def _score_task(shared) -> Callable:

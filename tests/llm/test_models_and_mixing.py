@@ -92,6 +92,19 @@ def test_scores_cover_every_row(spark, module):
         assert kept.count() == sum(r["score"] >= quality.CUTOFF for r in got)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """One beginning of over 64 KB for all texts; what differs stands after it."""
+    rng = random.Random(6)
+    begin = prose(rng, 12_000)
+    assert len(begin) > 1 << 16
+    docs = [(i, f"{begin} {(insulting if i % 3 == 0 else prose)(rng)}") for i in range(60)]
+    df, labels = spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, "toxic", crc_mod("doc_id", 4) >= 0)
+    assert model.constant is None and b"nitwit" in model.toxic
+    alone = toxicity.fit([(t.encode(), int(i % 3 == 0), 1.0) for i, t in docs])
+    assert (model.ordinary, model.toxic) == (alone.ordinary, alone.toxic) and np.allclose(model.weights, alone.weights)
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
