@@ -13,8 +13,9 @@ machine word.  Queries whose lanes all exceed the radius are abandoned.  A block
 spanning forest of its links, at most one for each row, and never its pairs.
 
 Null text counts as empty; a text without words has the fingerprint zero and links like any
-other.  Rows without a doc_id get the component of their fingerprint, but never name one.
-Repeated rows have one fingerprint.  An empty table gives an empty result.
+other.  Fingerprints are the vertices, so a repeated or null doc_id links nothing.  A component is
+named by its smallest doc_id and keeps the rows of that id's smallest fingerprint (without any id:
+of its smallest one).  Repeated rows have one fingerprint.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .blocks import forest, units
 from .common import fixed_rows, read, runs, ship, store, texts
@@ -73,16 +74,17 @@ def _fingerprints(size: int, seed: int) -> Callable:
         for batch in fixed_rows(batches, 1024):
             marks = [fingerprint(t, size, seed) for t in batch.column(1).to_pylist()]
             marks = np.array(marks, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text, as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, text_hash: Column | None = None) -> DataFrame:
+    """(doc_id, fp, text_hash): the fingerprint of every row's whole text, as a signed 64-bit number."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts().alias("text"))
-    return rows.mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+    hashed = F.lit("") if text_hash is None else text_hash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts().alias("text"), hashed.alias("text_hash"))
+    return rows.mapInArrow(_fingerprints(size, seed), "doc_id long, fp long, text_hash string")
 
 
 def tables_for(rows: int, radius: int = RADIUS) -> list[int]:
@@ -189,21 +191,22 @@ def _links(radius: int, cap: int) -> Callable:
 
 
 def fingerprint_groups(marks: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
-    """(fp, component_id, members) for every fingerprint of ``marks`` (doc_id, fp).
+    """(fp, component_id, head) for every fingerprint of ``marks`` (doc_id, fp).
 
-    component_id is the smallest doc_id that links of at most ``radius`` bits reach.
+    component_id is the smallest doc_id that links of at most ``radius`` bits reach, head the
+    fingerprint whose rows of that doc_id are kept.
     """
-    classes = store(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    classes = store(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
     masks = tables_for(classes.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = classes.filter("rep IS NOT NULL").select(
-        "rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tab", "key")
+    keyed = classes.select(
+        F.col("fp").alias("rep"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tab", "key")
     )
     links = units(keyed, ["tab", "key"], "fp", cap).mapInArrow(_links(radius, cap), "u long, v long")
     reached = components(links)
-    return classes.join(reached, F.col("rep") == F.col("vertex"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    linked = classes.join(reached, F.col("fp") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "fp"))
+    heads = linked.groupBy("component").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("h"))
+    return linked.join(heads, "component").select("fp", F.col("h.low").alias("component_id"), F.col("h.fp").alias("head"))
 
 
 def simhash_dedup(
@@ -217,17 +220,22 @@ def simhash_dedup(
         "fp",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("head"))).alias("kept"),
     )
 
 
 def kept_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller doc_id, with the same columns.
+    """The rows of ``docs`` that ``simhash_dedup`` keeps, with the same columns.
 
-    Rows without a doc_id cannot be told apart by it: they stay.
+    A row is known by its doc_id and the hash of its text.  Rows without a doc_id stay where their
+    component has one; where it has none, those of one fingerprint stay.
     """
-    gone = simhash_dedup(docs, size, radius).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    text = F.sha2(texts(), 256)
+    marks = store(fingerprints(docs, size, SEED, text), "simhash")
+    groups = fingerprint_groups(marks, radius)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("head"))
+    gone = marks.join(groups, "fp").filter(~kept & (F.col("doc_id").isNotNull() | F.col("component_id").isNull())).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text == F.col("_text")), "left_anti")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,18 @@ def test_simhash_edge_cases(spark):
     assert simhash.simhash_dedup(df.limit(0)).count() == 0
 
 
+def test_simhash_rows_with_repeated_and_null_ids(spark):
+    """A clean text stays though another row of its id is a near copy; one of the near copies without an id stays."""
+    words = [f"w{i}" for i in range(400)]
+    copy, other, third = " ".join(words), " ".join(words[::-1]), " ".join(words[::7] + words[3::5])
+    rows = [(0, copy), (1, copy + " end"), (1, other), (None, third), (None, third + " end")]
+    assert (simhash.fingerprint(copy.encode()) ^ simhash.fingerprint((copy + " end").encode())).bit_count() <= 4
+    near = (simhash.fingerprint(third.encode()) ^ simhash.fingerprint((third + " end").encode())).bit_count() <= 4
+    kept = [tuple(r) for r in simhash.kept_rows(spark.createDataFrame(rows, DOC)).collect()]
+    assert near and sorted(kept, key=repr)[:2] == [(0, copy), (1, other)]
+    assert sum(i is None for i, _ in kept) == 1 and len(kept) == 3
+
+
 # --- embeddings --------------------------------------------------------------------------------
 
 
