@@ -11,13 +11,13 @@ from rxstar.llm.common import crc_mod, read
 
 
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in E.queries()) == 1 for n in names) and "pipeline" in E.queries()
 
 
 def test_sql_oracles(spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, sf_dir)
