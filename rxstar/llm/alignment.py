@@ -5,7 +5,7 @@ and a B token of one group is a link.  An id pair's count is the number of docum
 linked, over the whole corpus.
 
 1. A task encodes its documents and collects (pair, document) records, with the links of the pair
-   in the document.  Beyond ``UNIT_LINKS`` it sorts them and spills a unit: for each radix of the A
+   in the document.  Beyond ``UNIT_RECORDS`` it sorts them and spills a unit: for each radix of the A
    id one zstd run with the pairs and their documents (``keys``) and one with the records
    (``members``).  Units and a row for each document go to the shared folder, so texts are
    encoded once.
@@ -22,9 +22,10 @@ Nothing is gathered that grows with a frequent token or text: a task holds the t
 
 Every row is a document of its own: repeated rows and ids count one by one, null ids are passed on.
 Null and empty texts, texts that are not UTF-8 and those whose joined tokens differ from space +
-text have no tokens: zeros and ''.  Long texts are encoded in portions cut before a space, where no
-token of either vocabulary can cross (without such a place they stay whole); a group with many
-tokens on both sides is counted by its different ids.  Ties for the highest count are all
+text have no tokens: zeros and ''.  Texts are cut before each space that follows no white space: no
+token of either vocabulary crosses there, so tokens and groups of both sides are those of the words,
+which are encoded once and kept up to a bound (``Words``).  A group with many tokens on both sides
+is counted by its different ids.  Long texts are whole; a word has no greatest length.  Ties for the highest count are all
 highest.  An empty table gives an empty result; other columns are ignored.
 """
 
@@ -49,15 +50,17 @@ from ..functions.once import once
 from .common import fixed_rows, read, ship, store, texts
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-#: Links of a unit: what a task sorts in memory before it spills.
-UNIT_LINKS = 4_000_000
+#: Records of a unit: what a task sorts in memory before it spills.
+UNIT_RECORDS = 4_000_000
 #: Radices of the A id.
 RADICES = 64
 #: Runs that one task merges, and runs that are streamed past one copy of a radix's table.
 FAN_IN = 256
 RUNS_OF_TABLE = 2048
 FRAME = 1 << 14
-PORTION = 1 << 18
+#: Words, and linked pairs of words, that a task keeps.
+MAX_WORDS = 400_000
+MAX_WORD_LINKS = 4_000_000
 BATCH_BYTES = 1 << 19
 _DOC_BITS = 20
 
@@ -108,19 +111,12 @@ class Pieces:
         return not any(re.search(rb"[^ ] ", t) for t in self.tokens)
 
 
-def portions(text: str, size: int = PORTION) -> list[str]:
-    """The text cut at spaces (which are left out) that follow no white space, every ``size`` characters or so."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
+_CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
 
 
-_CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+def words(text: str) -> list[str]:
+    """The text cut at spaces (which are left out) that follow no white space; joined by spaces it is the text."""
+    return _CUT.split(text)
 
 
 class Aligner:
@@ -147,18 +143,12 @@ class Aligner:
         a, b = pair >> self.bits_b, pair & ((1 << self.bits_b) - 1)
         return a % self.of_radix * self.radices + a // self.of_radix, b
 
-    def encode(self, rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The A and B ids of each text, none where joined tokens differ from space + text."""
-        cut = [([t] if self.whole else portions(t)) if t else [] for t in (r.decode("utf-8", "replace") for r in rows)]
-        flat = [p for ps in cut for p in ps]
-        a, b, at = self.a.encode(flat), self.b.encode(flat), 0
-        for row, ps in zip(rows, cut):
-            own_a, own_b = ([i for ids in x[at : at + len(ps)] for i in ids] if len(ps) != 1 else x[at] for x in (a, b))
-            at += len(ps)
-            want = b" " + row
-            if not ps or any(b"".join([x.tokens[i] for i in ids]) != want for x, ids in ((self.a, own_a), (self.b, own_b))):
-                own_a = own_b = []
-            yield np.array(own_a, np.int64), np.array(own_b, np.int64)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """The A and B ids of each text, and whether both join to space + text."""
+        a, b = self.a.encode(texts), self.b.encode(texts)
+        want = [b" " + t.encode() for t in texts]
+        good = [all(b"".join([x.tokens[i] for i in ids]) == w for x, ids in ((self.a, p), (self.b, q))) for p, q, w in zip(a, b, want)]
+        return a, b, good
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many A and B tokens each group has."""
@@ -167,18 +157,20 @@ class Aligner:
         both = end_a[at] == end_b  # the texts end together, so no place is beyond A
         return np.diff(at[both], prepend=-1), np.diff(np.flatnonzero(both), prepend=-1)
 
-    def written(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: the SHA-256's input."""
+    def written(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """``a1,a2|b1`` of each group."""
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.repeat(first_b, n_a)] = a
         code[np.arange(len(b)) + np.repeat(first_a + n_a, n_b)] = b + 2 * len(self.a.tokens)
         code[first_a + n_a - 1 + first_b] += len(self.a.tokens)
         code[first_b + n_b - 1 + first_a + n_a] += len(self.b.tokens)
-        return "".join(self.names[code].tolist())[:-1].encode()
+        return "".join(self.names[code].tolist()).split(";")[:-1]
 
-    def links(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-        """(pairs, links of each, None for one): portions of about ``most`` at the most."""
+    def links(
+        self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, most: int = 1 << 20
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(groups, pairs, links of each, None for one): portions of about ``most`` at the most."""
         first_a, first_b, size = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
         a = self.turned(a) << self.bits_b
         for g in np.flatnonzero(size > most):
@@ -186,7 +178,8 @@ class Aligner:
             id_b, m_b = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
             step = max(1, most // len(id_b))
             for i in range(0, len(id_a), step):
-                yield (id_a[i : i + step, None] | id_b).ravel(), (m_a[i : i + step, None] * m_b).ravel()
+                pairs = (id_a[i : i + step, None] | id_b).ravel()
+                yield np.full(len(pairs), g), pairs, (m_a[i : i + step, None] * m_b).ravel()
         small = np.flatnonzero((size <= most) & (size > 0))
         total = np.cumsum(size[small])
         begin = 0
@@ -197,10 +190,90 @@ class Aligner:
             of_a = np.repeat(n_b[g], n_a[g])  # links of each A token of these groups
             tokens = np.repeat(first_a[g] - (np.cumsum(n_a[g]) - n_a[g]), n_a[g]) + np.arange(n_a[g].sum())
             other = np.repeat(np.repeat(first_b[g], n_a[g]) - (np.cumsum(of_a) - of_a), of_a) + np.arange(of_a.sum())
-            yield np.repeat(a[tokens], of_a) | b[other], None
+            yield np.repeat(g, size[g]), np.repeat(a[tokens], of_a) | b[other], None
             begin = end
 
 
+class Words:
+    """What each word of a text has: tokens, groups, links, its groups as written, and its linked pairs."""
+
+    def __init__(self, aligner: Aligner) -> None:
+        self.aligner = aligner
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.written: list[str] = []
+        self.figures = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; -1: the tokens do not join to the word
+        self.first = np.zeros(1, np.int64)  # where a word's pairs begin
+        self.pairs, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode words that are not known yet."""
+        al = self.aligner
+        for i in range(0, len(new), 1 << 16):
+            part = new[i : i + (1 << 16)]
+            ids_a, ids_b, good = al.encode(part)
+            ids_a, ids_b = ([ids if ok else [] for ids, ok in zip(x, good)] for x in (ids_a, ids_b))
+            count_a, count_b = (np.array([len(ids) for ids in x], np.int64) for x in (ids_a, ids_b))
+            a, b = (np.array([t for ids in x for t in ids], np.int64) for x in (ids_a, ids_b))
+            # words end a token of both sides, so all words together have just their own groups
+            n_a, n_b = al.groups(a, b)
+            word = np.searchsorted(np.cumsum(count_a), np.cumsum(n_a))
+            n = len(part)
+            groups, links = np.bincount(word, minlength=n), np.zeros(n, np.int64)
+            np.add.at(links, word, n_a * n_b)
+            figures = np.stack([count_a, count_b, groups, links], axis=1)
+            figures[~np.array(good, bool)] = -1
+            written, ends = al.written(a, b, n_a, n_b), np.cumsum(groups)
+            self.written += [";".join(written[e - g : e]) for g, e in zip(groups.tolist(), ends.tolist())]
+            unit = Unit(al)
+            for g, pairs, m in al.links(a, b, n_a, n_b):
+                unit.put(pairs, word[g], m, 1 << 22)
+            record, m = unit.compact()
+            of = record & ((1 << _DOC_BITS) - 1)
+            order = np.argsort(of, kind="stable")
+            self.pairs = np.concatenate([self.pairs, record[order] >> _DOC_BITS])
+            self.links = np.concatenate([self.links, m[order]])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of, minlength=n))])
+            self.figures = np.concatenate([self.figures, figures])
+            for w in part:
+                self.number[w] = len(self.number)
+
+    def texts(self, rows: list[bytes]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        """For each text (A tokens, B tokens, groups, links, digest), and its pairs with their links (a pair may come twice)."""
+        if len(self.number) > MAX_WORDS or len(self.pairs) > MAX_WORD_LINKS:
+            self.forget()
+        whole = [r.decode("utf-8", "replace") for r in rows]
+        cut = [([] if not t or "\ufffd" in t and t.encode() != r else [t] if self.aligner.whole else words(t)) for t, r in zip(whole, rows)]
+        number = self.number
+        self.learn(list(dict.fromkeys(w for ws in cut for w in ws if w not in number)))
+        nothing = (0, 0, 0, 0, ""), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for text, ws in zip(whole, cut):
+            if not ws:
+                yield nothing
+                continue
+            at = np.array([number[w] for w in ws], np.int64)
+            known, times = np.unique(at, return_counts=True)
+            figures = self.figures[known]
+            if figures[:, 0].min() < 0:  # tokens of a word do not join to it: what counts is the text as a whole
+                yield nothing if len(ws) == 1 else self.alone(text)
+                continue
+            digest = hashlib.sha256(";".join([self.written[i] for i in at.tolist()]).encode()).hexdigest()
+            size = self.first[known + 1] - self.first[known]
+            place = np.repeat(self.first[known] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            yield (*(times @ figures).tolist(), digest), self.pairs[place], self.links[place] * np.repeat(times, size)
+
+    def alone(self, text: str) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """A text that is not cut into words."""
+        one = Words(self.aligner)
+        one.learn([text])
+        if one.figures[0, 0] < 0:
+            return (0, 0, 0, 0, ""), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        digest = hashlib.sha256(one.written[0].encode()).hexdigest()
+        return (*one.figures[0].tolist(), digest), one.pairs, one.links
+
+
 # --- runs --------------------------------------------------------------------------------------
 
 _ZSTD: dict[str, object] = {}
@@ -248,18 +321,20 @@ class Unit:
         self.counted: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, row: tuple, links: Iterable[tuple[np.ndarray, np.ndarray | None]], limit: int) -> None:
-        doc = len(self.rows)
-        self.rows.append((doc, *row))
-        for pairs, n in links:
-            record = pairs << _DOC_BITS | doc
-            if n is None:
-                self.single.append(record)
-            else:
-                self.counted.append((record, n))
-            self.held += len(record)
-            if self.held > 2 * limit:
-                self.compact()
+    def add(self, row: tuple, pairs: np.ndarray, links: np.ndarray) -> None:
+        """A document, its pairs and their links."""
+        self.put(pairs, len(self.rows), links)
+        self.rows.append((len(self.rows), *row))
+
+    def put(self, pairs: np.ndarray, doc: int | np.ndarray, links: np.ndarray | None, most: int = 0) -> None:
+        record = pairs << _DOC_BITS | doc
+        if links is None:
+            self.single.append(record)
+        else:
+            self.counted.append((record, links))
+        self.held += len(record)
+        if most and self.held > most:
+            self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
         """(records ascending, links): each record once."""
@@ -277,9 +352,11 @@ class Unit:
         return record, links
 
     def full(self, limit: int) -> bool:
-        if len(self.rows) >= 1 << _DOC_BITS:
-            return True
-        return self.held >= limit
+        """Whether the unit is to be spilled: sorted first, as a pair of a document may have come many times."""
+        if self.held >= limit:
+            self.compact()
+            return self.held >= limit // 2
+        return len(self.rows) >= 1 << _DOC_BITS
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(radix, keys, members) for each radix that has records."""
@@ -295,7 +372,7 @@ class Unit:
             yield radix, pack_keys(pair[i:j][starts], docs), pack_pair(doc[i:j], links[i:j])
 
 
-_ALIGNERS: dict[tuple, Aligner] = {}
+_WORDS: dict[tuple, Words] = {}
 _SPILLED = (
     "unit long, radix int, doc int, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
     "groups_sha256 string, keys binary, members binary"
@@ -311,9 +388,9 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
-def _aligner(paths: tuple[str, str], radices: int) -> Aligner:
+def _words(paths: tuple[str, str], radices: int) -> Words:
     """Lasts as long as the Python worker."""
-    return once(_ALIGNERS, (*paths, radices), lambda: Aligner(ByteLevel(paths[0]), Pieces(paths[1]), radices))
+    return once(_WORDS, (*paths, radices), lambda: Words(Aligner(ByteLevel(paths[0]), Pieces(paths[1]), radices)))
 
 
 def _by_bytes(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -340,20 +417,15 @@ def _spill(paths: tuple[str, str], radices: int, limit: int) -> Callable:
             yield _table([(number, radix, *[None] * 7, keys, members)], schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths, radices)
+        kept = _words(paths, radices)
         number = TaskContext.get().partitionId() << 32
-        unit = Unit(aligner)
+        unit = Unit(kept.aligner)
         for ids, rows in _by_bytes(batches, BATCH_BYTES):
-            for doc_id, (a, b) in zip(ids, aligner.encode(rows)):
-                if len(a) and len(b):
-                    n_a, n_b = aligner.groups(a, b)
-                    digest = hashlib.sha256(aligner.written(a, b, n_a, n_b)).hexdigest()
-                    unit.add((doc_id, len(a), len(b), len(n_a), int((n_a * n_b).sum()), digest), aligner.links(a, b, n_a, n_b), limit)
-                else:
-                    unit.add((doc_id, 0, 0, 0, 0, ""), (), limit)
+            for doc_id, (row, pairs, links) in zip(ids, kept.texts(rows)):
+                unit.add((doc_id, *row), pairs, links)
                 if unit.full(limit):
                     yield from emit(unit, number)
-                    unit, number = Unit(aligner), number + 1
+                    unit, number = Unit(kept.aligner), number + 1
         if unit.rows:
             yield from emit(unit, number)
 
@@ -530,7 +602,7 @@ def _return() -> Callable:
 def align(
     docs: DataFrame,
     paths: tuple[str, str] | None = None,
-    unit_links: int = UNIT_LINKS,
+    unit_records: int = UNIT_RECORDS,
     radices: int = RADICES,
     fan_in: int = FAN_IN,
 ) -> tuple[DataFrame, DataFrame]:
@@ -543,7 +615,7 @@ def align(
     paths = paths or tuple(public_tokenizers.path(v) for v in VOCABULARIES)
     bits_b = max(1, (_pieces(paths[1]) - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts().alias("text"))
-    spilled = store(rows.mapInArrow(_spill(paths, radices, unit_links), _SPILLED), "alignment-runs")
+    spilled = store(rows.mapInArrow(_spill(paths, radices, unit_records), _SPILLED), "alignment-runs")
     units = spilled.filter("radix < 0").agg(F.approx_count_distinct("unit", 0.02)).first()[0]
     table = pair_table(spilled, bits_b, units, fan_in)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -572,7 +644,7 @@ def pair_counts(table: DataFrame, paths: tuple[str, str] | None = None, radices:
     paths = paths or tuple(public_tokenizers.path(v) for v in VOCABULARIES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths, radices)
+        aligner = _words(paths, radices).aligner
         for batch in fixed_rows(batches, 1):
             for keys, best in zip(batch.column("keys").to_pylist(), batch.column("best").to_pylist()):
                 pairs, docs = unpack_keys(keys)

@@ -203,12 +203,12 @@ def spoken(n=60):
     return [" ".join(rng.choices(words, k=rng.randint(1, 80))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("unit_links,radices,fan_in", [(4_000_000, 64, 256), (300, 3, 2), (1, 1, 3)])
-def test_alignment_against_plain_code(spark, tokenizers, unit_links, radices, fan_in):
+@pytest.mark.parametrize("unit_records,radices,fan_in", [(4_000_000, 64, 256), (300, 3, 2), (1, 1, 3)])
+def test_alignment_against_plain_code(spark, tokenizers, unit_records, radices, fan_in):
     """Also with units of a few documents and several rounds of merging."""
     rows = list(enumerate(ODD + spoken())) + [(1, "the of the"), (1, "the of the"), (None, "the of"), (None, None)]
     df = spark.createDataFrame([(*r, "e", 1.5) for r in rows], DOC + ", groups_sha256 string, unit double").repartition(2)
-    out, table = alignment.align(df, unit_links=unit_links, radices=radices, fan_in=fan_in)
+    out, table = alignment.align(df, unit_records=unit_records, radices=radices, fan_in=fan_in)
     want, docs = plain_alignment(rows, tokenizers)
     assert rows_of(out) == want
     best = Counter()
@@ -231,16 +231,24 @@ def test_alignment_of_nothing(spark):
     assert rows_of(alignment.align(spark.createDataFrame([(1, None)], DOC))[0]) == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
-def test_long_texts_cut_before_spaces_give_the_same_tokens(tokenizers):
+def test_words_have_the_tokens_that_the_text_has(tokenizers):
     assert tokenizers.b.cuts_before_spaces()
-    text = " ".join(t for t in ODD[2:] + spoken(200) if t and "▁" not in t) + "  \n end "
-    for size in (1, 7, 100):
-        cut = alignment.portions(text, size)
-        assert len(cut) > 10 and " ".join(cut) == text
-        a = [i for ids in tokenizers.a.encode(cut) for i in ids]
-        b = [i for ids in tokenizers.b.encode(cut) for i in ids]
+    for text in [*(t for t in ODD if t), " ".join(t for t in ODD[2:] + spoken(200) if t) + "  \n end "]:
+        cut = alignment.words(text)
+        assert " ".join(cut) == text
+        a, b = ([i for ids in x.encode(cut) for i in ids] for x in (tokenizers.a, tokenizers.b))
         assert a == tokenizers.a.encode([text])[0] and b == tokenizers.b.encode([text])[0]
-    assert alignment.portions("x" * 1000, 10) == ["x" * 1000]
+
+
+def test_words_are_forgotten_beyond_the_bound(tokenizers, monkeypatch):
+    rows = list(enumerate(ODD + spoken(30)))
+    raw = [(t or "").encode() for _, t in rows] + [b"\xff broken", b"a\xff"]
+    kept = alignment.Words(tokenizers)
+    want = [r[0] for r in kept.texts(raw)]
+    assert want[-1] == want[-2] == (0, 0, 0, 0, "")
+    monkeypatch.setattr(alignment, "MAX_WORDS", 3)
+    small = alignment.Words(tokenizers)
+    assert [r[0] for t in raw for r in small.texts([t])] == want and len(small.number) < 200
 
 
 @pytest.mark.parametrize("most", [1, 6, 1 << 20])
@@ -249,14 +257,17 @@ def test_links_of_large_groups(tokenizers, most):
     a, b = rng.integers(0, 50_000, 60), rng.integers(0, 5, 70)
     n_a, n_b = np.array([1, 20, 2, 37]), np.array([2, 30, 1, 37])
     got = Counter()
-    for pairs, n in tokenizers.links(a, b, n_a, n_b, most):
+    of = Counter()
+    for group, pairs, n in tokenizers.links(a, b, n_a, n_b, most):
+        for g, m in zip(group, np.ones(len(pairs), int) if n is None else n):
+            of[int(g)] += int(m)
         for x, y, m in zip(*tokenizers.ids(pairs), np.ones(len(pairs), int) if n is None else n):
             got[int(x), int(y)] += int(m)
     want, i, j = Counter(), 0, 0
     for p, q in zip(n_a, n_b):
         want.update((int(x), int(y)) for x in a[i : i + p] for y in b[j : j + q])
         i, j = i + p, j + q
-    assert got == want
+    assert got == want and of == dict(enumerate((n_a * n_b).tolist()))
 
 
 def test_heap_merge():
