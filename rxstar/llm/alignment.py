@@ -33,10 +33,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from math import ceil
 
 import numpy as np
@@ -58,9 +59,11 @@ RADICES = 64
 FAN_IN = 256
 RUNS_OF_TABLE = 2048
 FRAME = 1 << 14
+#: Characters that are encoded at a time.
+PORTION = 1 << 14
 #: Words, and linked pairs of words, that a task keeps.
-MAX_WORDS = 400_000
-MAX_WORD_LINKS = 4_000_000
+MAX_WORDS = 300_000
+MAX_WORD_LINKS = 3_000_000
 BATCH_BYTES = 1 << 19
 _DOC_BITS = 20
 
@@ -72,8 +75,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
 
 
+#: tiktoken's pattern gives up on much longer runs of white space.
+_LONGEST = 1 << 20
+
+
 class ByteLevel:
-    """A byte-level BPE of the library tokenizers."""
+    """A byte-level BPE in the format of the library tokenizers.
+
+    The library tiktoken encodes it several times faster, and merges by the rank of what is merged.
+    That is the same as merging listed pairs in their order if ids follow that order, as long as
+    no token is there that its own bytes do not merge to (no text gives such a token): these are
+    left out.  Any other kind of file is encoded by the library tokenizers.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -86,8 +99,30 @@ class ByteLevel:
         for token, i in of.items():
             known = all(c in bytes_of for c in token)
             self.tokens[i] = bytes(bytes_of[c] for c in token) if known else token.encode()
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._ranked(json.load(f))
+
+    def _ranked(self, file: dict) -> object | None:
+        import tiktoken
+
+        model, cuts = file["model"], file.get("pre_tokenizer") or {}
+        kept = {k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")}
+        plain = model.get("type") == "BPE" and not any(kept.values()) and file.get("normalizer") is None
+        cut = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
+        if not (plain and cut):
+            return None
+        of = model["vocab"]
+        made = [of.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        letters = {of.get(c) for c in byte_alphabet()}
+        if None in made or None in letters or made != sorted(set(made)) or max(letters) > min(made, default=256):
+            return None
+        whole = {i for t, i in of.items() if i in letters or [x.id for x in self.tokenizer.model.tokenize(t)] == [i]}
+        ranks = {self.tokens[i]: i for i in letters.union(made) & whole}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, portions: list[str]) -> list[list[int]]:
+        if self.fast is not None and max(map(len, portions), default=0) < _LONGEST:
+            return [self.fast.encode_ordinary(" " + p) for p in portions]
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in portions], add_special_tokens=False)]
 
 
@@ -112,6 +147,8 @@ class Pieces:
 
 
 _CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+#: A word that another can follow: the space between them is a cut.
+_ENDS = re.compile(r"\S\Z")
 
 
 def words(text: str) -> list[str]:
@@ -143,12 +180,51 @@ class Aligner:
         a, b = pair >> self.bits_b, pair & ((1 << self.bits_b) - 1)
         return a % self.of_radix * self.radices + a // self.of_radix, b
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """The A and B ids of each text, and whether both join to space + text."""
-        a, b = self.a.encode(texts), self.b.encode(texts)
-        want = [b" " + t.encode() for t in texts]
-        good = [all(b"".join([x.tokens[i] for i in ids]) == w for x, ids in ((self.a, p), (self.b, q))) for p, q, w in zip(a, b, want)]
-        return a, b, good
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The A and B ids of each text; None unless both join to space + text."""
+        for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+            want = b" " + text.encode()
+            good = all(b"".join([x.tokens[i] for i in ids]) == want for x, ids in ((self.a, a), (self.b, b)))
+            yield (np.array(a, np.int64), np.array(b, np.int64)) if good else None
+
+    def encode_words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, B ids, A tokens and B tokens of each word); no tokens where they do not join to space + word.
+
+        Words are encoded many at a time, as one text that would be cut into them again.
+        """
+        portions: list[list[int]] = [[]]
+        size = 0
+        for n, w in enumerate(words_):
+            if size > PORTION or (portions[-1] and not _ENDS.search(words_[portions[-1][-1]])):
+                portions.append([])
+                size = 0
+            portions[-1].append(n)
+            size += len(w)
+        out_a, out_b = [], []
+        count_a, count_b = np.zeros(len(words_), np.int64), np.zeros(len(words_), np.int64)
+        while portions:
+            found = self.encode([" ".join([words_[n] for n in p]) for p in portions])
+            again: list[list[int]] = []
+            for p, ids in zip(portions, found):
+                if ids is None:
+                    again += [[n] for n in p] if len(p) > 1 else []
+                    continue
+                ends = np.cumsum([len(words_[n].encode()) + 1 for n in p])
+                for (count, out, width), own in zip(((count_a, out_a, self.width_a), (count_b, out_b, self.width_b)), ids):
+                    cut = np.searchsorted(np.cumsum(width[own]), ends) + 1
+                    count[p] = np.diff(cut, prepend=0)
+                    out.append((p, own))
+            portions = again
+        a, b = (self._ordered(out, count) for out, count in ((out_a, count_a), (out_b, count_b)))
+        return a, b, count_a, count_b
+
+    def _ordered(self, portions: list[tuple[list[int], np.ndarray]], count: np.ndarray) -> np.ndarray:
+        """The portions' tokens in the order of the words."""
+        ids, first = np.empty(count.sum(), np.int64), np.cumsum(count) - count
+        for p, own in portions:
+            n = count[p]
+            ids[np.repeat(first[p] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+        return ids
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many A and B tokens each group has."""
@@ -213,18 +289,15 @@ class Words:
         al = self.aligner
         for i in range(0, len(new), 1 << 16):
             part = new[i : i + (1 << 16)]
-            ids_a, ids_b, good = al.encode(part)
-            ids_a, ids_b = ([ids if ok else [] for ids, ok in zip(x, good)] for x in (ids_a, ids_b))
-            count_a, count_b = (np.array([len(ids) for ids in x], np.int64) for x in (ids_a, ids_b))
-            a, b = (np.array([t for ids in x for t in ids], np.int64) for x in (ids_a, ids_b))
+            n = len(part)
+            a, b, count_a, count_b = al.encode_words(part)
             # words end a token of both sides, so all words together have just their own groups
             n_a, n_b = al.groups(a, b)
             word = np.searchsorted(np.cumsum(count_a), np.cumsum(n_a))
-            n = len(part)
             groups, links = np.bincount(word, minlength=n), np.zeros(n, np.int64)
             np.add.at(links, word, n_a * n_b)
             figures = np.stack([count_a, count_b, groups, links], axis=1)
-            figures[~np.array(good, bool)] = -1
+            figures[count_a == 0] = -1
             written, ends = al.written(a, b, n_a, n_b), np.cumsum(groups)
             self.written += [";".join(written[e - g : e]) for g, e in zip(groups.tolist(), ends.tolist())]
             unit = Unit(al)
@@ -237,32 +310,43 @@ class Words:
             self.links = np.concatenate([self.links, m[order]])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of, minlength=n))])
             self.figures = np.concatenate([self.figures, figures])
-            for w in part:
-                self.number[w] = len(self.number)
+            self.number.update(zip(part, range(len(self.number), len(self.number) + n)))
 
-    def texts(self, rows: list[bytes]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-        """For each text (A tokens, B tokens, groups, links, digest), and its pairs with their links (a pair may come twice)."""
+    def texts(self, rows: list[bytes]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text (A tokens, B tokens, groups, links, digest); and the pairs of all with text number and links.
+
+        A pair may come several times for a text.
+        """
         if len(self.number) > MAX_WORDS or len(self.pairs) > MAX_WORD_LINKS:
             self.forget()
         whole = [r.decode("utf-8", "replace") for r in rows]
         cut = [([] if not t or "\ufffd" in t and t.encode() != r else [t] if self.aligner.whole else words(t)) for t, r in zip(whole, rows)]
-        number = self.number
-        self.learn(list(dict.fromkeys(w for ws in cut for w in ws if w not in number)))
-        nothing = (0, 0, 0, 0, ""), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for text, ws in zip(whole, cut):
-            if not ws:
-                yield nothing
-                continue
-            at = np.array([number[w] for w in ws], np.int64)
-            known, times = np.unique(at, return_counts=True)
-            figures = self.figures[known]
-            if figures[:, 0].min() < 0:  # tokens of a word do not join to it: what counts is the text as a whole
-                yield nothing if len(ws) == 1 else self.alone(text)
+        self.learn(sorted(set().union(*cut) - self.number.keys()))
+        at = list(map(self.number.__getitem__, chain.from_iterable(cut)))
+        numbers, size = np.array(at, np.int64), np.array([len(ws) for ws in cut], np.int64)
+        row = np.repeat(np.arange(len(rows)), size)
+        figures, bad = np.zeros((len(rows), 4), np.int64), np.zeros(len(rows), bool)
+        bad[row[self.figures[numbers, 0] < 0]] = True  # tokens of a word do not join to it: what counts is the text as a whole
+        some = np.flatnonzero(size)
+        ends = np.cumsum(size)
+        if len(some):
+            figures[some] = np.add.reduceat(self.figures[numbers], (ends - size)[some])
+        out, alone = [], []
+        for n, (own, end, ws) in enumerate(zip(figures.tolist(), ends.tolist(), cut)):
+            if bad[n]:
+                own, pairs, links = self.alone(whole[n])
+                alone.append((pairs, np.full(len(pairs), n), links))
+                out.append(own)
                 continue
-            digest = hashlib.sha256(";".join([self.written[i] for i in at.tolist()]).encode()).hexdigest()
-            size = self.first[known + 1] - self.first[known]
-            place = np.repeat(self.first[known] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            yield (*(times @ figures).tolist(), digest), self.pairs[place], self.links[place] * np.repeat(times, size)
+            digest = hashlib.sha256(";".join(map(self.written.__getitem__, at[end - len(ws) : end])).encode()).hexdigest() if ws else ""
+            out.append((*own, digest))
+        good = ~bad[row]
+        known, times = np.unique(row[good] << 32 | numbers[good], return_counts=True)
+        text, word = known >> 32, known & ((1 << 32) - 1)
+        size = self.first[word + 1] - self.first[word]
+        place = np.repeat(self.first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pairs = [(self.pairs[place], np.repeat(text, size), self.links[place] * np.repeat(times, size)), *alone]
+        return out, *(np.concatenate(x) for x in zip(*pairs))
 
     def alone(self, text: str) -> tuple[tuple, np.ndarray, np.ndarray]:
         """A text that is not cut into words."""
@@ -321,10 +405,10 @@ class Unit:
         self.counted: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, row: tuple, pairs: np.ndarray, links: np.ndarray) -> None:
-        """A document, its pairs and their links."""
-        self.put(pairs, len(self.rows), links)
-        self.rows.append((len(self.rows), *row))
+    def add(self, rows: list[tuple], pairs: np.ndarray, row: np.ndarray, links: np.ndarray) -> None:
+        """Some documents; pairs, the row that holds them, and their links."""
+        self.put(pairs, row + len(self.rows), links)
+        self.rows += [(len(self.rows) + n, *r) for n, r in enumerate(rows)]
 
     def put(self, pairs: np.ndarray, doc: int | np.ndarray, links: np.ndarray | None, most: int = 0) -> None:
         record = pairs << _DOC_BITS | doc
@@ -356,7 +440,7 @@ class Unit:
         if self.held >= limit:
             self.compact()
             return self.held >= limit // 2
-        return len(self.rows) >= 1 << _DOC_BITS
+        return len(self.rows) >= 1 << (_DOC_BITS - 1)
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(radix, keys, members) for each radix that has records."""
@@ -397,7 +481,7 @@ def _by_bytes(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[li
     ids, rows, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if rows and size + len(t) > most:
+            if rows and (size + len(t) > most or len(rows) == 1 << 16):
                 yield ids, rows
                 ids, rows, size = [], [], 0
             ids.append(i)
@@ -421,11 +505,11 @@ def _spill(paths: tuple[str, str], radices: int, limit: int) -> Callable:
         number = TaskContext.get().partitionId() << 32
         unit = Unit(kept.aligner)
         for ids, rows in _by_bytes(batches, BATCH_BYTES):
-            for doc_id, (row, pairs, links) in zip(ids, kept.texts(rows)):
-                unit.add((doc_id, *row), pairs, links)
-                if unit.full(limit):
-                    yield from emit(unit, number)
-                    unit, number = Unit(kept.aligner), number + 1
+            found, *records = kept.texts(rows)
+            unit.add([(i, *r) for i, r in zip(ids, found)], *records)
+            if unit.full(limit):
+                yield from emit(unit, number)
+                unit, number = Unit(kept.aligner), number + 1
         if unit.rows:
             yield from emit(unit, number)
 
