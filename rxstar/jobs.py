@@ -20,42 +20,58 @@ from pyspark.sql import SparkSession
 if __package__ in (None, ""):  # run as a script by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from rxstar.operators.fact import run_etl
-    from rxstar.operators.upsert import bookkeeping, keep_last
+    from rxstar.functions.collation import BINARY, LCASE
+    from rxstar.operators.load import load_source
     from rxstar.plans.warehouse import read_star
     from rxstar.schemas import IMPORT_RAW
     from rxstar.sources import openfda as S
-    from rxstar.sources.raw import scan_import_raw
+    from rxstar.functions.materialize import scratch_scope
+    from rxstar.operators.staging import load_rejects
+    from rxstar.sources.raw import scan_import_raw, scan_import_raw_checked
 else:
     from .operators.fact import run_etl
-    from .operators.upsert import bookkeeping, keep_last
+    from .functions.collation import BINARY, LCASE
+    from .operators.load import load_source
     from .plans.warehouse import read_star
     from .schemas import IMPORT_RAW
     from .sources import openfda as S
-    from .sources.raw import scan_import_raw
+    from .functions.materialize import scratch_scope
+    from .operators.staging import load_rejects
+    from .sources.raw import scan_import_raw, scan_import_raw_checked
 
 
-def etl(spark: SparkSession, raw_path: str, out: str, existing: str | None = None, fmt: str = "parquet") -> dict:
+def etl(
+    spark: SparkSession, raw_path: str, out: str, existing: str | None = None, fmt: str = "parquet",
+    rejects: str | None = None, collation: str = BINARY,
+) -> dict:
     """Landed ``import_raw`` -> star under ``out``; dimension ids of ``existing`` are kept.
 
     ``existing`` may be ``out`` itself: the load writes a new version beside the one it reads.
+    With ``rejects`` the lines that the scan cannot read and the rows that the staging drops are
+    stored there (CSV input: nothing is lost).
     """
-    raw = scan_import_raw(spark, raw_path) if fmt == "csv" else spark.read.schema(IMPORT_RAW).format(fmt).load(raw_path)
-    star = run_etl(raw, existing=read_star(spark, existing) if existing else None, out=out)
+    broken = spark.createDataFrame([], "Transaction_ID string, reason string")
+    if fmt == "csv" and rejects:
+        raw, broken = scan_import_raw_checked(spark, raw_path)
+    elif fmt == "csv":
+        raw = scan_import_raw(spark, raw_path)
+    else:
+        raw = spark.read.schema(IMPORT_RAW).format(fmt).load(raw_path)
+    if rejects:
+        load_rejects(broken, raw).write.mode("overwrite").parquet(rejects)
+    star = run_etl(raw, existing=read_star(spark, existing, collation) if existing else None, out=out, collation=collation)
     return {"fact_rows": star.fact.count(), **star.dim_rows}
 
 
 def openfda(spark: SparkSession, ndc_path: str, events_path: str, out: str, fetched_at: str) -> dict:
     """S4/S6 + U2 + U3: landed pages -> source_ndc_products, source_drug_events, source_metadata."""
-    ndc_pages = S.read_pages(spark, ndc_path, "ndc")
-    event_pages = S.read_pages(spark, events_path, "event")
-    ndc = S.flatten_ndc(S.records(ndc_pages))
-    events = S.flatten_events(S.records(event_pages))
-    keep_last(ndc, ["product_ndc"], ["seq"]).drop("seq").write.mode("overwrite").parquet(f"{out}/source_ndc_products")
-    keep_last(events, ["safetyreportid"], ["seq"]).drop("seq").write.mode("overwrite").parquet(
-        f"{out}/source_drug_events")
-    meta = bookkeeping("openfda_ndc", ndc, S.total_available(ndc_pages), fetched_at).unionByName(
-        bookkeeping("openfda_event", events, S.total_available(event_pages), fetched_at))
-    meta.write.mode("overwrite").parquet(f"{out}/source_metadata")
+    with scratch_scope(spark):
+        ndc = load_source(S.read_pages(spark, ndc_path, "ndc"), S.flatten_ndc, "openfda_ndc", ["product_ndc"], fetched_at)
+        events = load_source(
+            S.read_pages(spark, events_path, "event"), S.flatten_events, "openfda_event", ["safetyreportid"], fetched_at)
+        ndc.current.write.mode("overwrite").parquet(f"{out}/source_ndc_products")
+        events.current.write.mode("overwrite").parquet(f"{out}/source_drug_events")
+        ndc.metadata.unionByName(events.metadata).write.mode("overwrite").parquet(f"{out}/source_metadata")
     return {name: spark.read.parquet(f"{out}/{name}").count()
             for name in ("source_ndc_products", "source_drug_events", "source_metadata")}
 
@@ -68,6 +84,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p_etl.add_argument("--out", required=True)
     p_etl.add_argument("--existing")
     p_etl.add_argument("--format", default="parquet")
+    p_etl.add_argument("--rejects")
+    p_etl.add_argument("--collation", default=BINARY, choices=[BINARY, LCASE])
     p_fda = sub.add_parser("openfda")
     p_fda.add_argument("--ndc", required=True)
     p_fda.add_argument("--events", required=True)
@@ -76,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"rxstar-{args.job}").getOrCreate()
     if args.job == "etl":
-        result = etl(spark, args.raw, args.out, args.existing, args.format)
+        result = etl(spark, args.raw, args.out, args.existing, args.format, args.rejects, args.collation)
     else:
         result = openfda(spark, args.ndc, args.events, args.out, args.fetched_at)
     print(result)

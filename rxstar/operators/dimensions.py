@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..functions.collation import BINARY, fold, representatives
 from ..functions.numbering import number_rows
 
 
-def distinct_names(staged: DataFrame, column: str) -> DataFrame:
+def distinct_names(staged: DataFrame, column: str, collation: str = BINARY) -> DataFrame:
     """M1-M5: distinct non-null values of one staging column, as ``dimName``."""
-    return staged.select(F.col(column).alias("dimName")).where(F.col("dimName").isNotNull()).distinct()
+    names = staged.select(F.col(column).alias("dimName")).where(F.col("dimName").isNotNull())
+    return representatives(names, [], "dimName", collation)
 
 
 def time_attributes(ts: F.Column) -> list:
@@ -42,11 +44,12 @@ def with_surrogate_keys(values: DataFrame, order_col: str, start: int = 0) -> Da
     return numbered.select("id", *[c for c in values.columns])
 
 
-def upsert_names(existing: DataFrame | None, names: DataFrame) -> DataFrame:
-    """M8: existing names keep their id; new names are appended after the current maximum."""
+def upsert_names(existing: DataFrame | None, names: DataFrame, collation: str = BINARY) -> DataFrame:
+    """M8: existing names keep their id and spelling; new names are appended after the current maximum."""
     if existing is None:
         return with_surrogate_keys(names, "dimName")
-    new = names.join(existing.select("dimName"), "dimName", "left_anti")
+    known = existing.select(fold(F.col("dimName"), collation).alias("_known"))
+    new = names.join(known, fold(F.col("dimName"), collation) == F.col("_known"), "left_anti")
     appended = with_surrogate_keys(new, "dimName", start=_max_id(existing))
     return existing.select("id", "dimName").unionByName(appended)
 

@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..functions.collation import BINARY, fold, representatives
 from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
 from ..functions.materialize import materialize, scratch_path, scratch_scope
@@ -39,6 +40,7 @@ class Star:
     dim_rows: dict[str, int | None] = field(default_factory=dict)
     dim_bytes: dict[str, int | None] = field(default_factory=dict)
     path: str | None = None  # the folder of the version that is read
+    collation: str = BINARY  # how names are compared (K3)
 
     def dim(self, name: str, broadcast: bool = True) -> DataFrame:
         """A dimension, marked for broadcast when its measured rows and bytes are within bounds."""
@@ -74,7 +76,7 @@ def grain_aggregate(staged: DataFrame, measure: str = "decimal") -> DataFrame:
 DAY_TEXT = "yyyy-MM-dd"  # ISO day text sorts like the date (years 0000-9999)
 
 
-def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None = None) -> DataFrame:
+def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None = None, collation: str = BINARY) -> DataFrame:
     """M1-M9 in one distributed pass: (dim, id, dimName) for all six dimensions.
 
     The five name dimensions take the distinct non-null names; dimTime takes
@@ -82,12 +84,13 @@ def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None =
     day.  Existing members keep their ids; new ones are appended after each
     dimension's current maximum (insert-if-absent, and for days the
     insert-or-update of the reference, whose other attributes are functions
-    of the day and are derived again from it).
+    of the day and are derived again from it).  Names that the collation takes
+    for equal are one member: the existing spelling, else the smallest.
     """
     members = [F.struct(F.lit(dim).alias("dim"), F.col(col).alias("dimName")) for dim, col in NAME_DIMENSIONS.items()]
     members.append(F.struct(F.lit(TIME_DIM).alias("dim"), F.date_format("saleDay", DAY_TEXT).alias("dimName")))
     found = grain.select(F.explode(F.array(*members)).alias("m")).select("m.dim", "m.dimName")
-    found = found.where(F.col("dimName").isNotNull()).distinct()
+    found = representatives(found.where(F.col("dimName").isNotNull()), ["dim"], "dimName", collation)
     if not existing:
         numbered = number_rows(found, ["dimName"], id_type=T.IntegerType(), group_cols=["dim"])
         return numbered.select("dim", "id", "dimName")
@@ -96,7 +99,8 @@ def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None =
         name = F.date_format("timeDay", DAY_TEXT) if dim == TIME_DIM else F.col("dimName")
         part = df.select(F.lit(dim).alias("dim"), "id", name.alias("dimName"))
         old = part if old is None else old.unionByName(part)
-    new = found.join(old.select("dim", "dimName"), ["dim", "dimName"], "left_anti")
+    known = old.select(F.col("dim").alias("_dim"), fold(F.col("dimName"), collation).alias("_known"))
+    new = found.join(known, (F.col("dim") == F.col("_dim")) & (fold(F.col("dimName"), collation) == F.col("_known")), "left_anti")
     starts = old.groupBy("dim").agg(F.max("id").alias("_start"))  # one row per dimension
     new = new.join(F.broadcast(starts), "dim", "left").fillna({"_start": 0})
     numbered = number_rows(new, ["dimName"], start=F.col("_start"), id_type=T.IntegerType(), group_cols=["dim"])
@@ -111,12 +115,26 @@ def split_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, days
 
 
+def _names(star_dims: Star, dim: str, value: F.Column) -> DataFrame:
+    """One name dimension by its key: _key and ``value``."""
+    return star_dims.dim(dim).select(fold(F.col("dimName"), star_dims.collation).alias("_key"), value)
+
+
+def _join_names(df: DataFrame, star_dims: Star, value, how: str) -> DataFrame:
+    """``df`` joined with each name dimension on the key of its name column."""
+    for dim, col in NAME_DIMENSIONS.items():
+        on = fold(F.col(col), star_dims.collation) == F.col("_key")
+        df = df.join(_names(star_dims, dim, value(dim)), on, how).drop("_key")
+    return df
+
+
+def _id_of(dim: str) -> F.Column:
+    return F.col("id").alias(f"{dim}_id")
+
+
 def lookup_ids(grain: DataFrame, star_dims: Star) -> DataFrame:
     """D1 on the grain table: names and day replaced by surrogate ids (inner joins)."""
-    df = grain
-    for dim, col in NAME_DIMENSIONS.items():
-        d = star_dims.dim(dim).select(F.col("id").alias(f"{dim}_id"), F.col("dimName").alias(col))
-        df = df.join(d, col, "inner")
+    df = _join_names(grain, star_dims, _id_of, "inner")
     t = star_dims.dim(TIME_DIM).select(
         F.col("id").alias("dimTime_id"), F.col("timeDay").alias("saleDay"), F.col("timeYear").alias("fact_year")
     )
@@ -125,10 +143,7 @@ def lookup_ids(grain: DataFrame, star_dims: Star) -> DataFrame:
 
 def key_lookup(staged: DataFrame, star_dims: Star) -> DataFrame:
     """D1 on staged rows: every staged row with its six dimension ids (rows without a match are dropped)."""
-    df = staged
-    for dim, col in NAME_DIMENSIONS.items():
-        d = star_dims.dim(dim).select(F.col("id").alias(f"{dim}_id"), F.col("dimName").alias(col))
-        df = df.join(d, col, "inner")
+    df = _join_names(staged, star_dims, _id_of, "inner")
     t = star_dims.dim(TIME_DIM).select(F.col("id").alias("dimTime_id"), F.col("timeDay").alias("_day"))
     df = df.join(t, F.to_date("Sale_Timestamp") == F.col("_day"), "inner").drop("_day")
     return df
@@ -136,12 +151,8 @@ def key_lookup(staged: DataFrame, star_dims: Star) -> DataFrame:
 
 def lookup_rejects(staged: DataFrame, star_dims: Star) -> DataFrame:
     """D3: staged rows that some dimension lookup drops (null or unknown name, no day)."""
-    df = staged
-    checks = []
-    for dim, col in NAME_DIMENSIONS.items():
-        d = star_dims.dim(dim).select(F.col("dimName").alias(col), F.lit(True).alias(f"_{dim}"))
-        df = df.join(d, col, "left")
-        checks.append((F.col(f"_{dim}").isNull(), f"no {dim}"))
+    df = _join_names(staged, star_dims, lambda dim: F.lit(True).alias(f"_{dim}"), "left")
+    checks = [(F.col(f"_{dim}").isNull(), f"no {dim}") for dim in NAME_DIMENSIONS]
     t = star_dims.dim(TIME_DIM).select(F.col("timeDay").alias("_day"), F.lit(True).alias("_dimTime"))
     df = df.join(t, F.to_date("Sale_Timestamp") == F.col("_day"), "left")
     checks.append((F.col("_dimTime").isNull(), "no dimTime"))
@@ -153,8 +164,19 @@ def lookup_rejects(staged: DataFrame, star_dims: Star) -> DataFrame:
 
 
 def fact_rows(grain: DataFrame, star_dims: Star) -> DataFrame:
-    """Fact rows without ids (grain ids + measures + the partition year)."""
-    return lookup_ids(grain, star_dims).select(*FACT_GRAIN, *FACT_MEASURES, "fact_year")
+    """Fact rows without ids (grain ids + measures + the partition year).
+
+    Where names are not compared by bytes, several grain rows may have the same ids; they are
+    added up by their ids.
+    """
+    found = lookup_ids(grain, star_dims).select(*FACT_GRAIN, *FACT_MEASURES, "fact_year")
+    if star_dims.collation == BINARY:
+        return found
+    sums = [F.sum("cntDrug").alias("cntDrug"), F.sum("sumDrug").cast(found.schema["sumDrug"].dataType).alias("sumDrug")]
+    whole = found.groupBy(*FACT_GRAIN, "fact_year").agg(*sums, F.min("minDrug").alias("minDrug"), F.max("maxDrug").alias("maxDrug"))
+    exact = isinstance(found.schema["sumDrug"].dataType, T.DecimalType)
+    mean = ratio(F.col("sumDrug"), F.col("cntDrug")) if exact else F.col("sumDrug") / F.col("cntDrug")
+    return whole.withColumn("avgDrug", mean).select(found.columns)
 
 
 def with_fact_ids(fact: DataFrame, start: int = 0) -> DataFrame:
@@ -210,7 +232,9 @@ def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, i
     return dims, rows, text
 
 
-def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decimal", out: str | None = None) -> Star:
+def run_etl(
+    raw: DataFrame, existing: Star | None = None, measure: str = "decimal", out: str | None = None, collation: str = BINARY
+) -> Star:
     """Stage -> grain aggregate -> dimensions (upserted) -> fact with ids, stored under ``out``.
 
     The grain table is written once to the shared folder: it is read by the
@@ -228,12 +252,12 @@ def run_etl(raw: DataFrame, existing: Star | None = None, measure: str = "decima
     root = version_path(base, version)
     with scratch_scope(spark):
         grain = materialize(grain_aggregate(stage_sales(raw), measure), "grain")
-        names, days = split_members(dimension_members(grain, existing.dims if existing else None))
+        names, days = split_members(dimension_members(grain, existing.dims if existing else None, collation))
         write_dimensions(names, days, root)
         dims, rows, text = read_dimensions(spark, root)
-        star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text)  # type: ignore[arg-type]
+        star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text, collation=collation)  # type: ignore[arg-type]
         fact = with_fact_ids(fact_rows(grain, star_dims))
         write_fact(fact, root)
         stored = T.StructType([f for f in fact.schema.fields if f.name != "fact_year"] + [fact.schema["fact_year"]])
     commit_version(spark, base, version)
-    return Star(read_stored(spark, f"{root}/factDrug", stored), dims, rows, text, root)
+    return Star(read_stored(spark, f"{root}/factDrug", stored), dims, rows, text, root, collation)

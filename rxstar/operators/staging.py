@@ -36,6 +36,12 @@ def stage_sales(raw: DataFrame) -> DataFrame:
     return raw.select(*typed_columns(raw)).filter(keep_predicate())
 
 
+def load_rejects(broken: DataFrame, raw: DataFrame) -> DataFrame:
+    """T7 for a whole load: lines the scan could not read, and rows the staging drops (Transaction_ID, stage, reason)."""
+    lines = broken.select("Transaction_ID", F.lit("scan").alias("stage"), "reason")
+    return lines.unionByName(stage_rejects(raw).select("Transaction_ID", F.lit("staging").alias("stage"), "reason"))
+
+
 def stage_rejects(raw: DataFrame) -> DataFrame:
     """Rows the staging drops, or whose timestamp cannot be parsed, with the first reason."""
     ts = C.parse_sale_timestamp(F.col("Sale_Timestamp"))

@@ -30,13 +30,20 @@ def upsert_by_key(existing: DataFrame, changes: DataFrame, key: list[str]) -> Da
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """INSERT OR REPLACE in ``order``: per key the whole last row wins.
 
-    ``max_by`` is a partial aggregate, so a key holding a third of all rows is
-    reduced inside each task before the shuffle.  ``order`` must be unique per
-    key (a full tie-break).
+    Two phases for each order column: the largest value of each key (a hash
+    aggregate of key and number with map-side combine, which reads no other
+    column), then the rows that have it, by a semi-join on key and value.  The
+    join is dealt by both, so a key that a third of all rows have is spread.
+    ``order`` must be unique per key (a full tie-break); NULL keys are one key,
+    and a key whose order values are all NULL keeps its rows.
     """
-    cols = [c for c in df.columns if c not in key]
-    latest = F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")
-    return df.groupBy(*key).agg(latest).select(*key, *[F.col(f"_last.{c}").alias(c) for c in cols])
+    for column in order:
+        last = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max(column).alias("_last"))
+        on = F.col(column).eqNullSafe(F.col("_last"))
+        for k in key:
+            on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        df = df.join(last, on, "left_semi")
+    return df.select(*key, *[c for c in df.columns if c not in key])
 
 
 def bookkeeping(source_key: str, loaded: DataFrame, total: DataFrame | None, fetched_at: str) -> DataFrame:

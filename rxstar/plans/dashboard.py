@@ -6,9 +6,12 @@ DOUBLE only in the final select.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import blank_to_label
+from ..functions.collation import BINARY, fold
 from ..functions.exact import as_double, ratio, round2, round2_double
 from ..operators.fact import Star
 from .filters import Filters
@@ -152,7 +155,7 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
     order = [F.col("timeDay").desc_nulls_last(), F.col("id").desc()]
     top = filtered(star, filters, {"dimTime"}).orderBy(*order).limit(limit)
     done = filters.dimensions() | {"dimTime"}
-    rest = Star(fact=top, dims=star.dims, dim_rows=star.dim_rows, dim_bytes=star.dim_bytes)
+    rest = replace(star, fact=top)
     df = star_join(rest, set(LABELS[k][0] for k in LABELS) - done)
     out = df.select(
         "id",
@@ -171,30 +174,28 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
 
 
 def top_labels(df: DataFrame, column: str, count_name: str, limit: int = SOURCE_TOP_LIMIT,
-               case_insensitive: bool = False) -> DataFrame:
+               collation: str = BINARY) -> DataFrame:
     """O2/O3: blank -> 'Unknown', count per label, count desc then label, first ``limit``.
 
-    With ``case_insensitive`` labels that differ only in case are one group
-    (as under the reference databases' default collation), shown by the
-    smallest spelling.
+    Labels that the collation takes for equal are one group (as under the
+    reference databases' default collation), shown by the smallest spelling;
+    spellings are counted first, so the text minimum is over the vocabulary.
     """
-    label = blank_to_label(F.col(column))
-    if case_insensitive:
-        agg = df.groupBy(F.lower(label).alias("_k")).agg(F.min(label).alias("label"), F.count(F.lit(1)).alias(count_name))
+    agg = df.groupBy(blank_to_label(F.col(column)).alias("label")).agg(F.count(F.lit(1)).alias(count_name))
+    if collation != BINARY:
+        agg = agg.groupBy(fold(F.col("label"), collation).alias("_k")).agg(F.min("label").alias("label"), F.sum(count_name).alias(count_name))
         agg = agg.drop("_k")
-    else:
-        agg = df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias(count_name))
     return agg.orderBy(F.col(count_name).desc(), F.col("label").asc()).limit(limit)
 
 
-def top_labelers(ndc: DataFrame, case_insensitive: bool = False) -> DataFrame:
+def top_labelers(ndc: DataFrame, collation: str = BINARY) -> DataFrame:
     """O2 over the stored NDC products."""
-    return top_labels(ndc, "labeler_name", "products", case_insensitive=case_insensitive)
+    return top_labels(ndc, "labeler_name", "products", collation=collation)
 
 
-def top_reactions(events: DataFrame) -> DataFrame:
+def top_reactions(events: DataFrame, collation: str = BINARY) -> DataFrame:
     """O3 over the stored adverse events."""
-    return top_labels(events, "reaction", "reports")
+    return top_labels(events, "reaction", "reports", collation=collation)
 
 
 def source_summary(metadata: DataFrame, ndc: DataFrame, events: DataFrame) -> DataFrame:

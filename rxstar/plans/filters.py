@@ -14,6 +14,8 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.collation import BINARY, fold
+
 
 def _equals(column: str, dimension: str | None, read: Callable[[str], Any] = str) -> Any:
     return field(default=None, metadata={"column": column, "dimension": dimension, "read": read})
@@ -57,7 +59,11 @@ class Filters:
         """Name dimension -> the member asked for."""
         return {f.metadata["dimension"]: value for f, value in self._set() if f.metadata["dimension"] not in (None, "dimTime")}
 
-    def predicate(self) -> Column:
-        """AND of the active equality predicates; TRUE when there are none."""
-        tests = (F.col(f.metadata["column"]) == F.lit(value) for f, value in self._set())
+    def predicate(self, collation: str = BINARY) -> Column:
+        """AND of the active equality predicates; TRUE when there are none.  Names are compared under the collation."""
+
+        def side(f: Field, c: Column) -> Column:
+            return fold(c, collation) if f.metadata["read"] is str else c
+
+        tests = (side(f, F.col(f.metadata["column"])) == side(f, F.lit(value)) for f, value in self._set())
         return functools.reduce(operator.and_, tests, F.lit(True))

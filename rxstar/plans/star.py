@@ -11,6 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.collation import fold
 from ..operators.fact import Star
 from .filters import Filters
 
@@ -47,9 +48,10 @@ def filtered(star: Star, filters: Filters | None, needed: set[str] = frozenset()
     """
     filters = filters or Filters()
     for dim, name in filters.members().items():
-        ident = star.dims[dim].where(F.col("dimName") == F.lit(name)).agg(F.max("id")).scalar()
+        same = fold(F.col("dimName"), star.collation) == fold(F.lit(name), star.collation)
+        ident = star.dims[dim].where(same).agg(F.max("id")).scalar()
         star = replace(star, fact=star.fact.where(F.col(DIM_COLUMNS[dim][0]) == ident))
     df = star_join(star, set(needed) | filters.dimensions())
     if filters.year is not None and "fact_year" in star.fact.columns:
         df = df.where(F.col("fact_year") == F.lit(filters.year))
-    return df.where(filters.predicate())
+    return df.where(filters.predicate(star.collation))

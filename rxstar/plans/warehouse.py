@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import SparkSession, functions as F
 
+from ..functions.collation import BINARY
 from ..operators.fact import Star, read_dimensions, read_stored, run_etl, write_dimensions, write_fact
 from ..operators.sinks import commit_version, latest_version, version_path
 from ..schemas import FACT_STORED, NAME_DIMENSIONS
@@ -42,21 +43,24 @@ def write_star(star: Star, path: str) -> None:
     commit_version(spark, path, version)
 
 
-def read_star(spark: SparkSession, path: str) -> Star:
-    """The current version of the star under ``path``; one version's own folder can be given too."""
+def read_star(spark: SparkSession, path: str, collation: str = BINARY) -> Star:
+    """The current version of the star under ``path``; one version's own folder can be given too.
+
+    ``collation`` is the one that the star was loaded with.
+    """
     version = latest_version(spark, path)
     root = version_path(path, version) if version else path
     dims, rows, text = read_dimensions(spark, root)
-    return Star(read_stored(spark, f"{root}/factDrug", FACT_STORED), dims, rows, text, root)
+    return Star(read_stored(spark, f"{root}/factDrug", FACT_STORED), dims, rows, text, root, collation)
 
 
-def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
+def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A", collation: str = BINARY) -> Star:
     """The star loaded from mapping ``kind`` of ``sf_dir``; built once per application."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind, collation)
 
     def build() -> Star:
-        tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{kind}".encode()).hexdigest()[:12]
-        return run_etl(raw_sales(spark, sf_dir, kind), out=f"{warehouse_root(spark)}/star-{kind}-{tag}")
+        tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{kind}|{collation}".encode()).hexdigest()[:12]
+        return run_etl(raw_sales(spark, sf_dir, kind), out=f"{warehouse_root(spark)}/star-{kind}-{tag}", collation=collation)
 
     return once(_STARS, key, build)
 
@@ -64,9 +68,9 @@ def sales_star(spark: SparkSession, sf_dir: str, kind: str = "A") -> Star:
 def open_tables(spark: SparkSession, sf_dir: str, build) -> dict:
     """The stored openFDA source tables, loaded once per application.
 
-    ``build`` maps a table name to a function returning its DataFrame (the
-    loaders); each result is written once as Parquet and read back, as the
-    reference stores its source tables before the dashboard reads them.
+    ``build`` gives a DataFrame for each table name (the loaders); each is
+    written once as Parquet and read back, as the reference stores its source
+    tables before the dashboard reads them.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
 
@@ -74,9 +78,9 @@ def open_tables(spark: SparkSession, sf_dir: str, build) -> dict:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
         root = f"{warehouse_root(spark)}/sources-{tag}"
         tables = {}
-        for name, fn in build.items():
-            fn().write.mode("overwrite").parquet(f"{root}/{name}")
-            tables[name] = spark.read.parquet(f"{root}/{name}")
+        for name, df in build().items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            tables[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
         return tables
 
     return once(_OPEN, key, load)

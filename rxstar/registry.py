@@ -8,20 +8,23 @@ Spark derived from them, in whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.collation import LCASE
 from .functions.exact import as_double
 from .functions.once import once
 from .operators import quality as C
 from .operators import sinks as P
 from .operators.dimensions import distinct_days, distinct_names, upsert_days, upsert_names, with_surrogate_keys
-from .operators.fact import key_lookup, lookup_rejects, run_etl
-from .operators.staging import stage_rejects, stage_sales, typed_columns
-from .operators.upsert import bookkeeping, keep_last, upsert_by_key
+from .operators.fact import Star, key_lookup, lookup_rejects, run_etl
+from .operators.load import LoadedSource, load_source
+from .operators.staging import load_rejects, stage_rejects, stage_sales, typed_columns
+from .operators.upsert import bookkeeping, upsert_by_key
 from .plans import dashboard as D
 from .plans import views as V
 from .plans.filters import Filters
@@ -29,9 +32,9 @@ from .plans.star import ALL_DIMS, star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
 from .schemas import NAME_DIMENSIONS
 from .sources import openfda as S
-from .sources.fixtures import landed_raw_sales as raw_sales
-from .sources.landing import landed_pages
-from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_projection
+from .sources.fixtures import broken_raw_sales, landed_raw_sales as raw_sales
+from .sources.landing import broken_event_pages, landed_pages
+from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_import_raw_checked, scan_projection
 from .sources.tables import read_table
 from .streaming.incremental import current_events, start_event_stream
 
@@ -51,6 +54,13 @@ FILTER_CASES = {
     "filter_year": Filters(year=1997),
     "filter_refunded": Filters(refunded=1),
 }
+CI_FILTER_CASES = {
+    "filter_city_ci": Filters(city="eUROPE"),
+    "filter_condition_ci": Filters(condition="Machinery"),
+    "filter_drug_ci": Filters(drug="Purchase"),
+    "filter_type_ci": Filters(type="event"),
+    "filter_manufacturer_ci": Filters(manufacturer="events co"),
+}
 COMBINED_PARAMS = {"city": [" NATION_3 "], "year": ["1997"], "refunded": ["0"], "drug": [""], "other": ["x"]}
 EMPTY_FILTER = Filters(city="NO SUCH CITY")
 
@@ -101,21 +111,27 @@ def event_records(spark, d):
     return S.flatten_events(S.records(pages(spark, d, "event")))
 
 
-def source_ndc_products(spark, d):
-    """Stored NDC table: all landed records, keep-last per product_ndc in insert order."""
-    return keep_last(ndc_records(spark, d), ["product_ndc"], ["seq"]).drop("seq")
+def load_ndc(spark, d, fetched_at: str = FIRST_RUN) -> LoadedSource:
+    """The NDC products: all landed records, keep-last per product_ndc in insert order, and the metadata row."""
+    return load_source(pages(spark, d, "ndc"), S.flatten_ndc, "openfda_ndc", ["product_ndc"], fetched_at)
+
 
+def load_events(spark, d, fetched_at: str = FIRST_RUN) -> LoadedSource:
+    """The adverse events: all landed reports, keep-last per safetyreportid in insert order, and the metadata row."""
+    return load_source(pages(spark, d, "event"), S.flatten_events, "openfda_event", ["safetyreportid"], fetched_at)
 
-def source_drug_events(spark, d):
-    """Stored events table: all landed reports, keep-last per safetyreportid in insert order."""
-    return keep_last(event_records(spark, d), ["safetyreportid"], ["seq"]).drop("seq")
+
+def _load_all(spark, d) -> dict[str, DataFrame]:
+    """Each source read once: current rows and the metadata of all three sources."""
+    ndc, events = load_ndc(spark, d), load_events(spark, d)
+    sales = bookkeeping("sqlserver_backup", _star(spark, d).fact, None, FIRST_RUN)
+    metadata = sales.unionByName(ndc.metadata).unionByName(events.metadata)
+    return {"source_ndc_products": ndc.current, "source_drug_events": events.current, "source_metadata": metadata}
 
 
 def source_metadata(spark, d, fetched_at: str = FIRST_RUN, only_open: bool = False) -> DataFrame:
     """U3 for all three sources of one run."""
-    ndc = bookkeeping("openfda_ndc", ndc_records(spark, d), S.total_available(pages(spark, d, "ndc")), fetched_at)
-    ev = bookkeeping("openfda_event", event_records(spark, d), S.total_available(pages(spark, d, "event")), fetched_at)
-    out = ndc.unionByName(ev)
+    out = load_ndc(spark, d, fetched_at).metadata.unionByName(load_events(spark, d, fetched_at).metadata)
     if not only_open:
         out = bookkeeping("sqlserver_backup", _star(spark, d).fact, None, fetched_at).unionByName(out)
     return out
@@ -123,11 +139,35 @@ def source_metadata(spark, d, fetched_at: str = FIRST_RUN, only_open: bool = Fal
 
 def stored(spark, d, name: str) -> DataFrame:
     """Stored source table (source_ndc_products, source_drug_events, source_metadata)."""
-    return open_tables(spark, d, {
-        "source_ndc_products": lambda: source_ndc_products(spark, d),
-        "source_drug_events": lambda: source_drug_events(spark, d),
-        "source_metadata": lambda: source_metadata(spark, d),
-    })[name]
+    return open_tables(spark, d, lambda: _load_all(spark, d))[name]
+
+
+def _broken_raw(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Mapping M landed as CSV lines, some of them broken: the rows, and the rejected lines."""
+    path = _scratch(spark, d, "import_raw_broken")
+    once(_LANDED_CSV, path, lambda: broken_raw_sales(spark, d, "M", path))
+    return scan_import_raw_checked(spark, path, header=False)
+
+
+def _broken_pages(spark, d) -> tuple[DataFrame, DataFrame]:
+    return S.read_pages_checked(spark, broken_event_pages(spark, d), "event")
+
+
+def _short_page(spark, d) -> DataFrame:
+    """S8 where the source ends early: page 7 has 40 records, so nothing after it is read."""
+    short = F.when(F.col("skip") == 700, F.slice("results", 1, 40)).otherwise(F.col("results"))
+    found = S.paged_records(pages(spark, d, "event").withColumn("results", short), limit=1000)
+    return found.select("seq", "skip", F.col("r.safetyreportid").alias("safetyreportid"))
+
+
+def _ci(spark, d) -> Star:
+    """The star of mapping C, whose names are compared without case."""
+    return sales_star(spark, d, "C", LCASE)
+
+
+def _dim_names_ci(spark, d) -> DataFrame:
+    parts = [df.select(F.lit(dim).alias("dim"), "id", "dimName") for dim, df in _ci(spark, d).dims.items() if dim in NAME_DIMENSIONS]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _upsert_metadata(spark, d):
@@ -188,17 +228,27 @@ def _lookup_rejects(spark, d):
 
 def _sink_roundtrip(spark, d):
     path = _scratch(spark, d, "sink_ndc")
-    P.write_table(source_ndc_products(spark, d), path)
+    P.write_table(load_ndc(spark, d).current, path)
     return spark.read.parquet(path)
 
 
 def _publish(spark, d):
     base = _scratch(spark, d, "published_ndc")
     P.publish_version(ndc_records(spark, d).drop("seq"), base)
-    P.publish_version(source_ndc_products(spark, d), base)
+    P.publish_version(load_ndc(spark, d).current, base)
     return P.read_current(spark, base)
 
 
+def _source_keys(spark, d):
+    ndc, events = load_ndc(spark, d), load_events(spark, d)
+    checks = [
+        (ndc.records, "product_ndc", "ndc_records"), (ndc.current, "product_ndc", "source_ndc_products"),
+        (events.records, "safetyreportid", "event_records"), (events.current, "safetyreportid", "source_drug_events"),
+        (stored(spark, d, "source_metadata"), "source_key", "source_metadata"),
+    ]
+    return functools.reduce(DataFrame.unionByName, [C.primary_key(df, [key], label) for df, key, label in checks])
+
+
 def _not_null(spark, d):
     star = _star(spark, d)
     tables = {
@@ -254,6 +304,9 @@ def queries() -> dict[str, Query]:
     q["event_flatten_blank"] = lambda s, d: S.flatten_events_blank(S.records(pages(s, d, "event")))
     q["paged_limit"] = lambda s, d: S.paged_records(pages(s, d, "event"), limit=1000).select(
         "seq", "skip", F.col("r.safetyreportid").alias("safetyreportid"))
+    q["paged_limit_short_page"] = _short_page
+    q["event_pages_checked"] = lambda s, d: S.flatten_events(S.records(_broken_pages(s, d)[0]))
+    q["event_page_rejects"] = lambda s, d: _broken_pages(s, d)[1].select("skip", "reason")
     q["source_total_available"] = lambda s, d: S.total_available(pages(s, d, "event"))
     q["event_date_range"] = lambda s, d: S.event_date_range(event_records(s, d))
     q["load_limit"] = lambda s, d: S.load_limit(ndc_records(s, d), limit=5000, cap=S.NDC_LOAD_CAP).select(
@@ -272,6 +325,8 @@ def queries() -> dict[str, Query]:
         & F.col("Price").isNotNull()).select("Transaction_ID")
     q["stage_sales"] = lambda s, d: _staged_out(stage_sales(raw_sales(s, d, "M")))
     q["stage_rejects"] = lambda s, d: stage_rejects(raw_sales(s, d, "M"))
+    q["import_raw_checked"] = lambda s, d: _broken_raw(s, d)[0]
+    q["load_rejects"] = lambda s, d: load_rejects(*reversed(_broken_raw(s, d)))
     q["text_truncate"] = lambda s, d: read_table(s, d, "documents", ["doc_id", "text"]).select(
         "doc_id", S.truncate_text(F.col("text")).alias("text"))
     q["list_to_text"] = lambda s, d: ndc_records(s, d).select("seq", "route")
@@ -315,7 +370,14 @@ def queries() -> dict[str, Query]:
     q["refund_share"] = lambda s, d: D.refund_share(D.refund_split(_star(s, d)))
     q["recent_records"] = _dash(D.recent_records)
     q["top_labelers"] = lambda s, d: D.top_labelers(stored(s, d, "source_ndc_products"))
-    q["top_labelers_ci"] = lambda s, d: D.top_labelers(stored(s, d, "source_ndc_products"), case_insensitive=True)
+    q["top_labelers_ci"] = lambda s, d: D.top_labelers(stored(s, d, "source_ndc_products"), LCASE)
+    q["top_reactions_ci"] = lambda s, d: D.top_reactions(stored(s, d, "source_drug_events"), LCASE)
+    # K3: dimensions, fact, filters and rankings under a case-insensitive collation
+    q["dim_names_ci"] = _dim_names_ci
+    q["fact_drug_ci"] = lambda s, d: fact_output(_ci(s, d).fact)
+    for name, f in CI_FILTER_CASES.items():
+        q[name] = (lambda f: lambda s, d: D.kpi_summary(_ci(s, d), f))(f)
+    q["top_drugs_ci"] = lambda s, d: D.top_drugs(_ci(s, d))
     q["top_reactions"] = lambda s, d: D.top_reactions(stored(s, d, "source_drug_events"))
     q["source_summary"] = lambda s, d: D.source_summary(
         stored(s, d, "source_metadata"), stored(s, d, "source_ndc_products"), stored(s, d, "source_drug_events"))
@@ -332,8 +394,8 @@ def queries() -> dict[str, Query]:
     q["view_open_source_summary"] = lambda s, d: _view(s, d, "v_open_source_summary")
     # 2.8 upserts and sinks
     q["upsert_metadata"] = _upsert_metadata
-    q["keep_last_ndc"] = source_ndc_products
-    q["keep_last_events"] = source_drug_events
+    q["keep_last_ndc"] = lambda s, d: load_ndc(s, d).current
+    q["keep_last_events"] = lambda s, d: load_events(s, d).current
     q["stream_events_keep_last"] = _stream_events
     q["load_bookkeeping"] = lambda s, d: source_metadata(s, d)
     q["sink_roundtrip"] = _sink_roundtrip
@@ -344,10 +406,7 @@ def queries() -> dict[str, Query]:
     # 2.9 checks
     q["check_unique_dims"] = lambda s, d: C.unique_dims(_star(s, d))
     q["check_fact_fks"] = lambda s, d: C.fact_foreign_keys(_star(s, d))
-    q["check_source_pks"] = lambda s, d: C.primary_key(ndc_records(s, d), ["product_ndc"], "ndc_records").unionByName(
-        C.primary_key(source_ndc_products(s, d), ["product_ndc"], "source_ndc_products")).unionByName(
-        C.primary_key(source_drug_events(s, d), ["safetyreportid"], "source_drug_events")).unionByName(
-        C.primary_key(source_metadata(s, d), ["source_key"], "source_metadata"))
+    q["check_source_pks"] = _source_keys
     q["check_not_null"] = _not_null
     q["check_fact_grain"] = lambda s, d: C.fact_grain(_star(s, d))
     return q

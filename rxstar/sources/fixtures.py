@@ -20,6 +20,7 @@ from ..functions.joins import bounded_broadcast
 from ..schemas import IMPORT_RAW
 from ..functions.once import once
 from ..session import shared_dir
+from .raw import WRITE_OPTIONS
 from .tables import read_table
 
 
@@ -127,6 +128,22 @@ SALES_B = Mapping(
     },
 )
 
+# --- C: B with names in several spellings ------------------------------------
+SALES_CASES = Mapping(
+    SALES_B.joins,
+    SALES_B.columns
+    | {
+        "Manufacturer": "CASE WHEN event_id % 7 = 0 THEN 'EVENTS CO' ELSE 'Events Co' END",
+        "Drug_Name": "CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END",
+        "Drug_Type": "CASE event_id % 5 WHEN 0 THEN 'event' WHEN 1 THEN 'Event' ELSE 'EVENT' END",
+        "Condition_Treated": "CASE WHEN event_id % 3 = 1 THEN lower(c_mktsegment) ELSE c_mktsegment END",
+        "City": "CASE WHEN event_id % 4 = 0 THEN concat(left(r_name, 1), lower(substr(r_name, 2))) ELSE r_name END",
+    },
+    SALES_B.reads,
+)
+
+MAPPINGS = {"A": SALES_A, "B": SALES_B, "C": SALES_CASES, "M": SALES_MESSY}
+
 # Tables of TPC-H fixed size (25 nations, 5 regions) may be broadcast; all
 # others join by shuffle unless AQE sees at run time that they are small.
 _FIXED_SIZE = {"nation": 25, "region": 5}
@@ -146,12 +163,25 @@ def build(spark: SparkSession, sf_dir: str, mapping: Mapping) -> DataFrame:
 
 
 def raw_sales(spark: SparkSession, sf_dir: str, kind: str = "A") -> DataFrame:
-    """Landing table ``import_raw`` (9 text columns) from mapping A, B or M."""
-    return build(spark, sf_dir, {"A": SALES_A, "B": SALES_B, "M": SALES_MESSY}[kind])
+    """Landing table ``import_raw`` (9 text columns) from mapping A, B, C or M."""
+    return build(spark, sf_dir, MAPPINGS[kind])
 
 
 _LANDED_RAW: dict[tuple, str] = {}
 
+#: Orders whose lines are cut after four fields, and those that get a field too many.
+SHORT_EVERY, LONG_EVERY = 103, 107
+
+
+def broken_raw_sales(spark: SparkSession, sf_dir: str, kind: str, path: str) -> str:
+    """Land mapping ``kind`` as CSV lines without a header, some of them broken; returns ``path``."""
+    rows = raw_sales(spark, sf_dir, kind)
+    line = F.to_csv(F.struct(*IMPORT_RAW.names), {k: v for k, v in WRITE_OPTIONS.items() if k != "header"})
+    order = F.substring_index("Transaction_ID", "-", 1).cast("long")
+    text = F.when(order % SHORT_EVERY == 0, F.substring_index(line, ",", 4)).when(order % LONG_EVERY == 0, F.concat(line, F.lit(",surplus")))
+    rows.select(text.otherwise(line).alias("value")).write.mode("overwrite").text(path)
+    return path
+
 
 def landed_raw_sales(spark: SparkSession, sf_dir: str, kind: str = "A") -> DataFrame:
     """The landing table ``import_raw`` of mapping ``kind``, landed once per application.

@@ -32,7 +32,8 @@ NDC_PAGE_SIZE = 1000
 
 # Column expressions of mapping J (Spark SQL text, mirrored by the oracle).
 EVENT_FIELDS = {
-    "safetyreportid": "cast(o_orderkey AS string)",
+    # every tenth report is a re-issue of one of the page before
+    "safetyreportid": "cast(CASE WHEN o_orderkey % 10 = 9 AND o_orderkey >= 100 THEN o_orderkey - 100 ELSE o_orderkey END AS string)",
     "receivedate": "date_format(add_months(o_orderdate, 300), 'yyyyMMdd')",
     "serious": "CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '2' END",
     "patientsex": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE cast(o_custkey % 2 + 1 AS string) END",
@@ -41,7 +42,7 @@ DRUG_FIELDS = {
     "medicinalproduct": "p_name",
     "brand_name": "CASE WHEN l_linestatus = 'O' THEN array() ELSE array(upper(p_name), p_brand) END",
     "manufacturer_name": "CASE WHEN l_returnflag = 'R' THEN array() ELSE array(concat('Supplier-', cast(l_suppkey AS string))) END",
-    "reactionmeddrapt": "CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN '' ELSE concat(lower(p_type), ' ', get(split(p_name, ' '), 1)) END",
+    "reactionmeddrapt": "CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN '' WHEN l_linenumber % 3 = 0 THEN upper(concat(p_type, ' ', get(split(p_name, ' '), 1))) ELSE concat(lower(p_type), ' ', get(split(p_name, ' '), 1)) END",
 }
 NDC_FIELDS = {
     "product_ndc": "concat(p_brand, '-', lpad(cast(p_size AS string), 3, '0'))",
@@ -51,7 +52,7 @@ NDC_FIELDS = {
     "proprietary_name": "upper(p_name)",
     "generic_name": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END",
     "nonproprietary_name": "lower(p_type)",
-    "labeler_name": "CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_brand END",
+    "labeler_name": "CASE WHEN p_partkey % 50 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN upper(p_brand) ELSE p_brand END",
     "dosage_form": "CASE WHEN p_size % 2 = 0 THEN 'TABLET' ELSE 'CAPSULE' END",
     "route": "CASE WHEN p_size % 13 = 0 THEN NULL WHEN p_size % 3 = 0 THEN array('ORAL', p_type) ELSE array('ORAL') END",
     "marketing_category": "p_type",
@@ -61,6 +62,7 @@ NDC_FIELDS = {
 }
 
 _LANDED: dict[tuple, dict[str, str]] = {}
+_BROKEN: dict[tuple, str] = {}
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +138,27 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return once(_LANDED, key, land)
 
 
+#: Pages are counted from 0; of eleven, one line is cut off and one has text in place of its results.
+CUT_PAGE, WRONG_PAGE, PAGE_CYCLE = 3, 7, 11
+
+
+def broken_event_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Land the event pages with planted faults, as lines of text; returns the folder."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+
+    def land() -> str:
+        path = f"{landed_pages(spark, sf_dir)['event']}-broken"
+        line = F.to_json(F.struct("skip", "meta", "results"))
+        at = (F.col("skip") / EVENT_PAGE_SIZE).cast("long") % PAGE_CYCLE
+        wrong = F.to_json(F.struct("skip", "meta", F.lit("unavailable").alias("results")))
+        text = F.when(at == CUT_PAGE, F.left(line, F.floor(F.length(line) / 2).cast("int"))).when(at == WRONG_PAGE, wrong).otherwise(line)
+        pages = spark.read.schema(page_schema("event")).json(landed_pages(spark, sf_dir)["event"])
+        pages.select(text.alias("value")).write.mode("overwrite").text(path)
+        return path
+
+    return once(_BROKEN, key, land)
+
+
 def page_schema(kind: str):
     from pyspark.sql import types as T
 

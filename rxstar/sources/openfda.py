@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.cleaning import first_of_list, first_present, list_to_text, truncate_text
 from ..schemas import NDC_RECORD
 from .landing import EVENT_PAGE_SIZE, page_schema
+from .raw import BROKEN
 
 # Fixed values of the reference's loaders.
 EVENT_DATE_FROM = "20240101"
@@ -28,6 +29,25 @@ def read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(page_schema(kind)).json(path)
 
 
+def read_pages_checked(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The pages that can be read, and a reject row for each line that cannot: skip, reason, line.
+
+    A line that is no JSON comes in the corrupt-record column of the parsed page; one that is, but
+    has no list of results of the declared type, is no page.  Lines are read as text, so a rejected one is
+    whole, and its offset is taken from the text where it is still there (the page can be fetched
+    again).  Blank lines are no lines.
+    """
+    schema = T.StructType([*page_schema(kind).fields, T.StructField(BROKEN, T.StringType(), True)])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    pages = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": BROKEN}).alias("page"))
+    # a line can be a reject for one reason only; a page that was read has neither
+    readable = F.coalesce(F.col(f"page.{BROKEN}").isNull() & F.col("page.results").isNotNull(), F.lit(False))
+    reason = F.when(F.try_parse_json("value").isNull(), F.lit("not JSON")).otherwise(F.lit("not a page"))
+    skip = F.regexp_extract("value", r'"skip"\s*:\s*([0-9]+)', 1).try_cast(T.LongType())
+    rejects = pages.where(~readable).select(skip.alias("skip"), reason.alias("reason"), F.col("value").alias("line"))
+    return pages.where(readable).select(*[F.col(f"page.{f.name}") for f in page_schema(kind).fields]), rejects
+
+
 def records(pages: DataFrame) -> DataFrame:
     """One row per record: ``seq`` (global insert position), ``skip``, ``total`` and the record struct ``r``."""
     return pages.select(
@@ -97,13 +117,18 @@ def _first_drug() -> Column:
 
 
 def flatten_events(recs: DataFrame) -> DataFrame:
-    """Report -> first drug, first reaction, first brand, first manufacturer; serious code as INT."""
+    """Report -> first drug, first reaction, first brand, first manufacturer.
+
+    K1: ``serious_code`` is the report's code as INT (0 when missing), ``serious`` is 1 for code 1 alone.
+    """
     drug = _first_drug()
+    code = F.coalesce(F.nullif(F.col("r.serious"), F.lit("")), F.lit("0")).try_cast(T.IntegerType())
     return recs.select(
         "seq",
         F.col("r.safetyreportid").alias("safetyreportid"),
         F.col("r.receivedate").alias("receivedate"),
-        F.coalesce(F.nullif(F.col("r.serious"), F.lit("")), F.lit("0")).try_cast(T.IntegerType()).alias("serious"),
+        code.alias("serious_code"),
+        F.coalesce((code == 1).cast(T.IntegerType()), F.lit(0)).alias("serious"),
         F.col("r.patient.patientsex").alias("patientsex"),
         first_of_list(F.col("r.patient.reaction"))["reactionmeddrapt"].alias("reaction"),
         drug["medicinalproduct"].alias("medicinalproduct"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from ..schemas import IMPORT_RAW
 
@@ -16,12 +17,41 @@ CSV_OPTIONS = {
     "escape": '"',
 }
 
+# without emptyValue '' is written as "", which the scan tells from a missing value
+WRITE_OPTIONS = {k: v for k, v in CSV_OPTIONS.items() if k != "emptyValue"}
+
 
 def land_csv(df: DataFrame, path: str) -> None:
     """Write a landing table as CSV text files."""
-    # without emptyValue '' is written as "", which the scan tells from a missing value
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "emptyValue"}
-    df.write.mode("overwrite").options(**options).csv(path)
+    df.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
+
+
+#: Where the reader puts the text of a line that does not fit the schema.
+BROKEN = "_broken"
+
+
+def scan_import_raw_checked(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1 where nothing is lost: the rows that have nine fields, and a reject row for each other line.
+
+    Lines are read as text, so a rejected one is whole.  With ``header`` lines that are the
+    header's names are no data.  Rejects: Transaction_ID (the line's first field), reason, line.
+    """
+    schema = T.StructType([*IMPORT_RAW.fields, T.StructField(BROKEN, T.StringType(), True)])
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"columnNameOfCorruptRecord": BROKEN}
+    lines = spark.read.text(path).where(F.col("value") != "")
+    if header:
+        lines = lines.where(F.col("value") != ",".join(IMPORT_RAW.names))
+    rows = lines.select("value", F.from_csv("value", ", ".join(f"{f.name} string" for f in schema), options).alias("row"))
+    broken = F.col(f"row.{BROKEN}")
+    # separators outside quotes
+    fields = F.length(F.regexp_replace(F.regexp_replace("value", '"([^"]|"")*"', ""), "[^,]", "")) + 1
+    reason = (
+        F.when(fields < len(IMPORT_RAW), F.lit("too few fields"))
+        .when(fields > len(IMPORT_RAW), F.lit("too many fields"))
+        .otherwise(F.lit("broken line"))
+    )
+    rejects = rows.where(broken.isNotNull()).select("row.Transaction_ID", reason.alias("reason"), F.col("value").alias("line"))
+    return rows.where(broken.isNull()).select(*[F.col(f"row.{c}") for c in IMPORT_RAW.names]), rejects
 
 
 def scan_import_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 
 import pytest
 
+from rxstar.functions.collation import LCASE
 from rxstar.plans.dashboard import top_labelers, top_reactions
 from rxstar.schemas import EVENT_COLUMNS, NDC_COLUMNS
 
@@ -90,7 +91,7 @@ def test_top_labelers_match_golden(spark):
     ndc = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in NDC_COLUMNS))
     got = [(r["label"], r["products"]) for r in top_labelers(ndc).collect()]
     assert got == GOLDEN_LABELERS
-    ci = top_labelers(ndc, case_insensitive=True).collect()
+    ci = top_labelers(ndc, LCASE).collect()
     assert ci[0]["products"] == 40
     assert ci[9]["products"] == 8 and ci[9]["label"].lower().startswith("sun pharmaceutical industries")
 

@@ -30,13 +30,25 @@ def hot_rows(spark, n=3000):
 
 def test_keep_last_hot_key_is_partial_and_whole(spark):
     df = hot_rows(spark)
-    out = keep_last(df, ["key"], ["seq"])
-    p = plan(out)
-    assert "partial_max_by" in p  # reduced per task before the shuffle
-    got = {r["key"]: r["seq"] for r in out.collect()}
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = keep_last(df, ["key"], ["seq"])
+        p = plan(out)
+        got = {r["key"]: r["seq"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert "partial_max" in p and "SortAggregate" not in p  # a key is one row of each task before the shuffle
+    assert "hashpartitioning(coalesce(seq" in p  # whole rows are dealt by key and order
     assert got["HOT"] == 2997 and len(got) == 1 + len({i % 97 for i in range(3000) if i % 3})
 
 
+def test_keep_last_with_null_keys_and_two_order_columns(spark):
+    rows = [(None, 1, 9, "a"), (None, 2, 1, "b"), ("k", 1, 5, "c"), ("k", 1, 7, "d"), ("j", None, None, "e")]
+    df = spark.createDataFrame(rows, "key string, batch int, seq int, v string")
+    assert {(r["key"], r["v"]) for r in keep_last(df, ["key"], ["batch", "seq"]).collect()} == {(None, "b"), ("k", "d"), ("j", "e")}
+
+
 def test_grain_aggregate_hot_city(spark):
     rows = [(str(i), "2024-01-01 00:00:00", "M", "D", "1.00", "T", "0", "C", "HOT" if i % 3 == 0 else f"c{i % 50}")
             for i in range(3000)]

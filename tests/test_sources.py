@@ -39,8 +39,8 @@ def test_event_flatten_first_elements(spark, tmp_path):
             "results": [_event(1, drugs, [{"reactionmeddrapt": "Death"}], serious="2"), _event(2, None, [], serious="")]}
     recs = S.records(_pages(spark, tmp_path, [page]))
     a, b = S.flatten_events(recs).orderBy("seq").collect()
-    assert (a["medicinalproduct"], a["brand_name"], a["manufacturer_name"], a["reaction"], a["serious"]) == (
-        "A", "BA", None, "Death", 2)
+    assert (a["medicinalproduct"], a["brand_name"], a["manufacturer_name"], a["reaction"], a["serious_code"], a["serious"]) == (
+        "A", "BA", None, "Death", 2, 0)
     assert (b["medicinalproduct"], b["reaction"], b["serious"]) == (None, None, 0)
     a2, b2 = S.flatten_events_blank(recs).orderBy("seq").collect()
     assert (a2["manufacturer_name"], a2["serious"], b2["brand_name"]) == ("", 0, "")
