@@ -21,7 +21,7 @@ from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
 from ..functions.materialize import materialize, scratch_path, scratch_scope
 from ..functions.numbering import number_rows
-from ..schemas import FACT_GRAIN, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
+from ..schemas import FACT_GRAIN, FACT_KEYS, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
 from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
 from .dimensions import time_attributes
 from .sinks import commit_version, latest_version, version_path
@@ -41,6 +41,28 @@ class Star:
     dim_bytes: dict[str, int | None] = field(default_factory=dict)
     path: str | None = None  # the folder of the version that is read
     collation: str = BINARY  # how names are compared (K3)
+    measured: dict = field(default_factory=dict)  # figures of the stored tables, taken once
+
+    def largest(self, dim: str) -> int:
+        """The largest id of a dimension."""
+        key = "largest", dim
+        if key not in self.measured:
+            self.measured[key] = int(self.dims[dim].agg(F.max("id")).first()[0] or 0)
+        return self.measured[key]
+
+    def largest_keys(self) -> dict[str, int]:
+        """The largest id of each foreign key in the fact."""
+        if "keys" not in self.measured:
+            row = self.fact.agg(*[F.max(k).alias(k) for k in FACT_KEYS]).first()
+            self.measured["keys"] = {k: int(row[k] or 0) for k in FACT_KEYS}
+        return self.measured["keys"]
+
+    def year_rows(self) -> dict[int | None, int]:
+        """Fact rows of each stored year: read from file footers, one row for each year."""
+        if "years" not in self.measured:
+            counts = self.fact.groupBy("fact_year").agg(F.count(F.lit(1)).alias("n")).collect()
+            self.measured["years"] = {r["fact_year"]: r["n"] for r in counts}
+        return self.measured["years"]
 
     def dim(self, name: str, broadcast: bool = True) -> DataFrame:
         """A dimension, marked for broadcast when its measured rows and bytes are within bounds."""

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import blank_to_label
 from ..functions.collation import BINARY, fold
+from ..functions.distinct import MAX_BITMAPS, bitmap_parts, bitmaps_needed, bits
 from ..functions.exact import as_double, ratio, round2, round2_double
 from ..operators.fact import Star
 from .filters import Filters
-from .star import filtered, star_join
+from .star import DIM_COLUMNS, filtered, star_join
 
 # Fixed values of the reference's dashboard.
 REFUNDED_LABEL = "Refundowane"
@@ -53,24 +54,48 @@ def _doubles(df: DataFrame, cols: list[str]) -> DataFrame:
 def kpi_summary(star: Star, filters: Filters | None = None) -> DataFrame:
     """G1: one row of ten measures, also for an empty selection.
 
-    The three distinct counts use the fact's dimension ids: with a LEFT JOIN
-    ``COUNT(DISTINCT dim.id)`` equals ``COUNT(DISTINCT fact.dim_id)`` because
-    every fact key exists in its dimension (check C2), and this keeps the
-    row expansion of the distinct aggregation narrow.
+    The three distinct counts are of dimension ids, as after the LEFT JOINs: a fact key without a
+    dimension row (check C2) does not count.  The fact's ids and each dimension's ids are bitmaps,
+    ANDed, so nothing is joined or expanded for them; dimensions of too many ids for that take a
+    distinct aggregate over the join.
     """
-    df = filtered(star, filters, {"dimTime"})
+    counted = {"dimDrug": "drug_count", "dimMan": "manufacturer_count", "dimCity": "city_count"}
+    mapped = {dim: star.largest(dim) for dim in counted if bitmaps_needed(star.largest(dim)) <= MAX_BITMAPS}
+    if sum(bitmaps_needed(n) for n in mapped.values()) > MAX_BITMAPS:
+        mapped = {}
+    df = filtered(star, filters, {"dimTime"} | (set(counted) - set(mapped)))
     refunded = F.sum(F.when(F.col("is_refunded") == 1, F.col("cntDrug")).otherwise(F.lit(0)))
     out = df.agg(
         F.count(F.lit(1)).alias("fact_groups"),
         *_sales_measures()[:3],
         ratio(refunded * F.lit(100), F.sum("cntDrug")).alias("refund_rate"),
-        F.countDistinct("dimDrug_id").alias("drug_count"),
-        F.countDistinct("dimMan_id").alias("manufacturer_count"),
-        F.countDistinct("dimCity_id").alias("city_count"),
+        *[F.countDistinct(DIM_COLUMNS[d][1]["dimName"]).alias(counted[d]) for d in counted if d not in mapped],
         F.min("timeDay").alias("date_from"),
         F.max("timeDay").alias("date_to"),
+        *[p.alias(f"_{dim}_{i}") for dim, n in mapped.items() for i, p in enumerate(bitmap_parts(F.col(f"{dim}_id"), n))],
     )
-    return _doubles(out, ["total_sales", "avg_price", "refund_rate"])
+    out = _present(star, out, mapped).withColumns({counted[d]: bits(_parts(d, n)) for d, n in mapped.items()})
+    names = ["fact_groups", "total_sales", "transactions", "avg_price", "refund_rate", *counted.values(), "date_from", "date_to"]
+    return _doubles(out.select(*names), ["total_sales", "avg_price", "refund_rate"])
+
+
+def _parts(dim: str, largest: int) -> list[Column]:
+    return [F.col(f"_{dim}_{i}") for i in range(bitmaps_needed(largest))]
+
+
+def _present(star: Star, row: DataFrame, mapped: dict[str, int]) -> DataFrame:
+    """``row`` (one row) with each dimension's bitmaps ANDed with those of the ids that the dimension has."""
+    if not mapped:
+        return row
+    fact = F.struct(*[p for dim, n in mapped.items() for p in _parts(dim, n)])
+    known = []
+    for dim, n in mapped.items():
+        own = star.dims[dim].agg(F.struct(*[p.alias(str(i)) for i, p in enumerate(bitmap_parts(F.col("id"), n))])).scalar()
+        known += [own[str(i)].alias(f"_{dim}_{i}") for i in range(bitmaps_needed(n))]
+    rest = [c for c in row.columns if not c.startswith("_")]
+    two = row.select(*rest, F.explode(F.array(fact, F.struct(*known))).alias("_m"))
+    both = [F.bitmap_and_agg(F.col(f"_m._{dim}_{i}")).alias(f"_{dim}_{i}") for dim, n in mapped.items() for i in range(bitmaps_needed(n))]
+    return two.agg(*[F.first(c).alias(c) for c in rest], *both)
 
 
 def monthly_sales(star: Star, filters: Filters | None = None) -> DataFrame:
@@ -143,9 +168,39 @@ def refund_share(split: DataFrame) -> DataFrame:
     return _doubles(out, ["refund_share"])
 
 
+def newest_part(star: Star, filters: Filters, limit: int) -> Star:
+    """The star with the newest years of the fact that hold at least ``limit`` rows of the selection.
+
+    Years are taken from the newest backwards, each time twice as many; rows without a day come
+    last, so the whole fact remains where all years together hold fewer.  Without filters the
+    stored row counts decide; else a job looks for ``limit`` rows, and stops when it has them.
+    """
+    if "fact_year" not in star.fact.columns or filters.year is not None:
+        return star
+    rows = star.year_rows()
+    years = sorted((y for y in rows if y is not None), reverse=True)
+    plain = not filters.active()
+    taken = 1
+    while taken <= len(years) and limit > 0:
+        oldest = years[taken - 1]
+        part = replace(star, fact=star.fact.where(F.col("fact_year") >= F.lit(oldest)))
+        if plain:
+            enough = sum(rows[y] for y in years[:taken]) >= limit
+        else:
+            dated = filtered(part, filters, {"dimTime"}).where(F.col("timeDay").isNotNull())
+            enough = dated.limit(limit).count() >= limit
+        if enough:
+            return part
+        taken = taken + 1 if plain else taken * 2
+    return star
+
+
 def recent_records(star: Star, filters: Filters | None = None, limit: int = RECENT_LIMIT) -> DataFrame:
     """O1: the latest fact rows with all names, two measures rounded to 2 places.
 
+    Only the newest years are read: the fact is partitioned by the year of its day, so the rows of
+    the newest years that hold ``limit`` rows come before all others (``newest_part``).
+
     The top ``limit`` rows are chosen on the fact joined only to dimTime (for
     the order) and to the dimensions the filters need; the other names are
     then joined to those ``limit`` rows alone.  Ids are unique, so the LEFT
@@ -153,7 +208,7 @@ def recent_records(star: Star, filters: Filters | None = None, limit: int = RECE
     """
     filters = filters or Filters()
     order = [F.col("timeDay").desc_nulls_last(), F.col("id").desc()]
-    top = filtered(star, filters, {"dimTime"}).orderBy(*order).limit(limit)
+    top = filtered(newest_part(star, filters, limit), filters, {"dimTime"}).orderBy(*order).limit(limit)
     done = filters.dimensions() | {"dimTime"}
     rest = replace(star, fact=top)
     df = star_join(rest, set(LABELS[k][0] for k in LABELS) - done)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.distinct import MAX_BITMAPS, bitmap_parts, bitmaps_needed, bits
 from ..functions.exact import as_double, ratio, round2, round2_double
 from ..operators.fact import Star
 from .star import star_join
@@ -16,8 +17,15 @@ VIEW_TOP_LIMIT = 10
 
 
 def dashboard_summary(star: Star) -> DataFrame:
-    """V1: fact rows, sold count, rounded sales, rounded unweighted AVG(avgDrug), distinct drugs/manufacturers."""
+    """V1: fact rows, sold count, rounded sales, rounded unweighted AVG(avgDrug), distinct drugs/manufacturers.
+
+    The distinct counts are of the fact's own keys, by bitmaps where these are not too many.
+    """
     f = star.fact
+    counted = {"dimDrug_id": "drug_count", "dimMan_id": "manufacturer_count"}
+    largest = {k: star.largest_keys()[k] for k in counted}
+    mapped = sum(bitmaps_needed(n) for n in largest.values()) <= MAX_BITMAPS
+    keys = [p.alias(f"_{k}_{i}") for k, n in largest.items() for i, p in enumerate(bitmap_parts(F.col(k), n))] if mapped else []
     # summed as decimals: the same in any order of the rows
     averages = F.sum(F.col("avgDrug").cast("decimal(38,18)"))
     out = f.agg(
@@ -25,9 +33,10 @@ def dashboard_summary(star: Star) -> DataFrame:
         F.sum("cntDrug").cast("long").alias("sold_count"),
         round2(F.sum("sumDrug")).alias("sales_value"),
         round2_double(ratio(averages, F.count("avgDrug"), zero=None)).alias("average_price"),
-        F.countDistinct("dimDrug_id").alias("drug_count"),
-        F.countDistinct("dimMan_id").alias("manufacturer_count"),
+        *(keys if mapped else [F.countDistinct(k).alias(name) for k, name in counted.items()]),
     )
+    if mapped:
+        out = out.withColumns({name: bits([F.col(f"_{k}_{i}") for i in range(bitmaps_needed(largest[k]))]) for k, name in counted.items()})
     return out.select(
         "fact_rows", "sold_count", as_double(F.col("sales_value")).alias("sales_value"),
         as_double(F.col("average_price")).alias("average_price"), "drug_count", "manufacturer_count",

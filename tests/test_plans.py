@@ -102,3 +102,78 @@ def test_dashboard_sql_through_catalog(star, spark):
             for r in D.top_drugs(star, Filters(year=1997)).collect()]
     assert got == want and len(got) == 10
     assert "TakeOrderedAndProject" in plan(spark.sql(sql))
+
+
+def test_distinct_counts_take_no_row_expansion(star):
+    from rxstar.plans.views import dashboard_summary
+
+    for df in (D.kpi_summary(star, Filters(year=1997)), dashboard_summary(star)):
+        assert "Expand" not in plan(df) and "bitmap_construct_agg" in plan(df)
+
+
+def test_kpi_counts_ids_that_the_dimension_has(star, spark):
+    """C2 fails: a fact key without a dimension row does not count, in the fact itself it does."""
+    from dataclasses import replace
+
+    from rxstar.plans.views import dashboard_summary
+
+    whole = D.kpi_summary(star).first()
+    fewer = star.dims["dimDrug"].where("id > 3")
+    less = replace(star, dims=star.dims | {"dimDrug": fewer}, measured={})
+    row = D.kpi_summary(less).first()
+    assert row["drug_count"] == whole["drug_count"] - 3 and row["manufacturer_count"] == whole["manufacturer_count"]
+    assert row["transactions"] == whole["transactions"]
+    assert dashboard_summary(less).first()["drug_count"] == whole["drug_count"]
+
+
+def test_distinct_counts_beyond_the_bitmaps(star, monkeypatch):
+    from rxstar.plans import views
+
+    wanted, summary = D.kpi_summary(star).first(), views.dashboard_summary(star).first()
+    for module in (D, views):
+        monkeypatch.setattr(module, "MAX_BITMAPS", 0)
+    assert D.kpi_summary(star).first() == wanted and views.dashboard_summary(star).first() == summary
+
+
+def test_bitmaps_over_many_runs_of_ids(spark):
+    from pyspark.sql import functions as F
+
+    from rxstar.functions.distinct import bitmap_parts, bitmaps_needed, bits
+
+    ids = spark.range(200_000).select(F.when(F.col("id") % 5 > 0, F.col("id") * 2 - 7).cast("int").alias("x"))
+    parts = [p.alias(f"p{i}") for i, p in enumerate(bitmap_parts(F.col("x"), 399_990))]
+    assert len(parts) == bitmaps_needed(399_990) == 13
+    got = ids.agg(*parts).select(bits([F.col(f"p{i}") for i in range(13)])).first()[0]
+    assert got == ids.where("x between 1 and 399990").distinct().count()
+
+
+def test_recent_records_read_the_newest_years_alone(star):
+    df = D.recent_records(star)
+    newest = max(y for y in star.year_rows() if y is not None)
+    assert f"(fact_year#" in plan(df) and f">= {newest})" in plan(df)  # a partition filter
+    whole = D.filtered(star, None, {"dimTime"}).select("id", "timeDay").collect()
+    want = sorted(whole, key=lambda r: (r["timeDay"], r["id"]), reverse=True)[:100]
+    assert [r["id"] for r in df.collect()] == [r["id"] for r in want]
+
+
+def test_recent_records_go_back_as_far_as_needed(star):
+    """A filter on few rows, more rows than a year has, all rows, none."""
+    whole = D.star_join(star, {"dimTime", "dimDrug"}).select("id", "timeDay", "drug").collect()
+    order = sorted(whole, key=lambda r: (r["timeDay"], r["id"]), reverse=True)
+    drug = order[-1]["drug"]
+    for limit in (0, 1, 40, len(order) - 1, len(order) + 5):
+        assert [r["id"] for r in D.recent_records(star, limit=limit).collect()] == [r["id"] for r in order[:limit]]
+        want = [r["id"] for r in order if r["drug"] == drug][:limit]
+        assert [r["id"] for r in D.recent_records(star, Filters(drug=drug), limit=limit).collect()] == want
+    assert D.recent_records(star, Filters(drug="none")).count() == 0
+
+
+def test_rows_without_a_day_come_last(star, spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    few = star.fact.orderBy("id").limit(5).withColumn("dimTime_id", F.when(F.col("id") <= 3, F.col("dimTime_id")))
+    few = few.withColumn("fact_year", F.when(F.col("id") <= 3, F.col("fact_year")))
+    rows = D.recent_records(replace(star, fact=few, measured={}), limit=4).collect()
+    assert [r["sale_date"] is None for r in rows] == [False, False, False, True] and rows[3]["id"] == 5
