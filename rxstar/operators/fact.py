@@ -10,16 +10,16 @@ dimension maps names to ids one to one.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
 from ..functions.collation import BINARY, fold, representatives
 from ..functions.exact import ratio
 from ..functions.joins import bounded_broadcast
-from ..functions.materialize import materialize, scratch_path, scratch_scope
+from ..functions.materialize import exists, materialize, scratch_path, scratch_scope
 from ..functions.numbering import number_rows
 from ..schemas import FACT_GRAIN, FACT_KEYS, FACT_MEASURES, NAME_DIM, NAME_DIMENSIONS
 from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
@@ -202,39 +202,54 @@ def fact_rows(grain: DataFrame, star_dims: Star) -> DataFrame:
 
 
 def with_fact_ids(fact: DataFrame, start: int = 0) -> DataFrame:
-    """Fact ids numbered in grain-key order."""
-    return number_rows(fact, FACT_GRAIN, id_col="id", start=start, id_type=T.LongType())
+    """Fact ids numbered in grain-key order.
 
+    The rows are stored before they are dealt by ranges of the grain: the sample for the ranges and
+    the sort read them back, so the lookups run once.
+    """
+    return number_rows(materialize(fact, "fact-rows"), FACT_GRAIN, id_col="id", start=start, id_type=T.LongType())
+
+
+def write_dimensions(names: DataFrame, days: DataFrame, path: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Store the dimensions: the five name dimensions in one table partitioned by ``dim``, and dimTime.
 
-def write_dimensions(names: DataFrame, days: DataFrame, path: str) -> None:
-    """Store the dimensions: the five name dimensions in one table partitioned by ``dim``, and dimTime."""
-    names.write.mode("overwrite").partitionBy("dim").parquet(f"{path}/names")
+    Returns the rows and name bytes of each, which are metrics of the two writes (their last stage has
+    no shuffle after it, so a task that runs twice counts once).
+    """
+    seen, dated = Observation(), Observation()
+    of = {d: F.col("dim") == d for d in NAME_DIMENSIONS}
+    sizes = [F.count_if(c).alias(f"{d}_rows") for d, c in of.items()]
+    sizes += [F.sum(F.when(c, F.octet_length("dimName"))).alias(f"{d}_bytes") for d, c in of.items()]
+    names.observe(seen, *sizes).write.mode("overwrite").partitionBy("dim").parquet(f"{path}/names")
+    days = days.observe(dated, F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("timeMonth")).alias("b"))
     days.write.mode("overwrite").parquet(f"{path}/{TIME_DIM}")
+    rows = {d: int(seen.get[f"{d}_rows"] or 0) for d in NAME_DIMENSIONS} | {TIME_DIM: int(dated.get["n"] or 0)}
+    return rows, {d: int(seen.get[f"{d}_bytes"] or 0) for d in NAME_DIMENSIONS} | {TIME_DIM: int(dated.get["b"] or 0)}
+
+
+#: Ids of a run: of each year one file, or a part of one.
+ROWS_PER_RUN = 20_000_000
 
 
 def write_fact(fact: DataFrame, path: str) -> None:
     """Store the fact partitioned by ``fact_year``.
 
-    Rows are dealt by year, then id, so a task writes few years and a year has about as many files
-    as its size needs.  Ids follow the grain, which begins with the city: files and row groups
-    hold narrow ranges of it.
+    Rows are dealt by year and run of ids, so a year has about as many files as its size needs.
+    Ids follow the grain, which begins with the city: files and row groups hold narrow ranges of
+    it.  A run is known from the id alone, so no ranges have to be sampled.
     """
-    fact = fact.repartitionByRange("fact_year", "id").sortWithinPartitions("fact_year", "id")
+    run = F.floor(F.col("id") / ROWS_PER_RUN)
+    fact = fact.repartition("fact_year", run).sortWithinPartitions("fact_year", "id")
     fact.write.mode("overwrite").partitionBy("fact_year").parquet(f"{path}/factDrug")
 
 
 def read_stored(spark, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table; an empty one (a partitioned write of no rows leaves no files) reads as no rows."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
-            return spark.createDataFrame([], schema)
-        raise
+    """A stored table; one that is not there (no rows have been written) reads as no rows."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, int]]:
-    """Stored dimensions, their row counts and name bytes (one small aggregate per table).
+def stored_dimensions(spark, path: str) -> dict[str, DataFrame]:
+    """Stored dimensions.
 
     Each name dimension is the ``names`` table filtered on its partition
     column (the filter prunes to one folder); a dimension without members has
@@ -243,6 +258,13 @@ def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, i
     names = read_stored(spark, f"{path}/names", T.StructType([*NAME_DIM.fields, T.StructField("dim", T.StringType())]))
     dims = {dim: names.where(F.col("dim") == dim).select("id", "dimName") for dim in NAME_DIMENSIONS}
     dims[TIME_DIM] = read_stored(spark, f"{path}/{TIME_DIM}", TIME_DIM_SCHEMA)
+    return dims
+
+
+def read_dimensions(spark, path: str) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, int]]:
+    """Stored dimensions, their row counts and name bytes (one small aggregate per table)."""
+    dims = stored_dimensions(spark, path)
+    names = functools.reduce(DataFrame.unionByName, [dims[d].select("dimName", F.lit(d).alias("dim")) for d in NAME_DIMENSIONS])
     sizes = names.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("dimName")), F.lit(0)).alias("b")
     )
@@ -275,8 +297,8 @@ def run_etl(
     with scratch_scope(spark):
         grain = materialize(grain_aggregate(stage_sales(raw), measure), "grain")
         names, days = split_members(dimension_members(grain, existing.dims if existing else None, collation))
-        write_dimensions(names, days, root)
-        dims, rows, text = read_dimensions(spark, root)
+        rows, text = write_dimensions(names, days, root)
+        dims = stored_dimensions(spark, root)
         star_dims = Star(fact=None, dims=dims, dim_rows=rows, dim_bytes=text, collation=collation)  # type: ignore[arg-type]
         fact = with_fact_ids(fact_rows(grain, star_dims))
         write_fact(fact, root)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.materialize import exists
+
 _MANIFEST = "version long, path string"
 
 
@@ -36,12 +37,9 @@ def _manifest(base: str) -> str:
 
 def latest_version(spark: SparkSession, base: str) -> int:
     """Newest committed version number (0 when nothing is published yet)."""
-    try:
-        row = spark.read.schema(_MANIFEST).parquet(_manifest(base)).agg(F.max("version")).first()
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":  # no manifest yet
-            return 0
-        raise
+    if not exists(spark, _manifest(base)):
+        return 0
+    row = spark.read.schema(_MANIFEST).parquet(_manifest(base)).agg(F.max("version")).first()
     return int(row[0] or 0)
 
 

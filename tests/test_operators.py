@@ -281,3 +281,24 @@ def test_load_removes_its_scratch_tables(spark, tmp_path):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     run_etl(raw, out=str(tmp_path / "star"))
     assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_numbering_with_many_groups_needs_no_local_counts(spark, monkeypatch):
+    """The offsets made by windows equal those made on the driver, with NULL groups too."""
+    from rxstar.functions import numbering
+
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), F.col("id").alias("k"))
+    few = {tuple(r) for r in numbering.number_rows(rows, ["k"], group_cols=["g"], start=10).select("g", "k", "id").collect() if r["g"]}
+    monkeypatch.setattr(numbering, "FEW_COUNTS", 0)
+    many = {tuple(r) for r in numbering.number_rows(rows, ["k"], group_cols=["g"], start=10).select("g", "k", "id").collect() if r["g"]}
+    assert few == many and len(few) == rows.where("g IS NOT NULL").count()
+    assert {i for g, _, i in few if g == "g3"} == set(range(11, 11 + sum(1 for x in range(400) if x % 7 == 3)))
+    assert sorted(r["id"] for r in numbering.number_rows(rows.select("k"), ["k"]).collect()) == list(range(1, 401))
+
+
+def test_a_load_counts_its_dimensions_as_it_writes_them(raw):
+    star = run_etl(raw)
+    assert star.dim_rows == {d: df.count() for d, df in star.dims.items()}
+    names = {d: df.agg(F.coalesce(F.sum(F.octet_length("dimName")), F.lit(0))).first()[0] for d, df in star.dims.items() if d != "dimTime"}
+    assert {d: star.dim_bytes[d] for d in names} == names
