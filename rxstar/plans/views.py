@@ -94,6 +94,17 @@ VIEW_NAMES = {
 }
 
 
+def register_view(spark: SparkSession, name: str, star: Star, metadata: DataFrame | None = None) -> DataFrame:
+    """V7 for one view: create or replace it, and scan it.  ``metadata`` is needed by the source summary alone."""
+    if name in VIEW_NAMES:
+        VIEW_NAMES[name](star).createOrReplaceTempView(name)
+    elif name == "v_open_source_summary" and metadata is not None:
+        open_source_summary(metadata).createOrReplaceTempView(name)
+    else:
+        raise KeyError(name)
+    return spark.table(name)
+
+
 def register_views(spark: SparkSession, star: Star, metadata: DataFrame | None = None) -> list[str]:
     """V7: create or replace the six views as session temp views."""
     names = []

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+from dataclasses import replace
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,16 +28,18 @@ from .operators.staging import load_rejects, stage_rejects, stage_sales, typed_c
 from .operators.upsert import bookkeeping, upsert_by_key
 from .plans import dashboard as D
 from .plans import views as V
+from .plans.catalog import export_tables, register_star
 from .plans.filters import Filters
 from .plans.star import ALL_DIMS, star_join
 from .plans.warehouse import open_tables, read_star, sales_star, warehouse_root, write_star
 from .schemas import NAME_DIMENSIONS
 from .sources import openfda as S
 from .sources.fixtures import broken_raw_sales, landed_raw_sales as raw_sales
-from .sources.landing import broken_event_pages, landed_pages
-from .sources.raw import land_csv, scan_full_table, scan_import_raw, scan_import_raw_checked, scan_projection
+from .sources.landing import broken_event_pages, landed_pages, page_schema
+from .sources.raw import land_csv, scan_import_raw, scan_import_raw_checked, scan_projection
 from .sources.tables import read_table
-from .streaming.incremental import current_events, start_event_stream
+from .operators.sinks import latest_version
+from .streaming.incremental import compact_events, current_events, snapshot_and_tail, start_event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -292,7 +295,9 @@ def queries() -> dict[str, Query]:
     q["scan_import_raw"] = _landed_raw
     q["scan_star_projection"] = lambda s, d: scan_projection(
         _star(s, d).dims["dimTime"], ["id", "timeDay", "timeWeekDay", "timeWeekNum", "timeMonth", "timeYear"])
-    q["scan_full_table"] = lambda s, d: scan_full_table(s, _star_path(s, d, "dimMan"))
+    q["scan_full_table"] = lambda s, d: _exported(s, d, "dimMan")
+    for table in EXPORTED:
+        q[f"export_{table}"] = (lambda table: lambda s, d: _exported(s, d, table))(table)
     for dim in NAME_DIMENSIONS:
         q[f"scan_{dim}"] = (lambda dim: lambda s, d: scan_projection(_star(s, d).dims[dim], ["id", "dimName"]))(dim)
     q["scan_factDrug"] = lambda s, d: scan_projection(fact_output(_star(s, d).fact), [
@@ -309,6 +314,7 @@ def queries() -> dict[str, Query]:
     q["event_page_rejects"] = lambda s, d: _broken_pages(s, d)[1].select("skip", "reason")
     q["source_total_available"] = lambda s, d: S.total_available(pages(s, d, "event"))
     q["event_date_range"] = lambda s, d: S.event_date_range(event_records(s, d))
+    q["event_range_pruned"] = _event_store
     q["load_limit"] = lambda s, d: S.load_limit(ndc_records(s, d), limit=5000, cap=S.NDC_LOAD_CAP).select(
         "seq", "product_ndc")
     q["load_limit_events"] = lambda s, d: S.load_limit(event_records(s, d), limit=500, cap=S.EVENT_LOAD_CAP).select(
@@ -339,10 +345,13 @@ def queries() -> dict[str, Query]:
         distinct_names(stage_sales(raw_sales(s, d, "M")), "Drug_Name"), "dimName")
     q["dim_upsert"] = _dim_upsert
     q["dim_time_upsert"] = _dim_time_upsert
+    q["dim_time_upsert_changed"] = _dim_time_changed
     # 2.4 fact
     q["fact_key_lookup"] = _key_lookup
     q["fact_drug"] = lambda s, d: fact_output(run_etl(raw_sales(s, d, "B")).fact)
     q["fact_lookup_rejects"] = _lookup_rejects
+    q["fact_lookup_rejects_unknown"] = lambda s, d: _staged_out(
+        lookup_rejects(stage_sales(raw_sales(s, d, "A")), _orphaned(_star(s, d))))
     q["fact_drug_double"] = _fact_double
     q["fact_ids"] = lambda s, d: _star(s, d).fact.select(
         "id", "dimCity_id", "dimConTh_id", "dimDrug_id", "dimDrugType_id", "dimMan_id", "dimTime_id", "is_refunded")
@@ -397,6 +406,7 @@ def queries() -> dict[str, Query]:
     q["keep_last_ndc"] = lambda s, d: load_ndc(s, d).current
     q["keep_last_events"] = lambda s, d: load_events(s, d).current
     q["stream_events_keep_last"] = _stream_events
+    q["stream_events_snapshot"] = _stream_snapshot
     q["load_bookkeeping"] = lambda s, d: source_metadata(s, d)
     q["sink_roundtrip"] = _sink_roundtrip
     q["json_rows_keep_nulls"] = lambda s, d: P.json_rows(stored(s, d, "source_ndc_products"), keep_nulls=True)
@@ -409,13 +419,84 @@ def queries() -> dict[str, Query]:
     q["check_source_pks"] = _source_keys
     q["check_not_null"] = _not_null
     q["check_fact_grain"] = lambda s, d: C.fact_grain(_star(s, d))
+    q["check_fact"] = lambda s, d: C.fact_violations(_repeated(_orphaned(_star(s, d))))
+    q["check_unique_dims_planted"] = lambda s, d: C.unique_dims(_doubled(_star(s, d)))
+    q["check_fact_fks_planted"] = lambda s, d: C.fact_foreign_keys(_orphaned(_star(s, d)))
+    q["check_fact_grain_planted"] = lambda s, d: C.duplicates(_repeated(_star(s, d)).fact, ["id"], "factDrug.id")
     return q
 
 
-def _star_path(spark, d, table):
-    return f"{_star(spark, d).path}/names/dim={table}"
+#: Stored tables: the star's and the sources'.
+EXPORTED = ["factDrug", *NAME_DIMENSIONS, "dimTime", "source_metadata", "source_ndc_products", "source_drug_events"]
+
+
+def _exported(spark, d, name: str) -> DataFrame:
+    """S3: the table that the catalog has under ``name``, written whole and read back."""
+    star = _star(spark, d)
+    star = replace(star, fact=fact_output(star.fact))
+    register_star(spark, star, {n: stored(spark, d, n) for n in EXPORTED if n.startswith("source_")})
+    out = _scratch(spark, d, "export")
+    export_tables(spark, out, [name])
+    return spark.read.parquet(f"{out}/{name}")
 
 
 def _view(spark, d, name):
-    V.register_views(spark, _star(spark, d), stored(spark, d, "source_metadata"))
-    return spark.table(name)
+    metadata = stored(spark, d, "source_metadata") if name == "v_open_source_summary" else None
+    return V.register_view(spark, name, _star(spark, d), metadata)
+
+
+# --- faults planted in the stored star: each check has something to find ----------------------
+def _doubled(star: Star) -> Star:
+    """Every third name a second time under another id, and every fifth id under another name."""
+    dims = {}
+    for name, df in star.dims.items():
+        again = df.where(F.col("id") % 3 == 0).withColumn("id", F.col("id") + 1_000_000)
+        if name != "dimTime":
+            again = again.unionByName(df.where(F.col("id") % 5 == 0).withColumn("dimName", F.concat("dimName", F.lit("*"))))
+        dims[name] = df.unionByName(again.select(df.columns))
+    return replace(star, dims=dims, measured={})
+
+
+def _orphaned(star: Star) -> Star:
+    """The star without every fourth drug and every hundredth day."""
+    dims = star.dims | {"dimDrug": star.dims["dimDrug"].where("id % 4 <> 0"), "dimTime": star.dims["dimTime"].where("id % 100 <> 0")}
+    return replace(star, dims=dims, measured={})
+
+
+def _repeated(star: Star) -> Star:
+    """Every thousandth fact row a second time, with no refund flag on every two thousandth."""
+    again = star.fact.where(F.col("id") % 1000 == 0)
+    blank = F.when(F.col("id") % 2000 != 0, F.col("is_refunded")).alias("is_refunded")
+    return replace(star, fact=star.fact.unionByName(again.select(*[blank if c == "is_refunded" else c for c in again.columns])), measured={})
+
+
+def _dim_time_changed(spark, d):
+    """M9: stored days of the refunded sales have other weeks; those that the other sales have too are refreshed."""
+    staged = stage_sales(raw_sales(spark, d, "A"))
+    old = with_surrogate_keys(distinct_days(staged.where(F.col("Is_Refunded") == 1)), "timeDay")
+    return upsert_days(old.withColumn("timeWeekNum", F.lit(99)), distinct_days(staged.where(F.col("Is_Refunded") == 0)))
+
+
+def _event_store(spark, d):
+    """S10 on the store by month: all reports, then one year of them again; the range reads its months alone."""
+    path = _scratch(spark, d, "event_store")
+    events = event_records(spark, d)
+    S.write_event_store(events, path)
+    S.write_event_store(events.where(F.col("receivedate").startswith("2024")), path)
+    return S.read_event_range(spark, path)
+
+
+def _stream_snapshot(spark, d):
+    """The event stream in two runs with a compaction between: snapshot and later batches give the table."""
+    import uuid
+
+    root = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex[:8]}"
+    # the first run sees the pages of the first half of the reports
+    landed = spark.read.schema(page_schema("event")).json(landed_pages(spark, d)["event"])
+    middle = landed.agg(F.max("skip")).first()[0] // 2
+    for half in (F.col("skip") <= middle, F.col("skip") > middle):
+        landed.where(half).write.mode("append").json(f"{root}/landing")
+        start_event_stream(spark, f"{root}/landing", f"{root}/log", f"{root}/_checkpoint", max_files_per_trigger=100).awaitTermination()
+        if latest_version(spark, f"{root}/snapshots") == 0:
+            compact_events(spark, f"{root}/log", f"{root}/snapshots")
+    return snapshot_and_tail(spark, f"{root}/log", f"{root}/snapshots")

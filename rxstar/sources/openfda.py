@@ -23,6 +23,9 @@ EVENT_DATE_TO = "20261231"
 NDC_LOAD_CAP = 1000
 EVENT_LOAD_CAP = 100
 
+#: Parts that the reports of one month are dealt into.
+EVENT_STORE_FILES = 16
+
 
 def read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Landed pages with the declared schema."""
@@ -159,6 +162,26 @@ def event_date_range(events: DataFrame, start: str = EVENT_DATE_FROM, end: str =
     return events.where(F.col("receivedate").between(F.lit(start), F.lit(end)))
 
 
+def write_event_store(events: DataFrame, path: str) -> None:
+    """Store flattened reports by the month they were received in.
+
+    Months that ``events`` has are replaced, all others stay (dynamic overwrite), so a range can be
+    loaded again by itself.  Rows are dealt by month and a hash of the report: a month that holds a
+    third of all reports is several tasks and files.
+    """
+    month = F.substring("receivedate", 1, 6)
+    spread = F.pmod(F.xxhash64("safetyreportid"), F.lit(EVENT_STORE_FILES))
+    dealt = events.withColumn("received_month", month).repartition("received_month", spread)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("received_month").parquet(path)
+
+
+def read_event_range(spark: SparkSession, path: str, start: str = EVENT_DATE_FROM, end: str = EVENT_DATE_TO) -> DataFrame:
+    """S10 on the event store: only the folders of the months from ``start`` to ``end`` are read."""
+    stored = spark.read.option("basePath", path).parquet(path)
+    months = F.col("received_month").cast("string").between(start[:6], end[:6])
+    return event_date_range(stored.where(months), start, end).drop("received_month")
+
+
 def load_limit(recs: DataFrame, limit: int, cap: int) -> DataFrame:
     """The first ``min(limit, cap)`` records in insert order (a top-k on ``seq``)."""
     n = max(min(limit, cap), 0)

@@ -65,7 +65,7 @@ def scan_projection(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).orderBy(key)
 
 
-def scan_full_table(spark: SparkSession, path: str) -> DataFrame:
-    """S3: every column of a stored table, discovered from its own schema."""
-    df = spark.read.parquet(path)
-    return df.select(*df.columns)
+def scan_full_table(spark: SparkSession, name: str) -> DataFrame:
+    """S3: every column of a table that the catalog knows by ``name``."""
+    columns = [c.name for c in spark.catalog.listColumns(name)]
+    return spark.table(name).select(*[f"`{c}`" for c in columns])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.sinks import commit_version, latest_version, version_path
 from ..operators.upsert import keep_last
 from ..sources.landing import page_schema
 from ..sources.openfda import flatten_events, records
@@ -42,11 +43,14 @@ def start_event_stream(
     return writer.start()
 
 
+def _latest(log: DataFrame) -> DataFrame:
+    """Keep-last by report, in (batch, position) order; both columns stay."""
+    return keep_last(log, ["safetyreportid"], ["batch_id", "seq"])
+
+
 def current_events(spark: SparkSession, log_path: str) -> DataFrame:
-    """The source_drug_events table as of the last committed batch."""
-    log = spark.read.parquet(log_path)
-    latest = keep_last(log, ["safetyreportid"], ["batch_id", "seq"])
-    return latest.drop("batch_id", "seq")
+    """The source_drug_events table as of the last committed batch, from the whole log."""
+    return _latest(spark.read.parquet(log_path)).drop("batch_id", "seq")
 
 
 def batches_written(spark: SparkSession, log_path: str) -> DataFrame:
@@ -55,11 +59,34 @@ def batches_written(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def compact_events(spark: SparkSession, log_path: str, base: str) -> str:
-    """Publish the keep-last snapshot as a new version (P5), so readers stop paying merge-on-read.
+    """Publish the keep-last snapshot as a new version (P5): the last one, and the batches after it.
 
-    Later batches keep landing in the log; a reader combines the newest
-    snapshot with the batches after it, or simply re-reads the log.
+    The snapshot keeps each row's batch and position, and its version records the last batch it
+    holds, so ``snapshot_and_tail`` and the next compaction read only the batches after that.
     """
-    from ..operators.sinks import publish_version
+    through = spark.read.parquet(log_path).agg(F.max("batch_id")).first()[0]
+    version = latest_version(spark, base) + 1
+    path = version_path(base, version)
+    _latest(_snapshot_rows(spark, log_path, base)).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(version, through)], _THROUGH).write.mode("overwrite").parquet(f"{base}/_through/version={version}")
+    commit_version(spark, base, version)
+    return path
+
+
+_THROUGH = "number long, batch_id long"
+
+
+def _snapshot_rows(spark: SparkSession, log_path: str, base: str) -> DataFrame:
+    """Rows of the newest snapshot and of the log's later batches (all batches where there is no snapshot)."""
+    log = spark.read.parquet(log_path)
+    version = latest_version(spark, base)
+    if not version:
+        return log
+    through = spark.read.schema(_THROUGH).parquet(f"{base}/_through/version={version}").first()["batch_id"]
+    tail = log.where(F.col("batch_id") > F.lit(-1 if through is None else through))  # whole folders are left out
+    return spark.read.schema(log.schema).parquet(version_path(base, version)).unionByName(tail)
+
 
-    return publish_version(current_events(spark, log_path), base)
+def snapshot_and_tail(spark: SparkSession, log_path: str, base: str) -> DataFrame:
+    """The table as of the last committed batch: the newest snapshot with the batches after it."""
+    return _latest(_snapshot_rows(spark, log_path, base)).drop("batch_id", "seq")
