@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.collation import BINARY, fold, representatives
 from ..functions.numbering import number_rows
+from .upsert import merge_rows
 
 
 def distinct_names(staged: DataFrame, column: str, collation: str = BINARY) -> DataFrame:
@@ -31,13 +32,6 @@ def distinct_days(staged: DataFrame, column: str = "Sale_Timestamp") -> DataFram
     return staged.where(F.col(column).isNotNull()).select(*time_attributes(F.col(column))).distinct()
 
 
-def _max_id(dim: DataFrame | None) -> int:
-    if dim is None:
-        return 0
-    row = dim.agg(F.max("id").alias("m")).first()
-    return int(row["m"] or 0)
-
-
 def with_surrogate_keys(values: DataFrame, order_col: str, start: int = 0) -> DataFrame:
     """M7: ids start+1, start+2, ... in ``order_col`` order (distributed numbering)."""
     numbered = number_rows(values, [order_col], id_col="id", start=start, id_type=T.IntegerType())
@@ -48,20 +42,11 @@ def upsert_names(existing: DataFrame | None, names: DataFrame, collation: str =
     """M8: existing names keep their id and spelling; new names are appended after the current maximum."""
     if existing is None:
         return with_surrogate_keys(names, "dimName")
-    known = existing.select(fold(F.col("dimName"), collation).alias("_known"))
-    new = names.join(known, fold(F.col("dimName"), collation) == F.col("_known"), "left_anti")
-    appended = with_surrogate_keys(new, "dimName", start=_max_id(existing))
-    return existing.select("id", "dimName").unionByName(appended)
+    return merge_rows(existing, names, ["dimName"], number="id", match=lambda c: fold(c, collation))
 
 
 def upsert_days(existing: DataFrame | None, days: DataFrame) -> DataFrame:
     """M9: a known day keeps its id and takes the new attributes; new days are appended."""
     if existing is None:
         return with_surrogate_keys(days, "timeDay")
-    known = existing.select("id", "timeDay")
-    refreshed = days.join(known, "timeDay", "inner")
-    untouched = existing.join(days.select("timeDay"), "timeDay", "left_anti")
-    new = days.join(known, "timeDay", "left_anti")
-    appended = with_surrogate_keys(new, "timeDay", start=_max_id(existing))
-    cols = ["id", "timeDay", "timeWeekDay", "timeWeekNum", "timeMonth", "timeYear"]
-    return untouched.select(cols).unionByName(refreshed.select(cols)).unionByName(appended.select(cols))
+    return merge_rows(existing, days, ["timeDay"], number="id")

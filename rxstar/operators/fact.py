@@ -26,6 +26,7 @@ from ..schemas import TIME_DIM as TIME_DIM_SCHEMA
 from .dimensions import time_attributes
 from .sinks import commit_version, latest_version, version_path
 from .staging import stage_sales
+from .upsert import merge_rows
 
 NAME_KEYS = list(NAME_DIMENSIONS.values())
 TIME_DIM = "dimTime"
@@ -121,12 +122,7 @@ def dimension_members(grain: DataFrame, existing: dict[str, DataFrame] | None =
         name = F.date_format("timeDay", DAY_TEXT) if dim == TIME_DIM else F.col("dimName")
         part = df.select(F.lit(dim).alias("dim"), "id", name.alias("dimName"))
         old = part if old is None else old.unionByName(part)
-    known = old.select(F.col("dim").alias("_dim"), fold(F.col("dimName"), collation).alias("_known"))
-    new = found.join(known, (F.col("dim") == F.col("_dim")) & (fold(F.col("dimName"), collation) == F.col("_known")), "left_anti")
-    starts = old.groupBy("dim").agg(F.max("id").alias("_start"))  # one row per dimension
-    new = new.join(F.broadcast(starts), "dim", "left").fillna({"_start": 0})
-    numbered = number_rows(new, ["dimName"], start=F.col("_start"), id_type=T.IntegerType(), group_cols=["dim"])
-    return numbered.select("dim", "id", "dimName").unionByName(old)
+    return merge_rows(old, found, ["dim", "dimName"], number="id", groups=["dim"], match=lambda c: fold(c, collation))
 
 
 def split_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:

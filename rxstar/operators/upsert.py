@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
+
+from ..functions.joins import bounded_broadcast
+from ..functions.numbering import number_rows
 from ..schemas import SOURCE_METADATA
 
 # The sources the loaders record.
@@ -27,6 +34,57 @@ def upsert_by_key(existing: DataFrame, changes: DataFrame, key: list[str]) -> Da
     )
 
 
+def same(c: Column) -> Column:
+    """Keys are equal when their values are."""
+    return c
+
+
+def merge_rows(
+    existing: DataFrame,
+    changes: DataFrame,
+    key: list[str],
+    keep: list[str] | None = None,
+    number: str | None = None,
+    groups: list[str] | None = None,
+    match: Callable[[Column], Column] = same,
+    numbered: DataFrame | None = None,
+) -> DataFrame:
+    """MERGE by key (U1, M8, M9): the columns of ``existing``, one row for each key of either side.
+
+    - A matched row takes the change's columns (NULLs too), but for those in ``keep``.
+    - Rows of ``existing`` without a change stay.
+    - A change without a row is appended.  With ``number`` it gets the next numbers of that column,
+      in the order of the key, after the highest of ``numbered`` (``existing`` where not given); with
+      ``groups`` for each group by itself.
+    - Text keys are compared by ``match`` (a collation's key); ``changes`` is unique by key.
+    """
+    keep = [*(keep or []), *([number] if number else [])]
+    text = {k for k in key if isinstance(existing.schema[k].dataType, T.StringType) and k not in (groups or [])}
+    new = changes.select(F.lit(True).alias("_new"), *[F.col(c).alias(f"_new_{c}") for c in changes.columns])
+
+    def on(side: str) -> Column:
+        tests = [(match(F.col(k)) if k in text else F.col(k)) == (match(F.col(f"{side}{k}")) if k in text else F.col(f"{side}{k}")) for k in key]
+        return reduce(and_, tests)
+
+    known = [c for c in existing.columns if c in changes.columns and c not in keep and c not in key]
+    taken = existing.join(new, on("_new_"), "left").select(
+        *[F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in known else F.col(c) for c in existing.columns]
+    )
+    old = existing.select(*[F.col(k).alias(f"_old_{k}") for k in key])
+    fresh = changes.join(old, on("_old_"), "left_anti")
+    if number:
+        highest = (numbered if numbered is not None else existing).groupBy(*(groups or [])).agg(F.max(number).alias("_start"))
+        if groups:
+            start, n = F.col("_start"), highest.count()
+            fresh = fresh.join(bounded_broadcast(highest, n), groups, "left").fillna({"_start": 0})
+        else:
+            start = int(highest.first()[0] or 0)
+        order = [k for k in key if k not in (groups or [])]
+        fresh = number_rows(fresh, order, number, start, existing.schema[number].dataType, groups)
+    fill = [F.col(c) if c in fresh.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in existing.columns]
+    return taken.unionByName(fresh.select(*fill))
+
+
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """INSERT OR REPLACE in ``order``: per key the whole last row wins.
 

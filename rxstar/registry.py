@@ -21,11 +21,12 @@ from .functions.exact import as_double
 from .functions.once import once
 from .operators import quality as C
 from .operators import sinks as P
+from .operators.buckets import create_table, merge_table, read_table as read_buckets
 from .operators.dimensions import distinct_days, distinct_names, upsert_days, upsert_names, with_surrogate_keys
 from .operators.fact import Star, key_lookup, lookup_rejects, run_etl
 from .operators.load import LoadedSource, load_source
 from .operators.staging import load_rejects, stage_rejects, stage_sales, typed_columns
-from .operators.upsert import bookkeeping, upsert_by_key
+from .operators.upsert import bookkeeping
 from .plans import dashboard as D
 from .plans import views as V
 from .plans.catalog import export_tables, register_star
@@ -173,17 +174,29 @@ def _dim_names_ci(spark, d) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _upsert_metadata(spark, d):
-    """The first run's metadata is published, the second run is merged into it by key,
-    and the merge is published as the next version (no table is updated in place)."""
+def _fresh(spark, d, name: str) -> str:
     import uuid
 
-    base = f"{_scratch(spark, d, 'metadata_versions')}/{uuid.uuid4().hex[:8]}"
-    P.publish_version(source_metadata(spark, d, FIRST_RUN), base)
-    current = P.read_current(spark, base)
-    second = source_metadata(spark, d, SECOND_RUN, only_open=True)
-    P.publish_version(upsert_by_key(current, second, ["source_key"]), base)
-    return P.read_current(spark, base).orderBy("source_key")
+    return f"{_scratch(spark, d, name)}/{uuid.uuid4().hex[:8]}"
+
+
+def _upsert_metadata(spark, d):
+    """The first run's metadata is stored in buckets of its key, and the second run is merged into it."""
+    base = _fresh(spark, d, "metadata")
+    create_table(source_metadata(spark, d, FIRST_RUN), base, ["source_key"], buckets=8)
+    merge_table(spark, base, source_metadata(spark, d, SECOND_RUN, only_open=True))
+    return read_buckets(spark, base).orderBy("source_key")
+
+
+def _merge_products(spark, d):
+    """U1 on the products: those of size 13 move to another labeler, those of size 14 get a second package."""
+    base = _fresh(spark, d, "products")
+    products = load_ndc(spark, d).current
+    create_table(products, base, ["product_ndc"])
+    moved = products.where(F.col("product_ndc").endswith("-013")).withColumn("labeler_name", F.concat(F.coalesce("labeler_name", F.lit("")), F.lit(" (moved)")))
+    second = products.where(F.col("product_ndc").endswith("-014")).withColumn("product_ndc", F.concat("product_ndc", F.lit("-B")))
+    merge_table(spark, base, moved.unionByName(second))
+    return read_buckets(spark, base)
 
 
 # --- sales helpers --------------------------------------------------------------
@@ -403,6 +416,7 @@ def queries() -> dict[str, Query]:
     q["view_open_source_summary"] = lambda s, d: _view(s, d, "v_open_source_summary")
     # 2.8 upserts and sinks
     q["upsert_metadata"] = _upsert_metadata
+    q["merge_products"] = _merge_products
     q["keep_last_ndc"] = lambda s, d: load_ndc(s, d).current
     q["keep_last_events"] = lambda s, d: load_events(s, d).current
     q["stream_events_keep_last"] = _stream_events
