@@ -16,15 +16,19 @@ stand.  There is no least count.  Instead the co-occurrence must be more than ch
 Chernoff bound, at most ``FALSE_TERMS`` of all different terms may be expected to stand as often
 with an entity (or pool) if they were dealt at random.  Copies are no further evidence.
 
-- Offsets come from the lengths of the matches and of the gaps between them.
-- Only texts with personal data are paired with terms.  Entities, pools and terms that stand in
-  too few texts to pass the bound with any partner are not paired, which changes no result.
-  Counts of terms cover all texts (broadcast within a checked bound, else joined after map-side
-  counting).
-- N, n(term), n(entity) and n(term, entity) are counts of different texts, so copies change nothing.
-
-Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Repeated rows are
-treated alike; an empty table gives an empty result; extra columns are ignored.
+- The formats are matched once for each row; rows, spans and texts are stored.  Offsets are running
+  sums of the lengths of the matches and of the gaps between them.  Sums, masks and clean texts take
+  n log n steps for n spans of a text (``scan``), so a long text of many spans is no burden.
+- Only texts with personal data are paired with terms.  Entities, pools, terms and pairs that could
+  not pass the bound, or not reach the share, even if they always stood together are not paired,
+  which changes no result.  Counts of terms cover all texts and all terms, also the short ones.
+- N, n(term), n(entity) and n(term, entity) are counts of different texts (by 128 bits of SHA-256), so
+  copies change nothing.
+
+Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Long texts are
+whole.  Matches of one kind do not overlap (leftmost first); those of several kinds may, and all are
+given.  A share that just reaches a threshold counts as reaching it.  Repeated rows are treated
+alike; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.joins import bounded_broadcast
 from .common import read, store
@@ -49,34 +53,44 @@ PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
-SHORTEST = 3
 #: Terms that may be expected to pass with one entity or pool by chance.
 FALSE_TERMS = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value computed once: inside nested functions it would be again and again."""
+    return F.transform(F.array(value), of)[0]
+
+
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``op`` (0 is neutral) over an array of ints.
+
+    In step k every value takes in the one 2^k places before it, so log n steps are enough.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.least(F.pow(F.lit(2.0), k).cast("int"), F.size(acc))
+        return F.zip_with(acc, F.slice(F.concat(F.array_repeat(F.lit(0), back), acc), F.lit(1), F.size(acc)), op)
+
+    return F.aggregate(steps, values.cast("array<int>"), step)
+
+
+def spans_of(found: Column, gaps: Column) -> Column:
+    """Array of start, end, value: the matches, with the lengths of the gaps before them."""
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: (g + F.length(v)).cast("int"))
+    ends = scan(lengths, lambda x, y: x + y)
+    return F.zip_with(found, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches: array of start, end, value."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(F.length(m["value"]), F.lit(0))).alias("at"),
-            F.when(m["value"].isNull(), acc["spans"])
-            .otherwise(
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + F.length(m["value"])).alias("end"), m["value"].alias("value"))),
-                )
-            )
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast(_SPAN))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    placed = let(found, lambda f: F.when(F.size(f) > 0, let(gaps, lambda g: spans_of(f, g))).otherwise(F.array().cast(_SPAN)))
+    return placed.cast(_SPAN)
 
 
 def luhn(digits: Column) -> Column:
@@ -115,7 +129,7 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= SHORTEST)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def _pool(kind: str, value: Column) -> Column:
@@ -160,41 +174,60 @@ def disclosing(texts: DataFrame, different: DataFrame, total: int) -> DataFrame:
     partners = counts.filter(can_pass("n_term"))
     partners = bounded_broadcast(partners, *partners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first())
     terms = terms.join(partners, "term")
-    pairs = entities.join(terms, "hash").groupBy("entity", "term")
+
+    def chance(both: Column) -> Column:
+        return F.greatest(
+            _divergence(both, F.col("n_entity"), F.col("n_term") / n), _divergence(both, F.col("n_term"), F.col("n_entity") / n)
+        )
+
+    def share(both: Column) -> Column:
+        pmi = F.log2(n * both / (F.col("n_term") * F.col("n_entity")))
+        return pmi / F.log2(n / F.col("n_entity"))
+
+    # together as often as at all: bound and share only rise with the count of both (less a little for rounding)
+    most = F.least("n_entity", "n_term")
+    hopeful = (chance(most) >= least * 0.999999) & (share(most) >= GENERALISE - 1e-9)
+    pairs = entities.join(terms, "hash").filter(hopeful).groupBy("entity", "term")
     pairs = pairs.agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
-    chance = F.greatest(
-        _divergence(F.col("n_both"), F.col("n_entity"), F.col("n_term") / n),
-        _divergence(F.col("n_both"), F.col("n_term"), F.col("n_entity") / n),
-    )
-    pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    share = pmi / F.log2(n / F.col("n_entity"))
-    level = F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1)
-    return pairs.filter(chance >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
+    both = F.col("n_both")
+    level = F.when(share(both) >= REMOVE, 2).when(share(both) >= GENERALISE, 1)
+    return pairs.filter(chance(both) >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
+
+
+def rebuilt(text: Column, spans: Column, fill: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with its spans (sorted by start) replaced.
+
+    ``fill`` gives what stands for a span from: the text before it that no earlier span covers,
+    the end of what is covered so far, and the span.
+    """
+
+    def pieces(chars: Column) -> Column:
+        def whole(ends: Column) -> Column:
+            at = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+            before = lambda a, s: F.array_join(F.slice(chars, a + 1, F.greatest(s["start"] - a, F.lit(0))), "")
+            parts = F.zip_with(at, spans, lambda a, s: fill(before(a, s), a, s))
+            last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0))
+            return F.concat(F.array_join(parts, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
+
+        return let(scan(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), whole)
+
+    return let(F.split(text, ""), pieces)
 
 
 def _masked() -> Column:
     """The text with its accepted spans blanked, at the same length."""
     spans = F.sort_array(F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]))
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["end"] - s["start"])))
-            .otherwise(F.concat(acc["out"], F.repeat(F.lit(" "), s["end"] - acc["at"])))
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
+    blank = lambda n: F.repeat(F.lit(" "), F.greatest(n, F.lit(0)))
+    return let(spans, lambda x: rebuilt(F.col("text"), x, lambda before, at, s: F.concat(before, blank(s["end"] - F.greatest(at, s["start"])))))
 
 
-def _different(rows: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
-    """Every different text of ``rows`` (hash, text) once, and their number.  Only copied texts are shuffled."""
+def _different(base: DataFrame) -> tuple[DataFrame, int]:
+    """Every different text of ``base`` once, and their number.  Only copied texts are shuffled."""
     copies = store(base.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     groups, members = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     copied = bounded_broadcast(copies.select("hash"), groups, 64 * groups)
-    single = rows.join(copied, "hash", "left_anti")
-    return single.unionByName(rows.join(copied, "hash", "left_semi").dropDuplicates(["hash"])), base.count() - members + groups
+    single = base.join(copied, "hash", "left_anti")
+    return single.unionByName(base.join(copied, "hash", "left_semi").dropDuplicates(["hash"])), base.count() - members + groups
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -203,18 +236,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     One row for each row of ``docs`` (doc_id, text).
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc_id", "text", *[_spans(k).alias(k) for k in KINDS])
+    digest = F.unhex(F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(32)))
+    # the formats are matched here alone; all else reads what is stored
+    base = store(rows.select("doc_id", digest.alias("hash"), "text", *[_spans(k).alias(k) for k in KINDS]), "pii")
     some = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    # the texts are kept only where they hold personal data
-    base = store(found.select("doc_id", *KINDS, digest.alias("hash"), F.when(some, F.col("text")).alias("text")), "pii")
     terms = F.array_distinct(_terms(F.when(some, _masked()).otherwise(F.col("text"))))
     entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
-    texts = base.filter("text IS NOT NULL").dropDuplicates(["hash"])
+    texts = base.filter(some).drop("doc_id").dropDuplicates(["hash"])
     texts = store(texts.select("hash", "text", *KINDS, terms.alias("terms"), entities.alias("entities")), "pii-texts")
-    different, total = _different(rows.select(digest.alias("hash"), "text"), base)
-    different = different.select("text", *[_spans(k).alias(k) for k in KINDS]).select(terms.alias("terms"))
-    flagged = store(disclosing(texts, different, total), "flagged")
+    different, total = _different(base.drop("doc_id"))
+    flagged = store(disclosing(texts, different.select(terms.alias("terms")), total), "flagged")
     flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
     of_text = (
         texts.select("hash", F.explode("entities").alias("entity"))
@@ -223,9 +254,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         .agg(F.max("level").alias("level"))
     )
     # rows without personal data join nothing: a key of their own keeps them from one task
-    own = F.xxhash64("doc_id").cast("string")
-    keyed = base.withColumn("hash", F.when(F.col("text").isNotNull(), F.col("hash")).otherwise(own)).drop("text")
-    return keyed.join(_term_spans(texts, of_text), "hash", "left").select(
+    own = F.unhex(F.md5(F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    keyed = base.select("doc_id", *KINDS, F.when(some, F.col("hash")).otherwise(own).alias("hash"))
+    return keyed.join(_term_spans(texts, store(of_text, "flagged-of-text")), "hash", "left").select(
         "doc_id", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,level:int>>")).alias("terms")
     )
 
@@ -236,20 +267,12 @@ def _entities(kind: str, of: Callable) -> Column:
 
 def _term_spans(texts: DataFrame, of_text: DataFrame) -> DataFrame:
     """hash, terms: where the flagged terms stand in the masked text (its offsets are the text's)."""
-    held = texts.join(of_text.select("hash").distinct(), "hash", "left_semi")
-    # gaps and terms alternate; a running sum of their lengths gives the places
-    held = held.select("hash", _masked().alias("text"))
-    parts = held.select(
-        "hash",
-        F.posexplode(
-            F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)).alias("word"))
-        ).alias("n", "part"),
-    ).select("hash", "n", F.length("part.gap").alias("gap"), F.col("part.word").alias("word"))
-    before = Window.partitionBy("hash").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(before).cast("int")
-    placed = parts.withColumn("end", end).filter("word IS NOT NULL")
-    placed = placed.select("hash", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
-    hit = placed.join(of_text, ["hash", "term"])
+    n, held_bytes, held = of_text.agg(F.count(F.lit(1)), F.sum(16 + F.octet_length("term")), F.count_distinct("hash")).first()
+    small = bounded_broadcast(of_text, n, held_bytes or 0)
+    keys = bounded_broadcast(of_text.select("hash").distinct(), held, 16 * held)
+    words = texts.join(keys, "hash", "left_semi").select("hash", _masked().alias("text")).select("hash", matches(F.col("text"), TERM).alias("words"))
+    placed = words.select("hash", F.inline("words")).select("hash", "start", "end", F.lower("value").alias("term"))
+    hit = placed.join(small, ["hash", "term"])
     return hit.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "level"))).alias("terms"))
 
 
@@ -262,18 +285,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = found.select(F.col("doc_id").alias("_key"), F.sort_array(F.concat(*kinds, terms)).alias("_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("_key")).join(spans, "_key", "left")
-    clean = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        # a span that overlaps an earlier one adds only what lies beyond it
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["as"]))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
+    # a span that overlaps an earlier one adds only what lies beyond it
+    clean = rebuilt(F.col("text"), F.col("_spans"), lambda before, at, s: F.when(s["start"] >= at, F.concat(before, s["as"])).otherwise(F.lit("")))
     return joined.select("doc_id", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")).alias("clean"))
 
 

@@ -2,15 +2,19 @@
 
 import base64
 import hashlib
+import random
 import re
+import time
 from collections import Counter
-from math import log2
+from math import log, log2
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rxstar.llm import bpe, pii, secrets, url_filter
 
@@ -112,6 +116,77 @@ def test_pii_identifiers_with_digits_are_terms(spark):
     assert texts.select(pii._masked()).first()[0] == "é 🙂 " + " " * 5 + " x " + " " * 17 + " 300.1.1.1"
 
 
+def plain_flags(rows):
+    """(entity or pool, term) -> level, by plain counting over different texts."""
+    texts = []
+    for text in sorted({t or "" for _, t in rows}):
+        spans = plain_pii(text)
+        masked = list(text)
+        for _, a, b in spans:
+            masked[a:b] = " " * (b - a)
+        held = set()
+        for kind, a, b in spans:
+            value = text[a:b]
+            digits = re.sub("[^0-9]", "", value)
+            named = {"email": (value.lower(), "domain:" + value.lower().split("@")[-1]),
+                     "ip": (value, "network:" + ".".join(p.lstrip("0") or "0" for p in value.split(".")[:2])),
+                     "card": (digits, "issuer:" + digits[:6]), "phone": (digits, "area:" + digits[:-7])}[kind]
+            held |= {f"{kind}:{named[0]}", named[1]}
+        texts.append((set(regex.findall(r"[\p{L}\p{N}]+", "".join(masked).lower())), held))
+    n = len(texts)
+    n_t, n_e = Counter(t for ts, _ in texts for t in ts), Counter(e for _, es in texts for e in es)
+    both = Counter((e, t) for ts, es in texts for e in es for t in ts)
+    least = log(len(n_t) / pii.FALSE_TERMS)
+
+    def divergence(k, m, p):
+        rate = k / m
+        return 0.0 if rate <= p else k * log(rate / p) + ((m - k) * log((1 - rate) / (1 - p)) if k < m else 0.0)
+
+    out = {}
+    for (e, t), k in both.items():
+        if n_e[e] < n and max(divergence(k, n_e[e], n_t[t] / n), divergence(k, n_t[t], n_e[e] / n)) >= least:
+            share = log2(n * k / (n_t[t] * n_e[e])) / log2(n / n_e[e])
+            if share >= pii.GENERALISE:
+                out[e, t] = 2 if share >= pii.REMOVE else 1
+    return out, texts
+
+
+def test_pii_flags_equal_plain_counting(spark):
+    """All terms (short ones too), entities and pools of a few hundred texts, some of them copied."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        words = rng.choices([f"w{k}" for k in range(40)] + list("abcde"), k=12)
+        if i % 4 == 0:
+            d = rng.randint(0, 3)
+            words += [f"u{rng.randint(0, 20)}@d{d}.org", f"qq{d}", "zz" if rng.random() < 0.5 else "xy"]
+        if i % 7 == 0:
+            words += [f"10.{i % 3}.0.{i % 5}", f"net{i % 3}", "4111 1111 1111 1111 and", f"+49 {i % 2}0 1234567", f"t{i % 2}"]
+        rng.shuffle(words)
+        rows += [(i, " ".join(words))] * (30 if i % 50 == 0 else 1)
+    flags, _ = plain_flags(rows)
+    assert len(flags) > 10 and any(len(t) < 3 for _, t in flags)
+    docs = spark.createDataFrame(rows, DOC)
+    base = docs.select("text", *[pii._spans(k).alias(k) for k in pii.KINDS]).dropDuplicates(["text"])
+    terms = F.array_distinct(pii._terms(pii._masked()))
+    entities = F.array_distinct(F.concat(*[pii._entities(k, of) for k in pii.KINDS for of in (pii._entity, pii._pool)]))
+    texts = base.select(F.md5("text").alias("hash"), terms.alias("terms"), entities.alias("entities"))
+    got = pii.disclosing(texts.filter(F.size("entities") > 0), texts.select("terms"), texts.count())
+    assert {(r["entity"], r["term"]): r["level"] for r in got.collect()} == flags
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """32,000 addresses (and cards that overlap phones) in one text take seconds, and clean as they should."""
+    text = " ".join(f"a{i}@b.co" for i in range(32_000))
+    odd = "+4111 1111 1111 1111 " * 2000
+    t = time.time()
+    out = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame([(1, text), (2, odd)], DOC)).collect()}
+    assert len(out[1]["email"]) == 32_000 and [(k, s["start"], s["end"]) for k in pii.KINDS for s in out[1][k]][-1] == plain_pii(text)[-1]
+    assert [(k, s["start"], s["end"]) for k in pii.KINDS for s in out[2][k]] == plain_pii(odd)
+    clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(spark.createDataFrame([(1, text)], DOC)).collect()}
+    assert clean[1] == " ".join(["[email]"] * 32_000) and time.time() - t < 90
+
+
 def test_pii_uses_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.c")], DOC)
     plan = pii.find_pii(df)._jdf.queryExecution().executedPlan().toString()
