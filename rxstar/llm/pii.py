@@ -16,9 +16,10 @@ stand.  There is no least count.  Instead the co-occurrence must be more than ch
 Chernoff bound, at most ``FALSE_TERMS`` of all different terms may be expected to stand as often
 with an entity (or pool) if they were dealt at random.  Copies are no further evidence.
 
-- The formats are matched once for each row; rows, spans and texts are stored.  Offsets are running
-  sums of the lengths of the matches and of the gaps between them.  Sums, masks and clean texts take
-  n log n steps for n spans of a text (``scan``), so a long text of many spans is no burden.
+- The formats are matched once for each row, as long as the hashes of the texts that hold personal
+  data can be broadcast to tell them from the others.
+- Offsets are running sums of the lengths of the matches and of the gaps between them.  Sums, masks
+  and clean texts take n log n steps for n spans of a text (``scan``).
 - Only texts with personal data are paired with terms.  Entities, pools, terms and pairs that could
   not pass the bound, or not reach the share, even if they always stood together are not paired,
   which changes no result.  Counts of terms cover all texts and all terms, also the short ones.
@@ -38,7 +39,7 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.joins import bounded_broadcast
+from ..functions.joins import BROADCAST_MAX_ROWS, bounded_broadcast
 from .common import read, store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -169,29 +170,30 @@ def disclosing(texts: DataFrame, different: DataFrame, total: int) -> DataFrame:
     entities = texts.select("hash", F.explode("entities").alias("entity"))
     judged = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(can_pass("n_entity"))
     entities = entities.join(judged, "entity")
-    held = texts.join(entities.select("hash").distinct(), "hash", "left_semi")
-    terms = held.select("hash", F.explode("terms").alias("term"))
+    ranges = entities.groupBy("hash").agg(F.min("n_entity").alias("low"), F.max("n_entity").alias("high"))
+    terms = texts.join(ranges, "hash").select("hash", "low", "high", F.explode("terms").alias("term"))
     partners = counts.filter(can_pass("n_term"))
     partners = bounded_broadcast(partners, *partners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first())
     terms = terms.join(partners, "term")
 
-    def chance(both: Column) -> Column:
-        return F.greatest(
-            _divergence(both, F.col("n_entity"), F.col("n_term") / n), _divergence(both, F.col("n_term"), F.col("n_entity") / n)
-        )
+    def chance(both: Column, of: Column) -> Column:
+        return F.greatest(_divergence(both, of, F.col("n_term") / n), _divergence(both, F.col("n_term"), of / n))
 
-    def share(both: Column) -> Column:
-        pmi = F.log2(n * both / (F.col("n_term") * F.col("n_entity")))
-        return pmi / F.log2(n / F.col("n_entity"))
+    def share(both: Column, of: Column) -> Column:
+        return F.log2(n * both / (F.col("n_term") * of)) / F.log2(n / of)
 
-    # together as often as at all: bound and share only rise with the count of both (less a little for rounding)
-    most = F.least("n_entity", "n_term")
-    hopeful = (chance(most) >= least * 0.999999) & (share(most) >= GENERALISE - 1e-9)
-    pairs = entities.join(terms, "hash").filter(hopeful).groupBy("entity", "term")
+    def hopeful(of: Column) -> Column:
+        # together as often as at all: bound and share only rise with the count of both (less a little for rounding)
+        most = F.least(of, F.col("n_term"))
+        return (chance(most, of) >= least * 0.999999) & (share(most, of) >= GENERALISE - 1e-9)
+
+    # always together, bound and share are highest for the entity whose count is nearest to the term's
+    terms = terms.filter(hopeful(F.least(F.greatest("n_term", "low"), F.col("high")))).drop("low", "high")
+    pairs = entities.join(terms, "hash").filter(hopeful(F.col("n_entity"))).groupBy("entity", "term")
     pairs = pairs.agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
-    both = F.col("n_both")
-    level = F.when(share(both) >= REMOVE, 2).when(share(both) >= GENERALISE, 1)
-    return pairs.filter(chance(both) >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
+    both, of = F.col("n_both"), F.col("n_entity")
+    level = F.when(share(both, of) >= REMOVE, 2).when(share(both, of) >= GENERALISE, 1)
+    return pairs.filter(chance(both, of) >= least).select("entity", "term", level.alias("level")).filter("level IS NOT NULL")
 
 
 def rebuilt(text: Column, spans: Column, fill: Callable[[Column, Column, Column], Column]) -> Column:
@@ -221,13 +223,13 @@ def _masked() -> Column:
     return let(spans, lambda x: rebuilt(F.col("text"), x, lambda before, at, s: F.concat(before, blank(s["end"] - F.greatest(at, s["start"])))))
 
 
-def _different(base: DataFrame) -> tuple[DataFrame, int]:
-    """Every different text of ``base`` once, and their number.  Only copied texts are shuffled."""
+def _different(rows: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
+    """Every different text of ``rows`` (hash, text) once, and their number.  Only copied texts are shuffled."""
     copies = store(base.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     groups, members = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     copied = bounded_broadcast(copies.select("hash"), groups, 64 * groups)
-    single = base.join(copied, "hash", "left_anti")
-    return single.unionByName(base.join(copied, "hash", "left_semi").dropDuplicates(["hash"])), base.count() - members + groups
+    single = rows.join(copied, "hash", "left_anti")
+    return single.unionByName(rows.join(copied, "hash", "left_semi").dropDuplicates(["hash"])), base.count() - members + groups
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -237,15 +239,23 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.unhex(F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(32)))
-    # the formats are matched here alone; all else reads what is stored
-    base = store(rows.select("doc_id", digest.alias("hash"), "text", *[_spans(k).alias(k) for k in KINDS]), "pii")
     some = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    terms = F.array_distinct(_terms(F.when(some, _masked()).otherwise(F.col("text"))))
+    found = rows.select("doc_id", digest.alias("hash"), "text", *[_spans(k).alias(k) for k in KINDS])
+    # the texts are kept only where they hold personal data
+    base = store(found.withColumn("text", F.when(some, F.col("text"))), "pii")
     entities = F.array_distinct(F.concat(*[_entities(k, of) for k in KINDS for of in (_entity, _pool)]))
     texts = base.filter(some).drop("doc_id").dropDuplicates(["hash"])
-    texts = store(texts.select("hash", "text", *KINDS, terms.alias("terms"), entities.alias("entities")), "pii-texts")
-    different, total = _different(base.drop("doc_id"))
-    flagged = store(disclosing(texts, different.select(terms.alias("terms")), total), "flagged")
+    texts = texts.select("hash", "text", *KINDS, F.array_distinct(_terms(_masked())).alias("terms"), entities.alias("entities"))
+    texts = store(texts, "pii-texts")
+    # all other texts are terms as they stand; which they are is known by their hashes, or else by the formats once more
+    n = texts.count()
+    if n <= BROADCAST_MAX_ROWS:
+        plain = rows.select(digest.alias("hash"), "text").join(bounded_broadcast(texts.select("hash"), n, 16 * n), "hash", "left_anti")
+    else:
+        plain = found.filter(~some).select("hash", "text")
+    plain, total = _different(plain, base)
+    different = texts.select("terms").unionByName(plain.select(F.array_distinct(_terms(F.col("text"))).alias("terms")))
+    flagged = store(disclosing(texts, different, total), "flagged")
     flagged = bounded_broadcast(flagged, *flagged.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity") + F.octet_length("term"))).first())
     of_text = (
         texts.select("hash", F.explode("entities").alias("entity"))
