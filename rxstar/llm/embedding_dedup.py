@@ -17,7 +17,9 @@ verifies each, and distributed connected components group the links.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor
 do vectors of different lengths.  Rows without vec_id cannot name a component: they link with
-nothing and are not kept.  Repeated rows are other vectors.  An empty table gives an empty one.
+nothing and are not kept.  Repeated rows are other vectors; rows of one vec_id with different
+vectors each have their own links and component.  A cosine that just reaches the threshold links.  Long
+vectors are whole.  An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.joins import bounded_broadcast
 from .blocks import forest, units
 from .common import fixed_rows, read, runs, ship, store
 from .components import components
@@ -145,9 +148,11 @@ def embedding_dedup(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     rows = rows.withColumn("ok", F.coalesce(usable(F.col("vec")), F.lit(False)) & F.col("vec_id").isNotNull())
     good = rows.filter("ok").select("vec_id", "vec")
-    classes = store(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
+    # a class is known by a number of its own: rows of one vec_id may hold different vectors
+    classes = good.groupBy("vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"))
+    classes = store(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     bits, tables = plan_tables(classes.count(), threshold, recall)
-    hashed = classes.mapInArrow(
+    hashed = classes.select("rep", "weight", "vec").mapInArrow(
         _hash(bits, tables, seed, stored),
         "rep long, weight long, dim int, tab int, key int, signs binary, vec binary",
     )
@@ -155,13 +160,16 @@ def embedding_dedup(
     found = store(dealt.mapInArrow(_links(threshold, stored), "u long, v long, links long"), "vector-links")
     reached = components(found.select("u", "v"))
     counts = found.groupBy("u").agg(F.sum("links").alias("links"))
+    named = classes.join(reached, F.col("rep") == F.col("vertex")).select("rep", "low", "component")
+    lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))  # map-side combined
+    named = named.join(bounded_broadcast(lowest, lowest.count()), "component").select(F.col("rep").alias("vertex"), "lowest")
     whole = (
         classes.join(counts, F.col("rep") == F.col("u"), "left")
-        .join(reached, F.col("rep") == F.col("vertex"), "left")
+        .join(named, F.col("rep") == F.col("vertex"), "left")
         .select(
             F.col("vec").alias("_vec"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("_links"),
-            F.coalesce("component", "rep").alias("_component"),
+            F.coalesce("lowest", "low").alias("_component"),
         )
     )
     # rows alone in their class and without links need no join
