@@ -1,13 +1,13 @@
 """Exact deduplication: Patricia-trie owners.
 
-Rows are partitioned by byte length and content hash, and whole byte strings go into a radix
-trie for each partition, whose terminal nodes hold the owner (the identifier that stays), the
+Rows are partitioned by length class and some bits of a content hash, and whole byte strings go into
+a radix trie for each partition, which shares what they begin with; terminal nodes hold the owner (the identifier that stays), the
 number of rows, and how many of them carry the owner's identifier.
 
 1. Each scan task inserts its own rows first and passes on one row for each different text, so
    a text that a third of all rows repeat is one row for each task before the shuffle.
-2. The partial rows are shuffled by (length, hash) and sorted by (length, hash, text).  A task
-   then sees the partitions one after another and frees each subtree once its strings are over.
+2. The partial rows are shuffled by (length class, hash) and sorted by these and the text.  A task
+   then sees the partitions one after another and frees each trie once its strings are over.
 
 Spill is by subtree: over ``budget`` bytes, step 1 emits the largest subtrees and forgets them
 (a text met again is one more partial row), step 2 emits the strings that sort before the
@@ -15,7 +15,8 @@ current one (they cannot come again).  No task holds more than the budget and on
 
 Null text counts as empty.  ``owner`` is the smallest or largest identifier; null identifiers
 lose against any other.  Repeated rows (same identifier and text) count one by one, and one of
-them is kept (those dropped with it show its other columns).  An empty table gives an empty result; extra columns are passed on untouched.
+them is kept.  Long texts are whole.  An empty table gives an empty result; other columns, whatever
+their names, are passed on untouched.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from ..functions.joins import bounded_broadcast
 from .common import read, ship, store
 from .trie import Trie
 
-#: Bits of the content hash that names a trie, beside the length.
-HASH_BITS = 20
+#: A trie holds the texts of one length class (of so many bytes) and of one value of the hash's low bits.
+CLASS_BYTES = 64
+HASH_BITS = 4
 BUDGET = 96 << 20
-_PARTIAL = "_len long, _hash long, _text binary, _sha string, _owner long, _rows long, _of_owner long"
+_PARTIAL = "_class long, _hash long, _text binary, _sha string, _owner long, _rows long, _of_owner long"
 _GROUP = "_len long, _sha string, _owner long, _rows long, _of_owner long"
 
 
@@ -53,7 +55,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _partial(largest: bool, budget: int) -> Callable:
-    schema = pa.schema([("_len", pa.int64()), ("_hash", pa.int64()), ("_text", pa.binary()), ("_sha", pa.string()),
+    schema = pa.schema([("_class", pa.int64()), ("_hash", pa.int64()), ("_text", pa.binary()), ("_sha", pa.string()),
                         ("_owner", pa.int64()), ("_rows", pa.int64()), ("_of_owner", pa.int64())])
 
     def emit(tries: dict, wanted: list) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,7 @@ def _partial(largest: bool, budget: int) -> Callable:
         held = 0
         for batch in batches:
             for ident, text, sha, h in _rows(batch):
-                trie = tries.setdefault((len(text), h), Trie())
+                trie = tries.setdefault((len(text) // CLASS_BYTES, h), Trie())
                 before = trie.held
                 node = trie.node(text)
                 node.owner = merge(node.owner, ident, 1, 1, sha, largest)
@@ -100,33 +102,38 @@ def _final(largest: bool, budget: int) -> Callable:
         for batch in batches:
             out = []
 
-            def flush(length: int) -> None:
-                out.extend((length, *o) for _, o in trie.items() if o[2] > 1)
+            def flush() -> None:
+                out.extend((len(t), *o) for t, o in trie.items() if o[2] > 1)
 
-            for length, h, text, sha, ident, rows, of_owner in _rows(batch):
-                if last is not None and (length, h) != last:  # the partition is over: its subtree goes
-                    flush(last[0])
+            for of_class, h, text, sha, ident, rows, of_owner in _rows(batch):
+                if last is not None and (of_class, h) != last:  # the partition is over: its trie goes
+                    flush()
                     trie = Trie()
                 elif trie.held > budget:  # sorted: all but the text at hand are over
                     same = trie.node(text).owner
                     trie.node(text).owner = None
-                    flush(length)
+                    flush()
                     trie = Trie()
                     trie.node(text).owner = same
                 node = trie.node(text)
                 node.owner = merge(node.owner, ident, rows, of_owner, sha, largest)
-                last = (length, h)
+                last = (of_class, h)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-        out = [(last[0], *o) for _, o in trie.items() if o[2] > 1] if last else []
+        out = [(len(t), *o) for t, o in trie.items() if o[2] > 1]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def text_owners(docs: DataFrame, keep: str = "largest", budget: int = BUDGET, hash_bits: int = HASH_BITS) -> DataFrame:
-    """Texts of more than one row: _len, _sha (SHA-256), _owner, _rows, _of_owner."""
+def text_owners(docs: DataFrame, keep: str = "largest", budget: int = BUDGET, hash_bits: int | None = None) -> DataFrame:
+    """Texts of more than one row: _len, _sha (SHA-256), _owner, _rows, _of_owner.
+
+    The hash has as many bits more as the session has shuffle partitions, so that these are filled.
+    """
+    if hash_bits is None:
+        hash_bits = HASH_BITS + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is largest or smallest")
     ship(docs.sparkSession)
@@ -139,54 +146,63 @@ def text_owners(docs: DataFrame, keep: str = "largest", budget: int = BUDGET, ha
     )
     partial = rows.mapInArrow(_partial(keep == "largest", budget), _PARTIAL)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = partial.repartition(n, "_len", "_hash").sortWithinPartitions("_len", "_hash", "_text")
+    dealt = partial.repartition(n, "_class", "_hash").sortWithinPartitions("_class", "_hash", "_text")
     return store(dealt.mapInArrow(_final(keep == "largest", budget), _GROUP), "owners")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
-
-    ``docs`` needs doc_id and text; its other columns are passed on.  Columns that already have
-    one of the four names are replaced.
-    """
-    extra = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+def _judged(docs: DataFrame, carry: list[str], keep: str) -> DataFrame:
+    """_row (the columns ``carry``), doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(*extra, F.octet_length(text).cast("long").alias("_len"), F.sha2(text, 256).alias("_sha"))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("_"))
+    keyed = docs.select(
+        row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("_len"), F.sha2(text, 256).alias("_sha")
+    )
     owners = text_owners(docs, keep)
     n, width, most = owners.agg(F.count(F.lit(1)), F.sum(F.length("_sha")), F.max("_of_owner")).first()
     # only texts of several rows are here; within a checked bound they are broadcast, so that the
     # texts of documents are not shuffled again
     joined = keyed.join(bounded_broadcast(owners, n, width or 0), ["_len", "_sha"], "left")
     whole = joined.select(
-        *extra,
-        F.when(F.col("_rows").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("_owner")).alias("keep_id"),
+        "_row",
+        "doc_id",
+        F.when(F.col("_rows").isNull(), F.col("doc_id")).otherwise(F.col("_owner")).alias("keep_id"),
         F.coalesce("_rows", F.lit(1)).alias("group_size"),
-        (F.col("_rows").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("_owner"))).alias("kept"),
+        (F.col("_rows").isNull() | F.col("doc_id").eqNullSafe(F.col("_owner"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
         F.coalesce("_of_owner", F.lit(1)).alias("_of_owner"),
     )
     if (most or 1) <= 1:  # no owner's row is repeated
         return whole.drop("_of_owner")
-    # Repeated rows of an owner: one of them stays (the dropped ones are given as its repeats).
-    # The partial aggregate of dropDuplicates keeps a row for each task before its shuffle.
-    repeated = F.col("kept") & (F.col("_of_owner") > 1)
-    owners = whole.filter(repeated)
-    first = owners.dropDuplicates(["doc_id", "text_sha256"])
-    others = first.withColumn("kept", F.lit(False)).withColumn(
-        "_again", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_of_owner")))
-    )
-    return whole.filter(~repeated).unionByName(first).unionByName(others.drop("_again")).drop("_of_owner")
+    # Repeated rows of an owner: the one with the smallest number stays.  Numbers are stored, so that
+    # they are the same whenever they are read; they are joined by the number, which is no hot key.
+    several = F.col("kept") & (F.col("_of_owner") > 1)
+    repeats = store(whole.filter(several).withColumn("_number", F.monotonically_increasing_id()), "repeats")
+    first = repeats.groupBy("doc_id", "text_sha256").agg(F.min("_number").alias("_number")).select("_number", F.lit(True).alias("_first"))
+    decided = repeats.join(first, "_number", "left").withColumn("kept", F.coalesce("_first", F.lit(False)))
+    return whole.filter(~several).unionByName(decided.select(whole.columns)).drop("_of_owner")
+
+
+_GIVEN = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
+
+    ``docs`` needs doc_id and text; its other columns are passed on.  Columns that already have
+    one of the four names are replaced.
+    """
+    carry = [c for c in docs.columns if c not in _GIVEN]
+    return _judged(docs, carry, keep).select(*[F.col(f"_row.`{c}`") for c in carry], *_GIVEN)
 
 
 def kept_rows(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay: one for each different text, with the same columns."""
-    return exact_dedup(docs, keep).filter("kept").select(*docs.columns)
+    return _judged(docs, docs.columns, keep).filter("kept").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners of all texts of documents; of equal texts the largest doc_id stays."""
-    out = exact_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return _judged(read(spark, sf_dir, "documents", "doc_id", "text"), [], "largest").select("doc_id", *_GIVEN)
 
 
 OP3_SQL = """
