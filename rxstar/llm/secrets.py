@@ -45,6 +45,8 @@ CLASSES = (
 #: judged by a higher threshold), and parts that are cut out of a candidate.
 NUMBER = re.compile(r"[0-9_/+-]+")
 DIGITLESS, DIGITLESS_BITS = re.compile(r"[^0-9]+"), 4.0
+#: Letters of both cases, so many of each in a window: names in words have few capitals, keys about half.
+MIXED, MIXED_BITS = 7, 3.7
 HARMLESS = re.compile(
     r"(?<![A-Za-z0-9])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![A-Za-z0-9])"  # UUIDs
     r"|(?<![A-Za-z0-9])your[_-]"
@@ -80,7 +82,8 @@ def window_entropies(text: str, width: int = WINDOW) -> list[float]:
 def least_bits(window: str) -> float:
     """The threshold of the narrowest class that holds all of a window."""
     if DIGITLESS.fullmatch(window):
-        return DIGITLESS_BITS
+        capitals, small = sum("A" <= c <= "Z" for c in window), sum("a" <= c <= "z" for c in window)
+        return MIXED_BITS if min(capitals, small) >= MIXED else DIGITLESS_BITS
     return next(bits for _, chars, bits in CLASSES if chars.fullmatch(window))
 
 
