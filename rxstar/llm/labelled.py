@@ -16,7 +16,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     ``train`` selects the rows that may be learnt from (on doc_id).  Which rows a class gives is
     set by a hash of doc_id.  The weights restore the shares that the classes have among all
     labelled rows.  Null labels and ids are left out; a document labelled more than once has the
-    majority's label (ties: 1).  The ids are broadcast: two bounds of rows at most.
+    majority's label (ties: 1), and one of several rows with the same id.  The ids are broadcast: two bounds of rows at most.
     """
     of = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train)
     of = of.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
@@ -28,4 +28,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     chosen = parts[0] if parts else of.withColumn("weight", F.lit(1.0))
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    return docs.join(F.broadcast(chosen), "doc_id").select(texts().alias("text"), "y", "weight")
+    rows = docs.select("doc_id", texts().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # a row for each id: of several the one with the smallest hash of its text (map-side combined)
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    return rows.groupBy("doc_id", "y", "weight").agg(one).select("text", "y", "weight")

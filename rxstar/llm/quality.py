@@ -17,6 +17,7 @@ empty table gives an empty result; extra columns are passed over.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import zlib
 from collections import Counter
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import crc_mod, fixed_rows, read, ship, texts
 from .labelled import training_sample
@@ -108,11 +109,21 @@ class Machine:
 
 
 def fit(rows: list[tuple[bytes, int, float]], seed: int = 3) -> Machine:
-    """Train on (text, label, weight); rows are taken in an order that depends on them alone."""
-    rows = sorted(rows, key=lambda r: (zlib.crc32(r[0]), r))
-    y, weight = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    """Train on (text, label, weight)."""
+    return fit_features([example(*r) for r in rows], seed)
+
+
+def example(text: bytes, y: int, weight: float) -> tuple:
+    """What training needs of a text: its place in the order, label, weight and features."""
+    return zlib.crc32(text), hashlib.sha256(text).digest(), y, weight, *features(text)
+
+
+def fit_features(rows: list[tuple], seed: int = 3) -> Machine:
+    """Train on ``example`` rows; they are taken in an order that depends on them alone."""
+    rows = sorted(rows, key=lambda r: r[:4])
+    y, weight = np.array([r[2] for r in rows], float), np.array([r[3] for r in rows])
     share = float((y * weight).sum() / weight.sum()) if rows else 0.5
-    raw = [features(r[0]) for r in rows]
+    raw = [r[4:] for r in rows]
     stats = np.array([r[2] for r in raw]) if raw else np.zeros((1, N_STRUCTURE))
     rng = np.random.default_rng(seed)
     size = HASHED + N_STRUCTURE
@@ -151,19 +162,37 @@ def fit(rows: list[tuple[bytes, int, float]], seed: int = 3) -> Machine:
     return m
 
 
+_EXAMPLE = "crc long, sha binary, y int, weight double, ids array<long>, x array<double>, stats array<double>"
+
+
+def _example_task() -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _EXAMPLE.split(", ")]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        for batch in fixed_rows(batches, 64):
+            rows = [example(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return run
+
+
 def _fit_task() -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        model = fit(rows)
+        rows = []
+        for b in batches:
+            for crc, sha, y, weight, ids, x, stats in zip(*(c.to_pylist() for c in b.columns)):
+                rows.append((crc, sha, y, weight, np.array(ids, np.int64), np.array(x), stats))
+        model = fit_features(rows)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, rows) -> Machine:
-    """Fit a machine on the sample's one task; only the model (fixed size) reaches the driver."""
+    """Features are made where the sampled texts are; one task fits on these (at most so many
+    hashed words each); only the model (fixed size) reaches the driver."""
     ship(docs.sparkSession)
-    sample = training_sample(docs, labels, label, rows)
+    sample = training_sample(docs, labels, label, rows).mapInArrow(_example_task(), _EXAMPLE)
     row = sample.repartition(1).mapInArrow(_fit_task(), "model binary").first()
     return pickle.loads(row[0]) if row else fit([])
 
@@ -188,14 +217,11 @@ def quality_scores(docs: DataFrame, model: Machine) -> DataFrame:
 def kept_rows(docs: DataFrame, model: Machine, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that score at least ``cutoff``, with the same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(*[F.col(c) for c in docs.columns], texts().alias("_scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _score double"
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _score_task(shared)(batches):
-            yield pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "_score"])
-
-    return packed.mapInArrow(run, schema).filter(F.col("_score") >= cutoff).drop("_score")
+    # the row travels as one column, so that its own columns may have any names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), texts().alias("text"))
+    schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())])
+    stay = packed.mapInArrow(_score_task(shared), schema).filter(F.col("score") >= cutoff)
+    return stay.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

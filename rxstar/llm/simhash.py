@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.joins import bounded_broadcast
 from .blocks import forest, units
 from .common import fixed_rows, read, runs, ship, store, texts
 from .components import components
@@ -204,9 +205,15 @@ def fingerprint_groups(marks: DataFrame, radius: int = RADIUS, cap: int = CAP) -
     )
     links = units(keyed, ["tab", "key"], "fp", cap).mapInArrow(_links(radius, cap), "u long, v long")
     reached = components(links)
-    linked = classes.join(reached, F.col("fp") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "fp"))
+    # only linked fingerprints have a head to be found, map-side combined; all others are their own
+    linked = classes.join(reached, F.col("fp") == F.col("vertex")).select("fp", "low", "component")
     heads = linked.groupBy("component").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("h"))
-    return linked.join(heads, "component").select("fp", F.col("h.low").alias("component_id"), F.col("h.fp").alias("head"))
+    linked = linked.join(bounded_broadcast(heads, heads.count()), "component").select(F.col("fp").alias("vertex"), "h")
+    joined = classes.join(linked, F.col("fp") == F.col("vertex"), "left")
+    own = F.col("vertex").isNull()
+    return joined.select(
+        "fp", F.when(own, F.col("low")).otherwise(F.col("h.low")).alias("component_id"), F.coalesce("h.fp", "fp").alias("head")
+    )
 
 
 def simhash_dedup(
@@ -235,7 +242,10 @@ def kept_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Dat
     groups = fingerprint_groups(marks, radius)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("head"))
     gone = marks.join(groups, "fp").filter(~kept & (F.col("doc_id").isNotNull() | F.col("component_id").isNull())).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text == F.col("_text")), "left_anti")
+    # the row travels as one column, so that its own columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text.alias("_hash"))
+    stay = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_text")), "left_anti")
+    return stay.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,3 +213,68 @@ def test_tables_reach_the_recall():
         bits, tables = embedding_dedup.plan_tables(rows)
         p = (1 - np.arccos(0.9) / np.pi) ** bits
         assert 1 - (1 - p) ** tables >= 0.999
+
+
+# --- columns of any name, repeats, recall ------------------------------------------------------
+
+
+def test_kept_rows_give_a_documents_own_columns_back(spark):
+    """Whatever a document's columns are called: their values stay, in every filtering stage."""
+    from rxstar.llm import quality
+
+    names = ["keep_id", "kept", "group_size", "text_sha256", "_len", "_rows", "_sha", "_text", "_gone", "_row", "_hash", "_id", "_score", "_scored", "fp", "a.b"]
+    rows = [(i, " ".join(f"w{(i // 2) * 40 + k}" for k in range(40)), *[f"{n}{i}" for n in names]) for i in range(8)]
+    df = spark.createDataFrame(rows, DOC + ", " + ", ".join(f"`{n}` string" for n in names))
+    odd = [r for r in rows if r[0] % 2]
+    assert sorted(map(tuple, exact_dedup.kept_rows(df).collect())) == odd
+    assert sorted(map(tuple, simhash.kept_rows(df).collect())) == [r for r in rows if not r[0] % 2]
+    assert sorted(map(tuple, quality.kept_rows(df, quality.fit([])).collect())) == rows
+    own = exact_dedup.exact_dedup(df.drop("keep_id", "kept", "group_size", "text_sha256")).collect()
+    assert {(r["doc_id"], r["_len"], r["a.b"]) for r in own} == {(r[0], f"_len{r[0]}", f"a.b{r[0]}") for r in rows}
+
+
+def test_repeated_rows_keep_their_own_columns(spark):
+    rows = [(1, "same", f"n{i}") for i in range(50)] + [(0, "same", "small"), (2, "other", "x")]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, DOC + ", note string").repartition(4)).collect()
+    assert sorted(r["note"] for r in out) == sorted(r[2] for r in rows)
+    assert sum(r["kept"] for r in out) == 2 and {r["group_size"] for r in out if r["text"] == "same"} == {51}
+
+
+def test_tries_of_documents_share_what_texts_begin_with(spark, sf_dir):
+    """By production keys, tries hold many texts and have split edges."""
+    docs = [(r[0] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    tries = {}
+    for text in set(docs):
+        key = len(text) // exact_dedup.CLASS_BYTES, xxhash.xxh64_intdigest(text) & ((1 << exact_dedup.HASH_BITS) - 1)
+        tries.setdefault(key[0] // 8, trie.Trie()).node(text).owner = text
+    sizes = [sum(1 for _ in t.items()) for t in tries.values()]
+    assert max(sizes) > 5
+
+    def split_edges(node):
+        return sum((child.owner is None) + split_edges(child) for _, child in node.edges.values())
+
+    assert sum(split_edges(t.root) for t in tries.values()) > 0
+
+
+def test_embeddings_with_one_id_and_different_vectors(spark):
+    """Each row has its own links; components are not joined by an id."""
+    near = [0.999, 0.04, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, near), (3, [0.02, 0.999, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(df, recall=0.999999).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_recall_at_the_threshold(spark):
+    """At the default settings nearly all links at a cosine of 0.900 to 0.910 are found."""
+    rng = np.random.default_rng(11)
+    a = rng.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, 32))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = rng.uniform(0.9005, 0.91, (1500, 1))
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = sum(r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect())
+    assert links >= 0.99 * (embedding_dedup.linked(x, x, 0.9).sum() - len(x))

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rxstar.llm import labelled, mixing, quality, toxicity
 from rxstar.llm.common import crc_mod
@@ -177,3 +178,25 @@ def test_mixing_nothing(spark):
     df = spark.createDataFrame([(1, None, None), (2, " ", "s")], DOC + ", source string")
     assert sorted(tuple(r) for r in mixing.taken(df).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     assert mixing.mixed_rows(df).count() == 0 and mixing.taken(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_among_the_labelled_rows_are_one_example(spark):
+    from rxstar.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    sample = training_sample(docs, labels, "quality", F.lit(True), bound=5).collect()
+    assert sorted((bytes(r["text"])[:4], r["y"]) for r in sample) == [(b"", 0), (b"b", 0), (b"text", 1)]
+    again = training_sample(docs.repartition(7), labels, "quality", F.lit(True), bound=5).collect()
+    assert {bytes(r["text"]) for r in again} == {bytes(r["text"]) for r in sample}
+
+
+def test_training_in_parallel_equals_training_at_once(spark):
+    from rxstar.llm import quality
+
+    texts = [(i, " ".join(("good" if i % 2 else "bad") + str((i * k) % 7) for k in range(9)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, quality int")
+    model = quality.train(docs, labels, "quality", F.lit(True))
+    plain = quality.fit([(t[1].encode(), t[2], 1.0) for t in texts])
+    assert model.bias == plain.bias and (model.w == plain.w).all() and (model.v == plain.v).all()
