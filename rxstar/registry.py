@@ -292,13 +292,10 @@ def _star_rows(spark, d):
 
 
 def _stream_events(spark, d):
-    """Streaming re-aim of the event load: drain the landed pages in micro-batches, then read keep-last."""
-    import uuid
-
-    root = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex[:8]}"
-    q = start_event_stream(spark, landed_pages(spark, d)["event"], f"{root}/log", f"{root}/_checkpoint",
-                           max_files_per_trigger=2)
-    q.awaitTermination()
+    """Streaming re-aim of the event load: drain the pages of one crawl in micro-batches, then read keep-last."""
+    root = _fresh(spark, d, "stream")
+    spark.read.schema(page_schema("event")).json(landed_pages(spark, d)["event"]).write.json(f"{root}/landing/run=1")
+    start_event_stream(spark, f"{root}/landing", f"{root}/log", f"{root}/_checkpoint", max_files_per_trigger=2).awaitTermination()
     return current_events(spark, f"{root}/log")
 
 
@@ -502,14 +499,12 @@ def _event_store(spark, d):
 
 def _stream_snapshot(spark, d):
     """The event stream in two runs with a compaction between: snapshot and later batches give the table."""
-    import uuid
-
-    root = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex[:8]}"
+    root = _fresh(spark, d, "stream")
     # the first run sees the pages of the first half of the reports
     landed = spark.read.schema(page_schema("event")).json(landed_pages(spark, d)["event"])
     middle = landed.agg(F.max("skip")).first()[0] // 2
     for half in (F.col("skip") <= middle, F.col("skip") > middle):
-        landed.where(half).write.mode("append").json(f"{root}/landing")
+        landed.where(half).write.mode("append").json(f"{root}/landing/run=1")
         start_event_stream(spark, f"{root}/landing", f"{root}/log", f"{root}/_checkpoint", max_files_per_trigger=100).awaitTermination()
         if latest_version(spark, f"{root}/snapshots") == 0:
             compact_events(spark, f"{root}/log", f"{root}/snapshots")

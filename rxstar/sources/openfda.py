@@ -51,11 +51,14 @@ def read_pages_checked(spark: SparkSession, path: str, kind: str) -> tuple[DataF
     return pages.where(readable).select(*[F.col(f"page.{f.name}") for f in page_schema(kind).fields]), rejects
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One row per record: ``seq`` (global insert position), ``skip``, ``total`` and the record struct ``r``."""
+def records(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per record: ``seq`` (global insert position), ``skip``, ``total`` and the record struct ``r``.
+
+    ``carry``: columns of the page that its records keep.
+    """
     return pages.select(
-        "skip", F.col("meta.results.total").alias("total"), F.posexplode("results").alias("pos", "r")
-    ).select((F.col("skip") + F.col("pos")).alias("seq"), "skip", "total", "r")
+        *carry, "skip", F.col("meta.results.total").alias("total"), F.posexplode("results").alias("pos", "r")
+    ).select(*carry, (F.col("skip") + F.col("pos")).alias("seq"), "skip", "total", "r")
 
 
 def paged_records(pages: DataFrame, limit: int, page_size: int = EVENT_PAGE_SIZE) -> DataFrame:
@@ -119,7 +122,7 @@ def _first_drug() -> Column:
     return first_of_list(F.col("r.patient.drug"))
 
 
-def flatten_events(recs: DataFrame) -> DataFrame:
+def flatten_events(recs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Report -> first drug, first reaction, first brand, first manufacturer.
 
     K1: ``serious_code`` is the report's code as INT (0 when missing), ``serious`` is 1 for code 1 alone.
@@ -127,6 +130,7 @@ def flatten_events(recs: DataFrame) -> DataFrame:
     drug = _first_drug()
     code = F.coalesce(F.nullif(F.col("r.serious"), F.lit("")), F.lit("0")).try_cast(T.IntegerType())
     return recs.select(
+        *carry,
         "seq",
         F.col("r.safetyreportid").alias("safetyreportid"),
         F.col("r.receivedate").alias("receivedate"),

@@ -5,13 +5,15 @@ the landing directory (explicit schema), flatten each micro-batch, and append
 it to a log table, one partition per batch (``foreachBatch``).  A batch
 overwrites only its own partition, so a re-run after a failure is idempotent.
 The current table is resolved on read: keep-last per ``safetyreportid`` in
-(batch, position) order, the reference's INSERT OR REPLACE order.  No batch
+(run, position) order, the reference's INSERT OR REPLACE order; a run is a
+crawl, or a batch where the pages are not landed by crawl.  No batch
 rewrites the whole table, and the keep-last is a partial aggregate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from ..operators.sinks import commit_version, latest_version, version_path
 from ..operators.upsert import keep_last
@@ -28,29 +30,35 @@ def start_event_stream(
     available_now: bool = True,
 ):
     """Start the stream; returns the StreamingQuery (``available_now`` drains what has landed, then stops)."""
+    # pages of one crawl may be landed under run=<number>; they are ordered by their offsets, whenever they arrive
     pages = (
-        spark.readStream.schema(page_schema("event"))
+        spark.readStream.schema(T.StructType([*page_schema("event").fields, T.StructField("run", T.LongType(), True)]))
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing_path)
     )
-    flat = flatten_events(records(pages))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        # a page without a run belongs to the run of its batch
+        run = F.coalesce("run", F.lit(batch_id).cast("long"))
+        flat = flatten_events(records(batch.withColumn("run", run), ("run",)), ("run",))
+        flat.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
-    writer = flat.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    writer = pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
+_ORDER = ["run", "seq", "batch_id"]
+
+
 def _latest(log: DataFrame) -> DataFrame:
-    """Keep-last by report, in (batch, position) order; both columns stay."""
-    return keep_last(log, ["safetyreportid"], ["batch_id", "seq"])
+    """Keep-last by report, in (run, position, batch) order; the three columns stay."""
+    return keep_last(log, ["safetyreportid"], _ORDER)
 
 
 def current_events(spark: SparkSession, log_path: str) -> DataFrame:
     """The source_drug_events table as of the last committed batch, from the whole log."""
-    return _latest(spark.read.parquet(log_path)).drop("batch_id", "seq")
+    return _latest(spark.read.parquet(log_path)).drop(*_ORDER)
 
 
 def batches_written(spark: SparkSession, log_path: str) -> DataFrame:
@@ -89,4 +97,4 @@ def _snapshot_rows(spark: SparkSession, log_path: str, base: str) -> DataFrame:
 
 def snapshot_and_tail(spark: SparkSession, log_path: str, base: str) -> DataFrame:
     """The table as of the last committed batch: the newest snapshot with the batches after it."""
-    return _latest(_snapshot_rows(spark, log_path, base)).drop("batch_id", "seq")
+    return _latest(_snapshot_rows(spark, log_path, base)).drop(*_ORDER)

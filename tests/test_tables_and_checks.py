@@ -127,3 +127,23 @@ def test_planted_violations_come_out(spark, star):
     found = {tuple(r) for r in Q.unique_dims(replace(star, dims=dims)).collect()}
     assert found == {("dimCity", "City 6", 2), ("dimCity.id", "1", 2)}
     assert "Exchange" in plan(Q.unique_dims(star)) and Q.unique_dims(star).count() == 0
+
+
+def test_pages_of_one_crawl_are_ordered_by_their_offsets(spark, tmp_path):
+    """Within a run the arrival of a page does not matter; a later run wins."""
+
+    def land(run, skip, ids, tag, age):
+        folder = tmp_path / "landing" / f"run={run}"
+        folder.mkdir(parents=True, exist_ok=True)
+        _land(folder, f"p{skip}.json", ids, tag, age)
+        page = json.loads((folder / f"p{skip}.json").read_text()) | {"skip": skip}
+        (folder / f"p{skip}.json").write_text(json.dumps(page))
+        then = time.time() - age
+        os.utime(folder / f"p{skip}.json", (then, then))
+
+    land(1, 100, [1, 2], "second page", 300)  # arrives first
+    land(1, 0, [1, 3], "first page", 200)
+    land(2, 0, [3], "next crawl", 100)
+    start_event_stream(spark, str(tmp_path / "landing"), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    got = {r["safetyreportid"]: r["patientsex"] for r in current_events(spark, str(tmp_path / "log")).collect()}
+    assert got == {"1": "second page", "2": "second page", "3": "next crawl"}
