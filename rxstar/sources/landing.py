@@ -32,8 +32,8 @@ NDC_PAGE_SIZE = 1000
 
 # Column expressions of mapping J (Spark SQL text, mirrored by the oracle).
 EVENT_FIELDS = {
-    # every tenth report is a re-issue of one of the page before
-    "safetyreportid": "cast(CASE WHEN o_orderkey % 10 = 9 AND o_orderkey >= 100 THEN o_orderkey - 100 ELSE o_orderkey END AS string)",
+    # on every second page each tenth report is a re-issue of one of the page before
+    "safetyreportid": "cast(CASE WHEN o_orderkey % 10 = 9 AND o_orderkey % 200 >= 100 THEN o_orderkey - 100 ELSE o_orderkey END AS string)",
     "receivedate": "date_format(add_months(o_orderdate, 300), 'yyyyMMdd')",
     "serious": "CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '2' END",
     "patientsex": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE cast(o_custkey % 2 + 1 AS string) END",
