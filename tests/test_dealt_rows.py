@@ -5,7 +5,11 @@ import datetime
 import glob
 
 from rxstar import registry
+from rxstar.functions import numbering
+from rxstar.functions.materialize import materialize
+from rxstar.operators import fact as load
 from rxstar.operators.upsert import keep_last
+from rxstar.schemas import FACT_STORED, IMPORT_RAW
 from rxstar.sources import fixtures, landing
 
 
@@ -105,3 +109,24 @@ def test_keep_last_deals_whole_rows_once(spark):
         out = keep_last(df, ["key"], ["run", "seq", "batch"])
         assert sum(" v#" in f" {columns}".replace(",", ", ").replace("(", " ") for _, columns in dealt(out)) == 1
         assert sorted((r["key"] or "", r["v"]) for r in out.collect()) == [("", "g"), ("j", "i"), ("k", "e")]
+
+
+def test_star_load_stores_the_grain_once_and_deals_no_mean(spark, monkeypatch):
+    stored = []
+
+    def noted(df, label):
+        stored.append((label, set(df.columns)))
+        return materialize(df, label)
+
+    monkeypatch.setattr(load, "materialize", noted)
+    monkeypatch.setattr(numbering, "materialize", noted)
+    rows = [("1", "2020-01-02 00:00:00", "M", "D", "1.00", "T", "0", "C", "X"), ("2", "2020-01-02 10:00:00", "M", "D", "1.50", "T", "0", "C", "X"),
+            ("3", "2021-01-02 00:00:00", "M", "E", "7.00", "T", "1", "C", "X"), ("4", None, "M", "E", "7.00", "T", "1", "C", "X")]
+    star = load.run_etl(spark.createDataFrame(rows, IMPORT_RAW))
+    of_fact = [(label, columns) for label, columns in stored if "cntDrug" in columns]
+    assert [label for label, _ in of_fact] == ["grain", "numbered"] and not any("avgDrug" in columns for _, columns in of_fact)
+    assert {f.name: f.dataType for f in star.fact.schema} == {f.name: f.dataType for f in FACT_STORED}
+    got = sorted((r["cntDrug"], float(r["sumDrug"]), r["avgDrug"], r["id"]) for r in star.fact.collect())
+    assert got == [(1, 7.0, 7.0, 2), (2, 2.5, 1.25, 1)]
+    twice = load.run_etl(spark.createDataFrame(rows, IMPORT_RAW), measure="double")
+    assert sorted(r["avgDrug"] for r in twice.fact.collect()) == [1.25, 7.0]
