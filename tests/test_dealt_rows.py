@@ -130,3 +130,10 @@ def test_star_load_stores_the_grain_once_and_deals_no_mean(spark, monkeypatch):
     assert got == [(1, 7.0, 7.0, 2), (2, 2.5, 1.25, 1)]
     twice = load.run_etl(spark.createDataFrame(rows, IMPORT_RAW), measure="double")
     assert sorted(r["avgDrug"] for r in twice.fact.collect()) == [1.25, 7.0]
+
+
+def test_scratch_tables_and_landed_sales_are_compressed(spark, tmp_path):
+    assert all(".zstd." in f for f in materialize(spark.range(10), "some").inputFiles())
+    d = tables(spark, tmp_path, orders=[order(1)], lines=[line(1, 1, 1)])
+    landed = fixtures.landed_raw_sales(spark, d, "A")
+    assert landed.count() == 1 and all(".zstd." in f for f in landed.inputFiles())
