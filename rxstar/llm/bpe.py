@@ -6,13 +6,14 @@ The merge ranks are compiled into a finite-state transducer that is determinised
   ``Merges.fit`` decides this by replaying the merges along the seam; a token sequence is the
   encoding of its bytes if all neighbours fit, and for every prefix of the input exactly one
   token ends it.
-- A state of the deterministic machine is the set of readings still possible: the last whole
-  token, and a node of the token trie for the bytes of the token begun after it.  A move tells
-  the next state and the one token that ends at the byte.  All readings begin within the longest
-  token, so what they have in common before is certain: it is emitted at the end of a piece, or
-  after ``LOOKAHEAD`` bytes in a long one.
+- A state of the deterministic machine is the set of readings still possible: the nodes of the
+  token trie for the bytes of the tokens begun.  A move tells the next state and the tokens that
+  may end at the byte; just one of them fits the token that ends where it begins.  All readings
+  begin within the longest token, so what they have in common before is certain: it is emitted
+  at the end of a piece, or after ``LOOKAHEAD`` bytes in a long one.
 - States and moves are made when first needed and kept up to a bound, then forgotten and made
-  anew.  A bounded memo of whole pieces stands before the machine.
+  anew.  A bounded memo of whole pieces stands before the machine.  Short pieces that are not in
+  it go through the machine side by side, each different one of some texts once.
 
 Decoding is a stream: ids come in any portions, and a UTF-8 state machine holds back only the
 bytes of an unfinished character.
@@ -28,7 +29,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -39,11 +40,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fixed_rows, read, ship, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MAX_STATES = 100_000
+MAX_STATES = 32_000
 MAX_PIECES = 300_000
 MAX_FITS = 250_000
+#: Slots of the pairs of tokens that many pieces look up at once, as a power of two.
+PAIR_BITS = 19
 LOOKAHEAD = 4096
+#: Bytes of a piece that is kept and goes through the machine beside others.
+SHORT = 64
+#: Characters whose pieces are encoded together.
+PORTION = 1 << 20
 _NEVER = 1 << 62
+_SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,7 +130,7 @@ class Merges:
 
 
 class Transducer:
-    """Bytes to tokens, for one piece of text at a time."""
+    """Bytes to tokens, for pieces of text that stand by themselves."""
 
     def __init__(self, merges: Merges, max_states: int = MAX_STATES) -> None:
         self.merges, self.max_states = merges, max_states
@@ -140,71 +148,147 @@ class Transducer:
                     self.depth.append(self.depth[at] + 1)
                 at = nxt
             self.token[at] = rank
-        self.width = {r: len(t) for t, r in merges.ranks.items()}
+        self.width = np.zeros(max(merges.ranks.values(), default=-1) + 1, np.int32)
+        for data, rank in merges.ranks.items():
+            self.width[rank] = len(data)
+        # pairs of tokens and whether they fit, each in the one slot that its hash gives
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.fitting = np.zeros(1 << PAIR_BITS, bool)
         self.forget()
 
     def forget(self) -> None:
-        start = ((-1, 0),)
-        self.number: dict[tuple, int] = {start: 0}
-        self.states: list[tuple] = [start]
-        self.moves: dict[int, tuple[int, int]] = {}
-
-    def move(self, state: int, byte: int) -> tuple[int, int]:
-        """Make the move of a state on a byte: the next state, and the token that ends here.
-
-        A state's readings are (last whole token, node of the token begun after it), the earliest
-        begin first; just one of them is completed by a token that fits.
-        """
-        merges, readings, done = self.merges, [], -1
-        for last, node in self.states[state]:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            token = self.token[node]
-            if token >= 0 and done < 0 and merges.made(token) and (last < 0 or merges.fit(last, token)):
-                done = token
-            if self.inner[node]:
-                readings.append((last, node))
-        readings.append((done, 0))
-        new = tuple(readings)
+        self.number: dict[tuple, int] = {(0,): 0}
+        self.states: list[tuple] = [(0,)]
+        self.endings: list[list[tuple[int, int]]] = [[]]
+        self.moves: dict[int, int] = {}
+        # the same for many pieces at once: state << 8 | byte -> state, and the endings of all states in one row
+        self.next = np.full(1 << 16, -1, np.int32)
+        self.ending, self.first = array("i"), array("i", [0, 0])
+
+    def move(self, state: int, byte: int) -> int:
+        """Make the move of a state on a byte: the next state, with the tokens that may end there, the longest first."""
+        nodes = [self.child.get(node << 8 | byte) for node in self.states[state] if self.inner[node]]
+        new = (*(node for node in nodes if node is not None), 0)
         to = self.number.get(new)
         if to is None:
+            tokens = [t for node in new if (t := self.token[node]) >= 0 and self.merges.made(t)]
+            if not tokens:
+                raise ValueError(f"no token for byte {byte}")
             to = self.number[new] = len(self.states)
             self.states.append(new)
-        self.moves[state << 8 | byte] = to, done
-        return to, done
+            self.endings.append([(t, int(self.width[t])) for t in tokens])
+            self.ending.extend(tokens)
+            self.first.append(len(self.ending))
+            if (to + 1) << 8 > len(self.next):
+                self.next = np.concatenate((self.next, np.full(len(self.next), -1, np.int32)))
+        self.moves[state << 8 | byte] = self.next[state << 8 | byte] = to
+        return to
 
     def chain(self, ends: list[int], at: int) -> list[int]:
         """The tokens of the first ``at`` bytes, from the token that ends at each byte."""
         out = []
         while at > 0:
             out.append(ends[at - 1])
-            at -= self.width[ends[at - 1]]
+            at -= len(self.merges.bytes[ends[at - 1]])
         return out[::-1]
 
     def run(self, data: bytes) -> list[int]:
+        """The tokens of one piece of any length."""
         if len(self.states) > self.max_states:
             self.forget()
         out: list[int] = []
         ends: list[int] = []
-        moves, state = self.moves, 0
+        moves, fit, state = self.moves, self.merges.fit, 0
         for byte in data:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                step = self.move(state, byte)
-            state = step[0]
-            ends.append(step[1])
+            to = moves.get(state << 8 | byte)
+            state = self.move(state, byte) if to is None else to
+            for token, width in self.endings[state]:
+                at = len(ends) + 1 - width
+                last = ends[at - 1] if at else out[-1] if out else -1
+                if last < 0 or fit(last, token):
+                    break
+            ends.append(token)
             if len(ends) == LOOKAHEAD:
                 # what all open readings have in common is certain and leaves the machine
-                open_at = [len(ends) - self.depth[node] for _, node in self.states[state]]
+                open_at = [len(ends) - self.depth[node] for node in self.states[state] if self.inner[node]]
                 chains = [self.chain(ends, at) for at in open_at]
                 same = 0
                 while all(len(c) > same for c in chains) and len({c[same] for c in chains}) == 1:
                     same += 1
                 out += chains[0][:same]
-                del ends[: sum(self.width[t] for t in chains[0][:same])]
+                del ends[: sum(len(self.merges.bytes[t]) for t in chains[0][:same])]
         return out + self.chain(ends, len(ends))
 
+    def fits(self, lasts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``Merges.fit`` for many pairs."""
+        pairs = lasts.astype(np.int64) << 32 | tokens
+        slots = ((pairs * _SPREAD).view(np.uint64) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        answers = self.fitting[slots]
+        missed = np.flatnonzero(self.pairs[slots] != pairs)
+        if len(missed):
+            new, where, back = np.unique(pairs[missed], return_index=True, return_inverse=True)
+            found = np.array([self.merges.fit(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()], bool)
+            answers[missed] = found[back]
+            # of pairs with one slot the last one written stays, in both arrays
+            slots, last = np.unique(slots[missed][where][::-1], return_index=True)
+            self.pairs[slots], self.fitting[slots] = new[::-1][last], found[::-1][last]
+        return answers
+
+    def run_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of many short pieces as packed int32: all go through the machine side by side, byte by byte."""
+        if len(self.states) > self.max_states:
+            self.forget()
+        if not pieces:
+            return []
+        sizes = np.array([len(p) for p in pieces], np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        longest, count = int(sizes[0]), len(pieces)
+        joined = b"".join([pieces[i].ljust(longest, b"\0") for i in order.tolist()])
+        data = np.frombuffer(joined, np.uint8).reshape(count, longest).T.astype(np.int32)
+        going = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # pieces of at least that many bytes
+        ends = np.full((longest + 1, count), -1, np.int32)
+        state = np.zeros(count, np.int32)
+        for i, (row, n) in enumerate(zip(data, going.tolist()), 1):
+            step = state[:n] << 8 | row[:n]
+            to = self.next[step]
+            if (to < 0).any():
+                for key in np.unique(step[to < 0]).tolist():
+                    self.move(key >> 8, key & 0xFF)
+                to = self.next[step]
+            state = to
+            first, ending = np.array(self.first, np.int32), np.array(self.ending, np.int32)
+            at, stop = first[to], first[to + 1] - 1
+            tokens = ending[at]
+            # just one token of a byte fits, so the last one needs no look; nor does one that begins the piece
+            doubtful = np.flatnonzero((at < stop) & (self.width[tokens] < i))
+            while len(doubtful):
+                token = tokens[doubtful]
+                doubtful = doubtful[~self.fits(ends[i - self.width[token], doubtful], token)]
+                at[doubtful] += 1
+                tokens[doubtful] = ending[at[doubtful]]
+                doubtful = doubtful[at[doubtful] < stop[doubtful]]
+            ends[i, :n] = tokens
+        return self._packed(ends, sizes, order)
+
+    def _packed(self, ends: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> list[bytes]:
+        """The chains of all pieces, from their ends back to their beginnings, in the order they were given."""
+        at, numbers, rows = sizes.copy(), np.zeros(len(sizes), np.int32), []
+        left = np.flatnonzero(at)
+        while len(left):
+            token = ends[at[left], left]
+            row = np.zeros(len(sizes), np.int32)
+            row[left] = token
+            rows.append(row)
+            numbers[left] += 1
+            at[left] -= self.width[token]
+            left = left[at[left] > 0]
+        packed, size = np.stack(rows[::-1], axis=1).tobytes(), 4 * len(rows)
+        out = [b""] * len(sizes)
+        for n, (i, number) in enumerate(zip(order.tolist(), numbers.tolist()), 1):
+            out[i] = packed[n * size - 4 * number : n * size]
+        return out
+
 
 class Encoder:
     """Text to ids: the pattern cuts pieces, and each goes through the transducer by itself."""
@@ -216,24 +300,62 @@ class Encoder:
         space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(space)
         self.memo: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
-        whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else self.machine.run(data)
-        packed = array("i", ids).tobytes()
-        if len(self.memo) >= MAX_PIECES:
-            self.memo.clear()
-        if len(data) <= 64:
-            self.memo[piece] = packed
+        self.older: dict[str, bytes] = {}
+
+    def known(self, piece: str) -> bytes | None:
+        """A piece of the memo; one that has not been met for long is forgotten."""
+        packed = self.memo.get(piece)
+        if packed is None:
+            packed = self.older.get(piece)
+            if packed is not None:
+                self.keep(piece, packed)
         return packed
 
+    def keep(self, piece: str, packed: bytes) -> None:
+        if len(self.memo) >= MAX_PIECES // 2:
+            self.memo, self.older = {}, self.memo
+        self.memo[piece] = packed
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of some texts that are cut into pieces; each different piece is taken once."""
+        packed = dict.fromkeys(chain.from_iterable(texts))
+        short: dict[str, bytes] = {}
+        for piece in packed:
+            ids = self.known(piece)
+            if ids is None:
+                data = piece.encode("utf-8", "replace")
+                whole = self.ranks.get(data)
+                if whole is None and len(data) <= SHORT:
+                    short[piece] = data
+                    continue
+                ids = array("i", [whole] if whole is not None else self.machine.run(data)).tobytes()
+                if len(data) <= SHORT:
+                    self.keep(piece, ids)
+            packed[piece] = ids
+        for piece, ids in zip(short, self.machine.run_all([*short.values()])):
+            packed[piece] = ids
+            self.keep(piece, ids)
+        return [np.frombuffer(b"".join([packed[p] for p in pieces]), np.int32) for pieces in texts]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; up to ``PORTION`` characters of text are held in pieces at a time."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > PORTION:
+                yield from self.ids(held)
+                held, size = [], 0
+            if len(text) <= PORTION:
+                held.append(self.pieces.findall(text))
+                size += len(text)
+            else:
+                found = (m.group() for m in self.pieces.finditer(text))
+                parts = [self.ids([part])[0] for part in iter(lambda: list(islice(found, 1 << 16)), [])]
+                yield np.concatenate([np.empty(0, np.int32), *parts])
+        yield from self.ids(held)
+
     def encode(self, text: str) -> np.ndarray:
-        found, out, memo = (m.group() for m in self.pieces.finditer(text)), [], self.memo
-        portions = [self.pieces.findall(text)] if len(text) < 1 << 20 else iter(lambda: list(islice(found, 1 << 16)), [])
-        for portion in portions:
-            out.append(b"".join([memo.get(p) or self.piece(p) for p in portion]))
-        return np.frombuffer(b"".join(out), np.int32)
+        return next(self.encode_all([text]))
 
 
 #: UTF-8: the number of bytes that follow a first byte, and the range of the first that follows.
@@ -324,7 +446,7 @@ def _encode(shared, name: str, at: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tool(Encoder, shared.value, name)
         for batch in fixed_rows(batches, 256):
-            ids = _lists([encoder.encode(t.decode("utf-8", "replace")) for t in batch.column(at).to_pylist()])
+            ids = _lists([*encoder.encode_all(t.decode("utf-8", "replace") for t in batch.column(at).to_pylist())])
             columns = [*batch.columns]
             columns[at] = ids
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "ids", *batch.schema.names[at + 1 :]])

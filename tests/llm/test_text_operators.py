@@ -347,6 +347,37 @@ def test_forgotten_states_change_nothing():
     assert small.encode(text).tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+def syllable_words(count):
+    rng = random.Random(10)
+    parts = "th in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve é ö ß ción heit ñ".split()
+    return ["".join(rng.choices(parts, k=rng.randint(2, 6))) for _ in range(count)]
+
+
+def test_new_words_make_few_states():
+    # a document of ever new words: a state for each context was made nearly anew for every word
+    words = syllable_words(4000)
+    encoder = bpe.Encoder(RANKS)
+    assert encoder.encode(" ".join(words)).tolist() == TIKTOKEN.encode_ordinary(" ".join(words))
+    assert len(encoder.machine.states) < len(words) // 2
+
+
+def test_pieces_side_by_side():
+    pieces = [w.encode() for w in syllable_words(300)] + [b"a", b"=" * 64, b"ab" * 30, bytes(range(256))]
+    machine = bpe.Encoder(RANKS).machine
+    got = [np.frombuffer(x, np.int32).tolist() for x in machine.run_all(pieces)]
+    assert got == [machine.run(p) for p in pieces] and machine.run_all([]) == []
+    assert [b"".join(DECODER.portions(np.array(x))) for x in got] == pieces
+
+
+@pytest.mark.parametrize("name, value", [("PAIR_BITS", 1), ("MAX_PIECES", 4), ("MAX_FITS", 2), ("PORTION", 7), ("SHORT", 3)])
+def test_bounds_change_nothing(monkeypatch, name, value):
+    monkeypatch.setattr(bpe, name, value)
+    texts = ["", " ".join(syllable_words(200)), "", "x", "one two  three\n", " ".join(syllable_words(250))]
+    encoder = bpe.Encoder(RANKS)
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.encode_all(texts)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.binary(max_size=40), st.text(max_size=20).map(lambda t: t.encode("utf-8", "replace"))), st.integers(1, 5))
 def test_utf8_stream(data, size):
